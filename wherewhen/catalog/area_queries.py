@@ -180,12 +180,12 @@ QUERIES = {
 
 # --- SQL ----------------------------------------------------------------------
 
-_BOXES = "boxes AS (SELECT * FROM (VALUES " + ", ".join(
+BOXES_SQL = "boxes AS (SELECT * FROM (VALUES " + ", ".join(
     f"({i}, '{b.id}', '{b.label}', CAST({b.south} AS DOUBLE), CAST({b.west} AS DOUBLE), CAST({b.north} AS DOUBLE), "
     f"CAST({b.east} AS DOUBLE))" for i, b in enumerate(NEIGHBORHOODS)
 ) + ") v(ord, id, label, south, west, north, east))"
 _INSIDE = "p.lat BETWEEN b.south AND b.north AND p.lng BETWEEN b.west AND b.east"
-_REGION = f"""
+REGION_SQL = f"""
 regioned AS (
   SELECT p.*, r.id AS neighborhood FROM places p LEFT JOIN (
     SELECT p.k, min_by(b.id, b.ord) AS id FROM places p JOIN boxes b ON {_INSIDE} GROUP BY p.k) r USING (k)
@@ -231,7 +231,7 @@ cells AS (
     return derived.with_sql([*schedule_queries.FLEXIBLE, schedule_queries.active_sql(), cells], select)
 
 
-def _quadtree_sql() -> list[str]:
+def quadtree_sql() -> list[str]:
     """Level by level: points under open cells, counts, children of crowded cells."""
     a = DEFAULT_AREA
     parts = [
@@ -276,7 +276,7 @@ count{level} AS (
 
 
 _FILTERED = [
-    *schedule_queries.FLEXIBLE, schedule_queries.active_sql(), _BOXES, _REGION,
+    *schedule_queries.FLEXIBLE, schedule_queries.active_sql(), BOXES_SQL, REGION_SQL,
 ]
 
 ORACLE = {
@@ -298,20 +298,20 @@ ORACLE = {
               WHERE distance <= 1200) WHERE rn <= 3""",
     ),
     "neighborhood_assign": derived.with_sql(
-        [derived.PLACES_SQL, _BOXES, _REGION], "SELECT k, neighborhood FROM regioned"
+        [derived.PLACES_SQL, BOXES_SQL, REGION_SQL], "SELECT k, neighborhood FROM regioned"
     ),
     "neighborhood_table_assign": derived.with_sql(
-        [derived.PLACES_SQL, _SUPPLIER_BOX, _BOXES.replace("boxes AS (", "boxes AS (SELECT ord, id, south, west, north, east FROM (", 1)[:-1]
-         + ") UNION ALL SELECT s + 100, 'S' || s, south, west, south + 0.01, west + 0.01 FROM sbox)", _REGION],
+        [derived.PLACES_SQL, _SUPPLIER_BOX, BOXES_SQL.replace("boxes AS (", "boxes AS (SELECT ord, id, south, west, north, east FROM (", 1)[:-1]
+         + ") UNION ALL SELECT s + 100, 'S' || s, south, west, south + 0.01, west + 0.01 FROM sbox)", REGION_SQL],
         "SELECT k, neighborhood FROM regioned",
     ),
     "neighborhood_counts": derived.with_sql(
-        [derived.PLACES_SQL, _BOXES, _REGION],
+        [derived.PLACES_SQL, BOXES_SQL, REGION_SQL],
         """SELECT neighborhood, count(*) AS n_places FROM regioned WHERE neighborhood IS NOT NULL
            GROUP BY 1 HAVING count(*) >= 40""",
     ),
     "coverage": derived.with_sql(
-        [derived.PLACES_SQL, _BOXES, _REGION],
+        [derived.PLACES_SQL, BOXES_SQL, REGION_SQL],
         """SELECT ord, id, label, (SELECT count(*) FROM regioned r WHERE r.neighborhood = b.id) >= 120 AS covered
            FROM boxes b""",
     ),
@@ -341,12 +341,12 @@ ORACLE = {
            WHERE lat IS NOT NULL AND lng IS NOT NULL""",
     ),
     "quadtree_leaves": derived.with_sql(
-        [derived.PLACES_SQL, *_quadtree_sql()],
+        [derived.PLACES_SQL, *quadtree_sql()],
         """SELECT path, CAST(length(path) AS INT) AS depth, round(south, 9) AS south, round(west, 9) AS west,
              round(north, 9) AS north, round(east, 9) AS east, n AS n_points FROM leaves""",
     ),
     "quadtree_places": derived.with_sql(
-        [derived.PLACES_SQL, *_quadtree_sql()],
+        [derived.PLACES_SQL, *quadtree_sql()],
         f"""SELECT p.place_id, min(b.path) AS path, count(*) AS n_cells FROM pts p JOIN leaves b ON {_INSIDE}
             GROUP BY p.place_id""",
     ),

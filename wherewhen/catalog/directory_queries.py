@@ -192,7 +192,7 @@ QUERIES = {
 
 # --- SQL ----------------------------------------------------------------------
 
-_OVERRIDE_SQL = """
+OVERRIDE_SQL = """
 ov_id AS (
   SELECT trim(place_id) AS pid, max_by(ord, ord) AS ord FROM overrides
   WHERE restaurant_name <> '' AND trim(place_id) <> '' GROUP BY 1
@@ -203,7 +203,7 @@ ov_hit AS (
   LEFT JOIN ov_id i ON i.pid = trim(p.place_id) AND trim(p.place_id) <> ''
   LEFT JOIN ov_name n ON n.nm = p.restaurant_name
 )"""
-_MENU_HIT_SQL = """
+MENU_HIT_SQL = """
 menu_hit AS (
   SELECT p.k, coalesce(i.ord, n.ord) AS ord FROM places p
   LEFT JOIN (SELECT trim(place_id) AS pid, max(ord) AS ord FROM menu
@@ -315,7 +315,7 @@ _FRESH = "TRY_CAST(freshness_date AS DATE) >= TIMESTAMP '2024-03-10 12:00:00' -
 
 ORACLE = {
     "override_join": derived.with_sql(
-        [derived.PLACES_SQL, derived.OVERRIDES_SQL, _OVERRIDE_SQL],
+        [derived.PLACES_SQL, derived.OVERRIDES_SQL, OVERRIDE_SQL],
         """SELECT p.k, CASE WHEN o.happy_hour_times <> '' THEN o.happy_hour_times ELSE p.happy_hour_times END
              AS happy_hour_times,
              CASE WHEN o.happy_hour_times <> '' THEN CASE WHEN o.source <> '' THEN o.source ELSE 'Manual Override' END
@@ -325,7 +325,7 @@ ORACLE = {
            FROM places p JOIN ov_hit h USING (k) LEFT JOIN overrides o ON o.ord = h.ord""",
     ),
     "menu_join": derived.with_sql(
-        [derived.PLACES_SQL, derived.MENU_SQL, _MENU_HIT_SQL],
+        [derived.PLACES_SQL, derived.MENU_SQL, MENU_HIT_SQL],
         """SELECT p.k, nullif(m.cheapest_drink, '') AS cheapest_drink,
              TRY_CAST(nullif(m.cheapest_drink_price, '') AS DOUBLE) AS cheapest_drink_price,
              nullif(m.cheapest_food, '') AS cheapest_food,
@@ -427,7 +427,7 @@ ORACLE = {
            SELECT k, 'menu' FROM places WHERE website_url <> '' AND menu_summary = ''""",
     ),
     "fill_rate": derived.with_sql(
-        [derived.PLACES_SQL, derived.MENU_SQL, _MENU_HIT_SQL],
+        [derived.PLACES_SQL, derived.MENU_SQL, MENU_HIT_SQL],
         """SELECT count(*) AS selected, count(m.ord) FILTER (WHERE m.menu_summary <> '') AS succeeded,
              round(count(m.ord) FILTER (WHERE m.menu_summary <> '') * 100.0 / count(*), 1) AS percent
            FROM places p JOIN menu_hit h USING (k) LEFT JOIN menu m ON m.ord = h.ord WHERE p.menu_summary = ''""",

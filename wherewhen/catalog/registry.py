@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import area_queries, directory_queries, schedule_queries
+from . import area_queries, content_queries, directory_queries, schedule_queries
 
-_TOPICS = [schedule_queries, directory_queries, area_queries]
+_TOPICS = [schedule_queries, directory_queries, area_queries, content_queries]
 
 QUERIES = {name: query for topic in _TOPICS for name, query in topic.QUERIES.items()}
 ORACLE = {name: sql for topic in _TOPICS for name, sql in topic.ORACLE.items()}

@@ -1,10 +1,11 @@
 """Survivorship merge of a refresh into a directory.
 
 A sequential program folds the new rows into a dictionary one after the other.
-The same result is one grouped aggregation: each new row is routed to a target
-(an existing id, an existing name without id, or itself), and each column of a
-target takes its last admissible value. Aggregates combine before the shuffle,
-so it does not matter how many new rows hit one target.
+Here each new row is routed to a target (an existing id, an existing name
+without id, or itself), and the new rows of a target are folded into one row by
+aggregates, which combine before the shuffle: it does not matter how many new
+rows hit one target. The existing rows meet them in a full join on a key that
+is unique on both sides by then.
 """
 
 from __future__ import annotations
@@ -98,48 +99,62 @@ def survivorship_merge(
     """
     columns = [c for c in existing.columns if c != order]
     kinds = dict(existing.dtypes)
-    old = existing.withColumnRenamed(order, "__seq")
     has_id, has_name = filled(F.col("place_id")), filled(F.col("restaurant_name"))
-    keyed = _latest(old.filter(has_id), "id:", "place_id", columns)
-    named = _latest(old.filter(~has_id & has_name), "name:", "restaurant_name", columns)
+    # Rows with neither id nor name have no target and are dropped.
+    old = existing.withColumnRenamed(order, "__seq").withColumn(
+        "target",
+        F.when(has_id, F.concat(F.lit("id:"), F.col("place_id"))).when(
+            has_name, F.concat(F.lit("name:"), F.col("restaurant_name"))
+        ),
+    ).filter(F.col("target").isNotNull())
     incoming = _route(
-        new.withColumnRenamed(order, "__seq"), keyed.select("place_id"), named.select("restaurant_name"), compat
+        new.withColumnRenamed(order, "__seq"),
+        existing.filter(has_id).select("place_id").distinct(),
+        existing.filter(~has_id & has_name).select("restaurant_name").distinct(),
+        compat,
+    )
+    # A repeated target keeps its first position and its last row.
+    latest = old.groupBy("target").agg(
+        F.max(F.struct("__seq", *columns)).alias("old"), F.min("__seq").alias("__pos")
     )
-    rows = keyed.unionByName(named).withColumn("__side", F.lit(0)).unionByName(
-        incoming.select(*columns, "target", "__seq").withColumns(
-            {"__side": F.lit(1), "__pos": F.lit(None).cast("long")}
-        )
-    ).withColumn("__at", F.struct("__side", "__seq"))
 
-    def survivor(name: str) -> Column:
+    def last(name: str) -> Column:
         value = F.col(name)
         if name == date_column or (name == "place_id" and compat):
-            return F.max_by(value, "__at").alias(name)
+            return F.max_by(F.struct(value), "__seq").alias(f"__last_{name}")
         if name in extracted:
             allowed = _truthy(name, kinds[name])
         elif name == "place_id":
             allowed = filled(value)
         else:
             allowed = value.isNotNull()
-        # Without an admissible value the first row of the target stands as it is.
-        return F.coalesce(F.max_by(value, F.when(allowed, F.col("__at"))), F.min_by(value, "__at")).alias(name)
-
-    merged = rows.groupBy("target").agg(
-        *[survivor(c) for c in columns],
-        F.min("__side").alias("__first_side"),
-        F.sum("__side").alias("__n_new"),
-        F.coalesce(F.min("__pos"), F.min("__seq")).alias("position"),
+        # NULL order values are left out, so this is the last admissible value.
+        return F.max_by(F.struct(value), F.when(allowed, F.col("__seq"))).alias(f"__last_{name}")
+
+    folded = incoming.groupBy("target").agg(
+        F.min_by(F.struct(*columns), "__seq").alias("first"),
+        *[last(c) for c in columns],
+        F.count("*").alias("__n_new"),
+        F.min("__seq").alias("__first_new"),
     )
+    both = latest.join(folded, "target", "full")
+    known, touched = F.col("old").isNotNull(), F.col("first").isNotNull()
+
+    def survivor(name: str) -> Column:
+        # Without an admissible value the oldest row of the target stands as it is.
+        oldest = F.when(known, F.col(f"old.{name}")).otherwise(F.col(f"first.{name}"))
+        newest = F.col(f"__last_{name}")
+        return F.when(newest.isNotNull(), newest[name]).otherwise(oldest).alias(name)
+
     by_name = F.startswith("target", F.lit("name:"))
-    out = merged.select(
-        *columns,
-        F.when(F.col("__first_side") == 1, "added").when(F.col("__n_new") > 0, "updated").otherwise("kept").alias("action"),
-        (by_name & filled(F.col("place_id"))).alias("upgraded"),
-        (F.col("__n_new") - F.col("__first_side")).alias("n_updates"),
+    out = both.select(
+        *[survivor(c) for c in columns],
+        F.when(~known, "added").when(touched, "updated").otherwise("kept").alias("action"),
+        (F.coalesce("__n_new", F.lit(0)) - (~known).cast("int")).alias("n_updates"),
         by_name.cast("int").alias("section"),
-        F.col("__first_side").cast("int").alias("appended"),
-        "position",
-    )
+        (~known).cast("int").alias("appended"),
+        F.coalesce("__pos", "__first_new").alias("position"),
+    ).withColumn("upgraded", (F.col("section") == 1) & filled(F.col("place_id")))
     # New rows of a known id always meet it, so an id no new row has is one that
     # was not touched.
     return out.filter(~_stale()) if prune else out
@@ -149,13 +164,6 @@ def _stale() -> Column:
     return (F.col("section") == 0) & (F.col("action") == "kept")
 
 
-def _latest(rows: DataFrame, prefix: str, key: str, columns: list[str]) -> DataFrame:
-    """Last row per key, with the position of the key's first row."""
-    return rows.groupBy(key).agg(
-        F.max(F.struct("__seq", *[c for c in columns if c != key])).alias("__row"), F.min("__seq").alias("__pos")
-    ).select(key, "__row.*", "__pos").withColumn("target", F.concat(F.lit(prefix), F.col(key)))
-
-
 def merge_metrics(
     existing: DataFrame, new: DataFrame, order: str = "ord", prune: bool = False, **options
 ) -> DataFrame:

@@ -54,10 +54,11 @@ PLACE_DOCUMENT = _schema(
     ("regularOpeningHours", _HOURS),
     ("currentSecondaryOpeningHours", T.ArrayType(
         _schema(("secondaryHoursType", S), ("weekdayDescriptions", T.ArrayType(S))))),
-    ("rating", D),
-    ("userRatingCount", T.LongType()),
+    # Numbers are read as written, so that 4 stays 4 and does not become 4.0.
+    ("rating", S),
+    ("userRatingCount", S),
     ("priceLevel", S),
-    ("location", _schema(("latitude", D), ("longitude", D))),
+    ("location", _schema(("latitude", S), ("longitude", S))),
     ("googleMapsUri", S),
 )
 
