@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import lenient_double
-
 NARROW, THIN, HAIR, ZERO = "\u202f", "\u2009", "\u200a", "\u200b"
 EN = "\u2013"
 
@@ -128,8 +126,11 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("longitude"),
         F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("Deal "), (k % 8).cast("string"))).alias("menu_summary"),
     ]
-    return rows.select(columns).withColumns(
-        {"lat": lenient_double(F.col("latitude")), "lng": lenient_double(F.col("longitude"))}
+    # The numbers behind the two texts; a division of integers is as exact as
+    # reading the text and cheap enough to be repeated in conditions.
+    lat, lng = (k * 7919 % 2400 + 326400) / 10000, -((k * 104729 % 2000 + 1170801) / 10000)
+    return rows.select(
+        *columns, F.when(k % 31 != 0, lat).alias("lat"), F.when(k % 37 != 0, lng).alias("lng")
     )
 
 

@@ -34,18 +34,25 @@ def is_json(text: Column) -> Column:
 
 def json_block(text: Column) -> Column:
     """The first candidate that parses: fenced as json, fenced, outermost braces, all."""
+    def valid(candidate: Column) -> Column:
+        return F.when(is_json(candidate), candidate)
 
-    def first_valid(t: Column) -> Column:
-        candidates = F.array(
-            F.when(t.rlike(_FENCED_JSON), F.regexp_extract(t, _FENCED_JSON, 1)),
-            F.when(t.rlike(_FENCED), F.regexp_extract(t, _FENCED, 1)),
-            F.when(t.rlike(_BRACES), F.regexp_extract(t, _BRACES, 0)),
-            t,
+    def search(c: Column) -> Column:
+        # Later candidates are only parsed when the earlier ones fail.
+        return F.coalesce(
+            *[valid(c[name]) for name in ("fenced_json", "fenced", "braces", "whole")]
         )
-        valid = F.filter(F.transform(candidates, trim_space), lambda c: c.isNotNull() & is_json(c))
-        return F.get(valid, F.lit(0))
 
-    return let(text, first_valid)
+    def candidates(t: Column) -> Column:
+        def part(pattern: str, group: int, name: str) -> Column:
+            return trim_space(F.when(t.rlike(pattern), F.regexp_extract(t, pattern, group))).alias(name)
+
+        return F.struct(
+            part(_FENCED_JSON, 1, "fenced_json"), part(_FENCED, 1, "fenced"), part(_BRACES, 0, "braces"),
+            trim_space(t).alias("whole"),
+        )
+
+    return let(let(text, candidates), search)
 
 
 def parse_hours(text: Column) -> Column:

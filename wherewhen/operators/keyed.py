@@ -28,7 +28,7 @@ def last_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def dedup_first(rows: DataFrame, key: str, order: list) -> DataFrame:
     """First occurrence of every non-blank key."""
-    return first_per_key(rows.filter(filled(F.col(key))), [key], order)
+    return first_per_key(rows.filter(filled(F.col(key).cast("string"))), [key], order)
 
 
 def union_tiers(*tiers: DataFrame, key: str, order: list[str]) -> DataFrame:

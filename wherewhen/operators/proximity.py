@@ -118,6 +118,11 @@ def near_centers(
     )
     pairs = (
         p.join(c, ["cx", "cy", "salt"])
+        # Cheap differences rule out most neighbours before any trigonometry.
+        .filter(
+            (F.abs(F.col("lat") - F.col("center_lat")) <= d_lat)
+            & (F.abs(F.col("lng") - F.col("center_lng")) <= d_lng)
+        )
         .withColumn(
             "distance",
             great_circle(F.col("center_lat"), F.col("center_lng"), F.col("lat"), F.col("lng"), EARTH_METERS),
