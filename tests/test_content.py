@@ -239,7 +239,7 @@ def test_summary_of_nothing(spark):
 def test_fallback_pages(spark):
     chosen = spark.createDataFrame([(1, "https://x.com/?a", "https://x.com/hh", "s" * 50), (2, "https://y.com", "https://y.com", None), (3, "https://z.com", "https://z.com/hh", "s" * 50)], "k int, website_url string, page_url string, text string")
     known = spark.createDataFrame([("https://x.com/home", "h" * 900), ("https://x.com/", "r" * 999), ("https://y.com/", "r" * 500), ("https://z.com/home", "h" * 60), ("https://z.com", "r" * 70)], "url string, text string")
-    got = {r.k: (r.page_url, len(r.text or "")) for r in pages.fallback_pages(chosen, known, ["k"]).collect()}
+    got = {r.k: (r.page_url, len(r.text or "")) for r in pages.fallback_pages(chosen, pages.texts_by_address(known), ["k"]).collect()}
     assert got == {1: ("https://x.com/home", 900), 2: ("https://y.com", 0), 3: ("https://z.com/", 70)}
 
 

@@ -219,7 +219,7 @@ def page_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = _site_pages(spark, sf_dir).withColumn(
         "text", F.repeat(F.lit("y"), (k * 37 % 500).cast("int"))
     ).select("url", "text")
-    out = pages.fallback_pages(chosen, known, ["page_id"])
+    out = pages.fallback_pages(chosen, pages.texts_by_address(known), ["page_id"])
     return out.select("page_id", "page_url", F.length("text").alias("n_chars"), F.col("text").substr(1, 1).alias("kind"))
 
 

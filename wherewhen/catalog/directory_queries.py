@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import filled
-from ..operators import incremental, keyed, merge
+from ..operators import documents, incremental, keyed, merge
 from . import derived
 
 NOW = "2024-03-10 12:00:00"
@@ -120,10 +120,11 @@ def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 60 hits per cell and keyword, the source's own paging limit."""
-    return keyed.first_per_key(
-        search_results(spark, sf_dir), ["cell_id", "keyword_ord"], ["page", "pos", "tie", "line", "place_id"], limit=60
+    """At most 60 hits per cell and keyword, in pages of 20, as the source pages them."""
+    hits = search_results(spark, sf_dir).select(
+        "cell_id", F.col("keyword_ord").alias("keyword"), (F.col("line") % 6).alias("page"), "pos", "place_id"
     )
+    return documents.capped_hits(hits)
 
 
 def union_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,8 +388,8 @@ ORACLE = {
     ),
     "search_cap": derived.with_sql(
         [_HITS_SQL],
-        """SELECT * FROM hits QUALIFY row_number() OVER (
-             PARTITION BY cell_id, keyword_ord ORDER BY page, pos, tie, line, place_id) <= 60""",
+        """SELECT cell_id, keyword_ord AS keyword, line % 6 AS page, pos, place_id FROM hits WHERE line % 6 < 3
+           QUALIFY row_number() OVER (PARTITION BY cell_id, keyword_ord ORDER BY line % 6, pos, place_id) <= 60""",
     ),
     "union_tiers": derived.with_sql(
         [_HITS_SQL],

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_MILES
 from ..functions.text import filled, not_blank
-from .proximity import nearest_first, with_distance
+from .proximity import first_rows, nearest_first, with_distance
 from .schedule import SCHEDULE, active_column
 
 
@@ -53,8 +53,7 @@ def directory_query(
     chosen = places.filter(matches(filters, as_of))
     if near is not None:
         return nearest_first(with_distance(chosen, near, radius=EARTH_MILES), [order], limit)
-    ordered = chosen.orderBy("restaurant_name", order) if by_name else chosen.orderBy(order)
-    return ordered.limit(limit) if limit is not None else ordered
+    return first_rows(chosen, ["restaurant_name", order] if by_name else [order], limit)
 
 
 def result_counters(places: DataFrame, filters: Filters, as_of: datetime | str | Column) -> DataFrame:
@@ -82,7 +81,7 @@ def summary(places: DataFrame) -> DataFrame:
 
 def sample_first(places: DataFrame, order: str, n: int = 5) -> DataFrame:
     """Those of the first ``n`` rows that have a menu summary."""
-    return places.orderBy(order).limit(n).filter(filled(F.col("menu_summary")))
+    return first_rows(places, [order], n).filter(filled(F.col("menu_summary")))
 
 
 def fetch_totals(places: DataFrame) -> DataFrame:

@@ -133,29 +133,34 @@ def choose_page(
     )
 
 
+def texts_by_address(pages: DataFrame) -> DataFrame:
+    """One text per cleaned address, the longest where several pages share it."""
+    return pages.groupBy(strip_query(F.col("url")).alias("address")).agg(
+        F.max_by("text", F.struct(F.length("text"), "text")).alias("stored_text")
+    )
+
+
 def fallback_pages(
-    chosen: DataFrame, pages: DataFrame, keys: list[str], website: str = "website_url", page_url: str = "page_url",
+    chosen: DataFrame, texts: DataFrame, keys: list[str], website: str = "website_url", page_url: str = "page_url",
     text: str = "text", usable: int = SHORT_TEXT,
 ) -> DataFrame:
     """Where the chosen text is short, the home page's variants if they say more.
 
     ``/home`` comes before ``/``; a variant replaces the text only when it is
-    strictly longer, and one that is usable ends the search. ``pages`` has
-    ``url`` and ``text``.
+    strictly longer, and one that is usable ends the search. ``texts`` comes
+    from ``texts_by_address``.
     """
-    texts = pages.groupBy(F.regexp_replace("url", r"/+\z", "").alias("__address")).agg(
-        F.max_by("text", F.struct(F.length("text"), "text")).alias("__text")
-    )
     base = strip_query(F.col(website))
     short = F.coalesce(F.length(text), F.lit(0)) < usable
     rows = chosen.withColumns({"__home": F.concat(base, F.lit("/home")), "__root": F.concat(base, F.lit("/"))})
     for name in ("__home", "__root"):
-        address = F.when(short, F.regexp_replace(name, r"/+\z", ""))
-        rows = lookup(rows, texts, address, "__address", f"{name}_hit", keys, ["__text"])
-    state = F.struct(F.col(page_url).alias("page_url"), F.col(text).alias("text"))
-    rows = rows.withColumn("__state", state)
+        address = F.when(short, strip_query(F.col(name)))
+        rows = lookup(rows, texts, address, "address", f"{name}_hit", keys, ["stored_text"])
+    rows = rows.withColumn(
+        "__state", F.struct(F.col(page_url).alias("page_url"), F.col(text).alias("text"))
+    )
     for name in ("__home", "__root"):
-        now, found = F.col("__state"), F.col(f"{name}_hit.__text")
+        now, found = F.col("__state"), F.col(f"{name}_hit.stored_text")
         size = F.coalesce(F.length(now["text"]), F.lit(0))
         other = F.regexp_replace(name, r"/+\z", "") != F.regexp_replace(now["page_url"], r"/+\z", "")
         better = (size < usable) & other & (F.length(found) > size)

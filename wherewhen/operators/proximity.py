@@ -30,8 +30,18 @@ def nearest_first(points: DataFrame, ties: list[str], limit: int | None = None,
     With a limit every task keeps its own best ``limit`` rows and only those
     travel; without one the order is a range partitioning of all rows.
     """
-    ordered = points.orderBy(F.col(distance).asc_nulls_last(), *ties)
-    return ordered.limit(limit) if limit is not None else ordered
+    return first_rows(points, [F.col(distance).asc_nulls_last(), *ties], limit)
+
+
+def first_rows(rows: DataFrame, order: list, limit: int | None) -> DataFrame:
+    """Rows in order, the first ``limit`` of them if given.
+
+    The order is stated again after the limit: later columns would otherwise be
+    moved below the limit, where they hide the top-k from the planner and cause
+    a full sort. The second sort sees ``limit`` rows.
+    """
+    ordered = rows.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit).orderBy(*order)
 
 
 def _degree_reach(at_lat: float, meters: float) -> tuple[float, float]:

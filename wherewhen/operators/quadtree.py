@@ -130,14 +130,21 @@ def quadtree_cells(
         bottom = F.col("code") >= _first_code(done)
         crowded = counts.filter(splits & bottom).select("code")
         located = listed.filter(bottom).join(crowded, "code", "left_semi")
-    split = counts.filter(splits).select("code", *SIDES)
-    born = _descend(split, _digits(0, 1, 2, 3), overlap).drop("open")
-    root = _at_root(points.sparkSession.range(1), box).drop("id")
-    cells = root.unionByName(born).join(counts.select("code", "n"), "code", "left").withColumn(
-        "n", F.coalesce("n", F.lit(0))
+    # A cell is final when its parent was split and it is not. Each counted cell
+    # states its own count and, if split, that its children exist; grouping the
+    # statements needs the counts once, where a join would compute them twice.
+    stated = _descend(
+        counts, F.when(splits, _digits(-1, 0, 1, 2, 3)).otherwise(_digits(-1)), overlap
+    ).select("code", *SIDES, F.when(~F.col("open"), F.col("n")).alias("n"), F.col("open").alias("born"))
+    root = _at_root(points.sparkSession.range(1), box).select(
+        "code", *SIDES, F.lit(0).cast("long").alias("n"), F.lit(True).alias("born")
+    )
+    cells = stated.unionByName(root).groupBy("code").agg(
+        F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("born").alias("born"),
+        *[F.max(side).alias(side) for side in SIDES],
     )
     path = path_text(F.col("code"))
-    return cells.filter(~splits).select(
+    return cells.filter(F.col("born") & ~splits).select(
         "code", path.alias("path"), F.length(path).alias("depth"), *SIDES, F.col("n").alias("n_points")
     )
 

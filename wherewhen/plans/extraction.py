@@ -17,7 +17,7 @@ from ..functions.schedule import schedule_from_items
 from ..functions.text import filled, not_blank, trim_space
 from ..functions.urls import strip_query
 from ..operators.keyed import lookup
-from ..operators.pages import choose_page, fallback_pages, with_text
+from ..operators.pages import choose_page, fallback_pages, texts_by_address, with_text
 
 MENU_TEMPLATE = (
     "Venue: {name}\n{schedule}List the cheapest drink and the cheapest dish that are on special in the text "
@@ -63,18 +63,22 @@ def hours_prompt(text: Column) -> Column:
 def read_pages(places: DataFrame, pages: DataFrame, keys: list[str], **page_options) -> DataFrame:
     """Places with a website and the text to read: ``page_url``, ``first_url``, ``text``.
 
-    The page is chosen first; its text is looked up afterwards, so that texts
-    travel only for chosen pages.
+    Pages are chosen by address alone. Only pages that were chosen, or are a
+    home page to fall back to, are cleaned, each once; their texts are then
+    looked up by address.
     """
     visited = places.filter(filled(F.col("website_url")))
-    chosen = choose_page(visited, pages, keys, **page_options)
-    texts = with_text(pages).select("url", "text")
-    by_address = texts.groupBy(strip_query(F.col("url")).alias("__address")).agg(
-        F.max_by("text", F.struct(F.length("text"), "text")).alias("text")
+    chosen = choose_page(visited, pages, keys, **page_options).select(
+        *keys, "base", "page_url", F.col("page_url").alias("first_url")
     )
+    addresses = chosen.select(
+        F.explode(F.array(strip_query(F.col("page_url")), F.concat("base", F.lit("/home")), F.col("base"))).alias("address")
+    ).distinct()
+    needed = pages.withColumn("address", strip_query(F.col("url"))).join(addresses, "address", "left_semi")
+    texts = texts_by_address(with_text(needed).select("url", "text"))
     found = lookup(
-        chosen.select(*keys, "page_url"), by_address, strip_query(F.col("page_url")), "__address", "__page", keys, ["text"]
-    ).select(*keys, "page_url", F.col("page_url").alias("first_url"), F.col("__page.text").alias("text"))
+        chosen.drop("base"), texts, strip_query(F.col("page_url")), "address", "__page", keys, ["stored_text"]
+    ).withColumn("text", F.col("__page.stored_text")).drop("__page")
     return fallback_pages(visited.join(found, keys), texts, keys)
 
 

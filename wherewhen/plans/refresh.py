@@ -13,6 +13,7 @@ from ..operators.documents import exclude_categories, flatten_places
 from ..operators.incremental import fresh_ids, skip_fresh
 from ..operators.keyed import apply_overrides, attach_menu, dedup_first
 from ..operators.merge import restore_skipped, survivorship_merge
+from ..operators.proximity import first_rows
 from ..operators.regions import assign_region
 from ..schema import NEIGHBORHOODS
 
@@ -32,7 +33,7 @@ def refresh(
     fresh = fresh_ids(existing, as_of, stale_days)
     wanted = skip_fresh(found, fresh)
     if max_results is not None:
-        wanted = wanted.orderBy(*hit_order, "place_id").limit(max_results)
+        wanted = first_rows(wanted, [*hit_order, "place_id"], max_results)
     # The hit order as one number; restored rows come after all of it.
     bits = 62 // len(hit_order)
     rank = F.lit(0).cast("long")
