@@ -496,49 +496,81 @@ _SCHEME_SQL = "split_part(url, ':', 1)"
 _HOST_SQL = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 _ROOT_SQL = f"({_SCHEME_SQL} || '://' || {_HOST_SQL} || '/s' || page_id)"
 _BARE_SQL = r"rtrim(regexp_replace(url, '[?#].*$', ''), '/')"
-_OFFSET_SQL = ",\n".join(
-    rf"""
+
+
+def _focus_sql(table: str, key: str, before: int, after: int) -> list[str]:
+    """Windows around the anchors of a text table, step by step."""
+    offsets = [
+        part
+        for i, p in enumerate(ANCHORS)
+        for part in (
+            rf"""
 pieces{i} AS (
-  SELECT doc_id, unnest(p) AS piece, unnest(list_concat(m, [''])) AS hit, generate_subscripts(p, 1) AS i
-  FROM (SELECT doc_id, string_split_regex(text, '{p}') AS p, regexp_extract_all(text, '{p}') AS m FROM documents)
-),
+  SELECT {key}, unnest(p) AS piece, unnest(list_concat(m, [''])) AS hit, generate_subscripts(p, 1) AS i
+  FROM (SELECT {key}, string_split_regex(text, '{p}') AS p, regexp_extract_all(text, '{p}') AS m FROM {table})
+)""",
+            rf"""
 starts{i} AS (
-  SELECT doc_id, hit, CAST(sum(length(piece)) OVER w + coalesce(sum(length(hit)) OVER (PARTITION BY doc_id ORDER BY i
+  SELECT {key}, hit, CAST(sum(length(piece)) OVER w + coalesce(sum(length(hit)) OVER (PARTITION BY {key} ORDER BY i
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-  FROM pieces{i} WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-)""".strip()
-    for i, p in enumerate(ANCHORS)
-)
-_FOCUS_SQL = [
-    _OFFSET_SQL,
-    rf"""
+  FROM pieces{i} WINDOW w AS (PARTITION BY {key} ORDER BY i)
+)""",
+        )
+    ]
+    return [
+        *offsets,
+        rf"""
 anchors AS (
-  SELECT d.doc_id, d.text, length(d.text) AS n, start FROM (
-    SELECT doc_id, start, hit FROM starts0 UNION ALL SELECT doc_id, start, hit FROM starts1) a
-  JOIN documents d USING (doc_id) WHERE hit <> '' AND length(d.text) > 200
-),
+  SELECT d.{key}, d.text, length(d.text) AS n, start FROM (
+    SELECT {key}, start, hit FROM starts0 UNION ALL SELECT {key}, start, hit FROM starts1) a
+  JOIN {table} d USING ({key}) WHERE hit <> '' AND length(d.text) > 200
+)""",
+        rf"""
 spans AS (
-  SELECT doc_id, greatest(start - {BEFORE}, 0) AS s, least(n, start + {AFTER}) AS e FROM anchors
+  SELECT {key}, greatest(start - {before}, 0) AS s, least(n, start + {after}) AS e FROM anchors
   WHERE NOT (start < n * 0.1
     AND regexp_matches(substr(text, greatest(start - 120, 0) + 1, start + 120 - greatest(start - 120, 0)),
       '(?:(?:[A-Z][A-Za-z&]+|[A-Z]{{2,}})\s+){{3,}}(?:[A-Z][A-Za-z&]+|[A-Z]{{2,}})')
     AND NOT regexp_matches(substr(text, start + 1, 600), '(?i)\$\s*[0-9]+|[0-9]+\s*(?:bucks?|dollars?)'))
-),
+)""",
+        rf"""
 flags AS (
-  SELECT *, s > coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)
-    AS opens FROM spans
-),
+  SELECT *, s > coalesce(max(e) OVER (PARTITION BY {key} ORDER BY s, e
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS opens FROM spans
+)""",
+        rf"""
 isles AS (
-  SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isle FROM flags
-),
-windows AS (SELECT doc_id, isle, min(s) AS s, max(e) AS e FROM isles GROUP BY doc_id, isle)""",
-]
+  SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY {key} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isle FROM flags
+)""",
+        f"windows AS (SELECT {key}, isle, min(s) AS s, max(e) AS e FROM isles GROUP BY {key}, isle)",
+        f"""
+cut AS (
+  SELECT {key}, left(string_agg(substr(text, s + 1, e - s), chr(10) || chr(10) ORDER BY s), 8000) AS t
+  FROM windows JOIN {table} USING ({key}) GROUP BY {key}
+)""",
+    ]
+
+
+_FOCUS_SQL = _focus_sql("documents", "doc_id", BEFORE, AFTER)
 _MENU_OK = "k % 7 NOT IN (3, 4)"
 _FLAT_HOURS = (
     "CASE WHEN k % 6 = 0 THEN array_to_string(list_filter(string_split(happy_hour_times, ' | '), lambda x: x <> ''), "
     "' | ') ELSE '' END"
 )
 
+
+
+def _menu_prompt_sql(text: str) -> str:
+    schedule = (
+        "' || CASE WHEN trim(happy_hour_times) <> '' THEN 'Known hours: ' || trim(happy_hour_times) || chr(10) "
+        "ELSE '' END || '"
+    )
+    return (
+        derived.sql_text(extraction.MENU_TEMPLATE).replace("{name}", "' || restaurant_name || '")
+        .replace("{text}", f"' || {text} || '").replace("{schedule}", schedule)
+    )
+
+
 ORACLE = {
     "cheapest_per_category": derived.with_sql(
         [derived.MENU_ITEMS_SQL],
@@ -660,8 +692,7 @@ ORACLE = {
              CAST(e AS INT) AS e FROM windows""",
     ),
     "focused_texts": derived.with_sql(
-        _FOCUS_SQL + ["""cut AS (SELECT doc_id, left(string_agg(substr(text, s + 1, e - s), chr(10) || chr(10) ORDER BY s), 8000)
-             AS t FROM windows JOIN documents USING (doc_id) GROUP BY doc_id)"""],
+        _FOCUS_SQL,
         """SELECT doc_id, CAST(length(coalesce(t, text)) AS INT) AS n_chars, md5(coalesce(t, text)) AS text_md5
            FROM documents LEFT JOIN cut USING (doc_id)""",
     ),
@@ -719,13 +750,94 @@ ORACLE = {
     ),
     "prompt_texts": derived.with_sql(
         [derived.PLACES_SQL],
-        "SELECT k, " + derived.sql_text(extraction.MENU_TEMPLATE).replace("{name}", "' || restaurant_name || '").replace(
-            "{text}", "' || address || '").replace(
-            "{schedule}",
-            "' || CASE WHEN trim(happy_hour_times) <> '' THEN 'Known hours: ' || trim(happy_hour_times) || chr(10) "
-            "ELSE '' END || '",
-        ) + " AS menu_prompt, " + derived.sql_text(extraction.HOURS_TEMPLATE).replace(
-            "{text}", "' || address || '") + " AS hours_prompt FROM places",
+        f"SELECT k, {_menu_prompt_sql('address')} AS menu_prompt, "
+        + derived.sql_text(extraction.HOURS_TEMPLATE).replace("{text}", "' || address || '")
+        + " AS hours_prompt FROM places",
+    ),
+    "menu_prompts": derived.with_sql(
+        [
+            derived.PLACES_SQL,
+            # t0: the page as it is, t1: with the link that made-up pages carry.
+            f"""
+cleaned AS (
+  SELECT page_id, {_ROOT_SQL} AS root, {_text_sql('html')} AS t0,
+    {_text_sql("(html || '<a href=\"/s' || page_id || '/happyhourpage\">go</a>')")} AS t1
+  FROM pages WHERE page_id % 10 <> 9
+)""",
+            """
+first_page AS (
+  SELECT *, CASE WHEN page_id % 7 = 0 THEN root || '/specials' WHEN page_id % 6 = 0 THEN root || '/happyhourpage'
+      WHEN page_id % 4 = 0 THEN root || '/menu' ELSE root END AS url0,
+    CASE WHEN page_id % 7 = 0 THEN t1 WHEN page_id % 6 = 0 THEN t0 WHEN page_id % 4 = 0 OR page_id % 3 = 0 THEN t1 END
+      AS text0
+  FROM cleaned
+)""",
+            """
+home AS (
+  SELECT *, coalesce(length(text0), 0) < 300 AND page_id % 5 = 0 AND length(t1) > coalesce(length(text0), 0) AS took
+  FROM first_page
+)""",
+            """
+second_page AS (
+  SELECT *, CASE WHEN took THEN root || '/home' ELSE url0 END AS url1, CASE WHEN took THEN t1 ELSE text0 END AS text1
+  FROM home
+)""",
+            """
+chosen AS (
+  SELECT page_id, CASE WHEN again THEN root || '/' ELSE url1 END AS page_url, CASE WHEN again THEN t1 ELSE text1 END AS text
+  FROM (SELECT *, coalesce(length(text1), 0) < 300 AND page_id % 3 = 0 AND url1 <> root
+      AND length(t1) > coalesce(length(text1), 0) AS again FROM second_page)
+)""",
+            "usable AS (SELECT * FROM chosen WHERE length(text) >= 100)",
+            *_focus_sql("usable", "page_id", focus.WINDOW_BEFORE, focus.WINDOW_AFTER),
+            "final AS (SELECT page_id, page_url, coalesce(t, text) AS text FROM usable LEFT JOIN cut USING (page_id))",
+        ],
+        f"""SELECT f.page_id, page_url, CAST(length(text) AS INT) AS text_chars, md5({_menu_prompt_sql('text')}) AS prompt_md5
+            FROM final f JOIN places p ON p.k = f.page_id""",
+    ),
+    "full_refresh": derived.with_sql(
+        [
+            derived.PLACES_SQL,
+            "existing AS (SELECT * FROM places WHERE k % 3 <> 0)",
+            """
+recent AS (
+  SELECT place_id FROM existing WHERE place_id <> ''
+    AND TRY_CAST(freshness_date AS DATE) >= TIMESTAMP '2024-03-10 12:00:00' - INTERVAL 30 DAY
+)""",
+            f"""
+fetched AS (
+  SELECT place_id, restaurant_name, CASE WHEN k % 10 = 0 THEN '' ELSE rating END AS rating,
+    {_FLAT_HOURS} AS happy_hour_times, '2024-03-10' AS freshness_date
+  FROM places
+  WHERE place_id <> '' AND k IN (SELECT l_orderkey FROM lineitem) AND place_id NOT IN (SELECT place_id FROM recent)
+    AND NOT (k % 9 IN (0, 3, 4, 5) AND k % 6 NOT IN (0, 1))
+)""",
+            """
+fresh_rows AS (
+  SELECT * FROM fetched UNION ALL
+  SELECT place_id, restaurant_name, rating, happy_hour_times, freshness_date FROM existing
+  WHERE place_id IN (SELECT place_id FROM recent) AND place_id NOT IN (SELECT place_id FROM fetched)
+)""",
+            # Names occur twice, so at most one new id meets a name without id.
+            """
+aimed AS (
+  SELECT n.*, CASE WHEN e.place_id IS NOT NULL THEN 'id:' || n.place_id WHEN l.restaurant_name IS NOT NULL
+      THEN 'name:' || n.restaurant_name ELSE 'id:' || n.place_id END AS target
+  FROM fresh_rows n LEFT JOIN existing e ON e.place_id = n.place_id
+  LEFT JOIN existing l ON l.place_id = '' AND l.restaurant_name = n.restaurant_name
+)""",
+            """
+known AS (
+  SELECT *, CASE WHEN place_id <> '' THEN 'id:' || place_id ELSE 'name:' || restaurant_name END AS target FROM existing
+)""",
+        ],
+        """SELECT coalesce(n.place_id, e.place_id) AS place_id, coalesce(n.restaurant_name, e.restaurant_name)
+             AS restaurant_name, coalesce(n.rating, e.rating) AS rating,
+             coalesce(nullif(n.happy_hour_times, ''), e.happy_hour_times, n.happy_hour_times) AS happy_hour_times,
+             CASE WHEN n.target IS NOT NULL THEN n.freshness_date ELSE e.freshness_date END AS freshness_date,
+             CASE WHEN e.target IS NULL THEN 'added' WHEN n.target IS NOT NULL THEN 'updated' ELSE 'kept' END AS action,
+             starts_with(target, 'name:') AND n.target IS NOT NULL AS upgraded
+           FROM known e FULL JOIN aimed n USING (target)""",
     ),
     "enriched_site": derived.with_sql(
         [derived.PLACES_SQL, derived.OVERRIDES_SQL, derived.MENU_SQL, directory_queries.OVERRIDE_SQL,
