@@ -278,3 +278,14 @@ def test_prompts_do_not_refill_values(spark):
     frame = spark.range(1).select(extraction.menu_prompt(F.lit("{text}"), F.lit("T{name}"), F.lit("  ")).alias("p"))
     text = frame.first().p
     assert "Venue: {text}\n" in text and text.endswith("T{name}") and "Known hours" not in text
+
+
+def test_hours_prompts_share_a_site(spark):
+    places = spark.createDataFrame([(i, "https://x.com/?p=1" if i < 40 else "", f"N{i}", "") for i in range(50)], "k int, website_url string, restaurant_name string, happy_hour_times string")
+    stored = spark.createDataFrame(
+        [("https://x.com/", '<a href="/specials">go</a> home'), ("https://x.com/specials", "<p>Monday 3 to 6</p>")], "url string, html string"
+    )
+    rows = extraction.build_hours_prompts(places, stored, ["k"]).collect()
+    assert len(rows) == 40 and {(r.page_url, r.first_url, r.text) for r in rows} == {("https://x.com/specials", "https://x.com/specials", "Monday 3 to 6")}
+    short = extraction.build_menu_prompts(places, stored, ["k"])
+    assert short.count() == 0

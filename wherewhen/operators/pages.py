@@ -10,6 +10,7 @@ from ..functions.markup import (
     LINK_PATH_WORDS, LINK_TEXT_WORDS, MAX_LINKS, MAX_TEXT, SHORT_TEXT, WORD_END, is_script_shell,
     needs_render, page_text, same_site_links,
 )
+from ..functions.text import let
 from ..functions.urls import host, link_parts, path, site, strip_query, url_key
 from .keyed import first_per_key, lookup
 
@@ -95,78 +96,123 @@ def page_images(pages: DataFrame, keys: list[str], limit: int = MAX_IMAGES) -> D
     return ranked.select(*keys, (F.col("place") - 1).alias("ord"), F.col("address").alias("url"))
 
 
-def choose_page(
-    bases: DataFrame, pages: DataFrame, keys: list[str], website: str = "website_url",
-    explicit: list[str] = EXPLICIT_PATHS, generic: list[str] = GENERIC_PATHS,
+def choose_site_page(
+    sites: DataFrame, pages: DataFrame, explicit: list[str] = EXPLICIT_PATHS, generic: list[str] = GENERIC_PATHS,
     text_words: str = LINK_TEXT_WORDS, path_words: str = LINK_PATH_WORDS,
 ) -> DataFrame:
-    """The page to read for every website.
+    """``base, page_url, tier`` for a table of distinct cleaned site addresses.
 
     The first page that exists among telling paths, links found on the home
-    page, general paths; otherwise the website itself. Candidates are rows, the
+    page, general paths; otherwise the site itself. Candidates are rows, the
     existence test is a semi join on the cleaned address, and the choice is a
     minimum that combines before the shuffle.
     """
-    base = bases.filter(F.col(website) != "").select(*keys, strip_query(F.col(website)).alias("base"))
     tried = F.array(*[
         F.struct(F.lit(tier).alias("tier"), F.lit(i).alias("ord"), F.concat("base", F.lit(p)).alias("candidate"))
         for tier, paths in ((0, explicit), (2, generic)) for i, p in enumerate(paths)
     ])
-    fixed = base.select(*keys, "base", F.explode(tried).alias("c")).select(*keys, "c.*")
+    fixed = sites.select("base", F.explode(tried).alias("c")).select("base", "c.*")
     addressed = pages.withColumn("address", strip_query(F.col("url")))
     homes = first_per_key(
-        addressed.join(base.select(F.col("base").alias("address")).distinct(), "address", "left_semi"),
-        ["address"], ["url"],
+        addressed.join(sites.select(F.col("base").alias("address")), "address", "left_semi"), ["address"], ["url"]
     )
-    links = homes.select(
-        F.col("address").alias("base"),
-        F.posexplode(same_site_links(F.col("html"), F.col("address"), text_words, path_words)).alias("ord", "candidate"),
+    links = same_site_links(F.col("html"), F.col("address"), text_words, path_words)
+    crawled = homes.select(
+        F.col("address").alias("base"), F.lit(1).alias("tier"), F.posexplode(links).alias("ord", "candidate")
     )
-    crawled = base.join(links, "base").select(*keys, F.lit(1).alias("tier"), "ord", "candidate")
     live = fixed.unionByName(crawled).join(
         addressed.select(F.col("address").alias("candidate")).distinct(), "candidate", "left_semi"
     )
-    chosen = live.groupBy(*keys).agg(F.min(F.struct("tier", "ord", "candidate")).alias("best"))
-    return base.join(chosen, keys, "left").select(
-        *keys, "base", F.coalesce("best.candidate", "base").alias("page_url"),
-        F.coalesce("best.tier", F.lit(3)).alias("tier"),
+    chosen = live.groupBy("base").agg(F.min(F.struct("tier", "ord", "candidate")).alias("best"))
+    return sites.join(chosen, "base", "left").select(
+        "base", F.coalesce("best.candidate", "base").alias("page_url"), F.coalesce("best.tier", F.lit(3)).alias("tier")
     )
 
 
+def site_addresses(places: DataFrame, website: str = "website_url") -> DataFrame:
+    """Distinct cleaned websites; places that share one count once from here on."""
+    return places.filter(F.col(website) != "").select(strip_query(F.col(website)).alias("base")).distinct()
+
+
+def choose_page(places: DataFrame, pages: DataFrame, keys: list[str], website: str = "website_url", **options) -> DataFrame:
+    """``keys, page_url, tier``: the page to read for every place with a website."""
+    chosen = choose_site_page(site_addresses(places, website), pages, **options)
+    visited = places.filter(F.col(website) != "").select(*keys, strip_query(F.col(website)).alias("__site"))
+    found = lookup(visited, chosen, F.col("__site"), "base", "__page", keys, ["page_url", "tier"])
+    return found.select(*keys, "__page.page_url", "__page.tier")
+
+
 def texts_by_address(pages: DataFrame) -> DataFrame:
     """One text per cleaned address, the longest where several pages share it."""
     return pages.groupBy(strip_query(F.col("url")).alias("address")).agg(
-        F.max_by("text", F.struct(F.length("text"), "text")).alias("stored_text")
+        F.max(F.struct(F.length("text").alias("n"), "text"))["text"].alias("stored_text")
     )
 
 
+def better_text(
+    base: Column, page_url: Column, text: Column, home_text: Column, root_text: Column, usable: int = SHORT_TEXT
+) -> Column:
+    """``struct<page_url, text>``: the text, or what the home page says when it is short.
+
+    ``/home`` comes before ``/``; a variant replaces the text only when it is
+    strictly longer, and one that is usable ends the search.
+    """
+    def bare(url: Column) -> Column:
+        return F.regexp_replace(url, r"/+\z", "")
+
+    def step(now: Column, path_: str, found: Column) -> Column:
+        url = F.concat(base, F.lit(path_))
+        size = F.coalesce(F.length(now["text"]), F.lit(0))
+        better = (size < usable) & (bare(url) != bare(now["page_url"])) & (F.length(found) > size)
+        return F.when(better, F.struct(url.alias("page_url"), found.alias("text"))).otherwise(now)
+
+    start = F.struct(page_url.alias("page_url"), text.alias("text"))
+    at_home = let(start, lambda now: step(now, "/home", home_text))
+    return let(at_home, lambda now: step(now, "/", root_text))
+
+
 def fallback_pages(
     chosen: DataFrame, texts: DataFrame, keys: list[str], website: str = "website_url", page_url: str = "page_url",
     text: str = "text", usable: int = SHORT_TEXT,
 ) -> DataFrame:
-    """Where the chosen text is short, the home page's variants if they say more.
+    """``better_text`` for rows with a chosen page; ``texts`` comes from ``texts_by_address``.
 
-    ``/home`` comes before ``/``; a variant replaces the text only when it is
-    strictly longer, and one that is usable ends the search. ``texts`` comes
-    from ``texts_by_address``.
+    Only rows with a short text look anything up.
     """
     base = strip_query(F.col(website))
     short = F.coalesce(F.length(text), F.lit(0)) < usable
-    rows = chosen.withColumns({"__home": F.concat(base, F.lit("/home")), "__root": F.concat(base, F.lit("/"))})
-    for name in ("__home", "__root"):
-        address = F.when(short, strip_query(F.col(name)))
-        rows = lookup(rows, texts, address, "address", f"{name}_hit", keys, ["stored_text"])
-    rows = rows.withColumn(
-        "__state", F.struct(F.col(page_url).alias("page_url"), F.col(text).alias("text"))
+    rows = chosen
+    for name, path_ in (("__home", "/home"), ("__root", "")):
+        address = F.when(short, F.concat(base, F.lit(path_)))
+        rows = lookup(rows, texts, address, "address", name, keys, ["stored_text"])
+    best = better_text(
+        base, F.col(page_url), F.col(text), F.col("__home.stored_text"), F.col("__root.stored_text"), usable
     )
-    for name in ("__home", "__root"):
-        now, found = F.col("__state"), F.col(f"{name}_hit.stored_text")
-        size = F.coalesce(F.length(now["text"]), F.lit(0))
-        other = F.regexp_replace(name, r"/+\z", "") != F.regexp_replace(now["page_url"], r"/+\z", "")
-        better = (size < usable) & other & (F.length(found) > size)
-        rows = rows.withColumn(
-            "__state",
-            F.when(better, F.struct(F.col(name).alias("page_url"), found.alias("text"))).otherwise(now),
-        )
     rest = [c for c in chosen.columns if c not in (page_url, text)]
-    return rows.select(*rest, F.col("__state.page_url").alias(page_url), F.col("__state.text").alias(text))
+    return rows.withColumn("__best", best).select(
+        *rest, F.col("__best.page_url").alias(page_url), F.col("__best.text").alias(text)
+    )
+
+
+def site_texts(chosen: DataFrame, pages: DataFrame, max_chars: int | None = MAX_TEXT) -> DataFrame:
+    """``base, page_url, first_url, text`` of the sites that have a text to read.
+
+    ``chosen`` has ``base`` and ``page_url``. The page and both home variants
+    are asked for in one join, only pages asked for are cleaned, and the texts
+    of a site, three at most, are brought together by an aggregate.
+    """
+    asked = F.array(*[
+        F.struct(F.lit(i).alias("rank"), address.alias("address"))
+        for i, address in enumerate((strip_query(F.col("page_url")), F.concat("base", F.lit("/home")), F.col("base")))
+    ])
+    wanted = chosen.select("base", "page_url", F.explode(asked).alias("a")).select("base", "page_url", "a.*")
+    stored = pages.select(strip_query(F.col("url")).alias("address"), "html")
+    read = stored.join(wanted, "address").select("base", "page_url", "rank", page_text(F.col("html"), max_chars).alias("text"))
+    sized = F.struct(F.length("text").alias("n"), "text")
+    texts = read.groupBy("base", "page_url").agg(
+        *[F.max(F.when(F.col("rank") == i, sized)).alias(f"t{i}") for i in range(3)]
+    )
+    best = better_text(F.col("base"), F.col("page_url"), F.col("t0.text"), F.col("t1.text"), F.col("t2.text"))
+    return texts.withColumn("best", best).select(
+        "base", "best.page_url", F.col("page_url").alias("first_url"), "best.text"
+    )

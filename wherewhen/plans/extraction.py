@@ -17,7 +17,7 @@ from ..functions.schedule import schedule_from_items
 from ..functions.text import filled, not_blank, trim_space
 from ..functions.urls import strip_query
 from ..operators.keyed import lookup
-from ..operators.pages import choose_page, fallback_pages, texts_by_address, with_text
+from ..operators.pages import choose_site_page, site_addresses, site_texts
 
 MENU_TEMPLATE = (
     "Venue: {name}\n{schedule}List the cheapest drink and the cheapest dish that are on special in the text "
@@ -60,43 +60,41 @@ def hours_prompt(text: Column) -> Column:
     return fill_template(HOURS_TEMPLATE, text=text)
 
 
-def read_pages(places: DataFrame, pages: DataFrame, keys: list[str], **page_options) -> DataFrame:
-    """Places with a website and the text to read: ``page_url``, ``first_url``, ``text``.
+def read_sites(places: DataFrame, pages: DataFrame, **page_options) -> DataFrame:
+    """``base, page_url, first_url, text`` for the distinct websites of the places.
 
-    Pages are chosen by address alone. Only pages that were chosen, or are a
-    home page to fall back to, are cleaned, each once; their texts are then
-    looked up by address.
+    All of it depends on the website only, so places that share one are counted
+    once. Pages are chosen by address alone, and texts read afterwards.
     """
-    visited = places.filter(filled(F.col("website_url")))
-    chosen = choose_page(visited, pages, keys, **page_options).select(
-        *keys, "base", "page_url", F.col("page_url").alias("first_url")
-    )
-    addresses = chosen.select(
-        F.explode(F.array(strip_query(F.col("page_url")), F.concat("base", F.lit("/home")), F.col("base"))).alias("address")
-    ).distinct()
-    needed = pages.withColumn("address", strip_query(F.col("url"))).join(addresses, "address", "left_semi")
-    texts = texts_by_address(with_text(needed).select("url", "text"))
-    found = lookup(
-        chosen.drop("base"), texts, strip_query(F.col("page_url")), "address", "__page", keys, ["stored_text"]
-    ).withColumn("text", F.col("__page.stored_text")).drop("__page")
-    return fallback_pages(visited.join(found, keys), texts, keys)
+    return site_texts(choose_site_page(site_addresses(places), pages, **page_options), pages)
+
+
+def _place_texts(places: DataFrame, sites: DataFrame, keys: list[str]) -> DataFrame:
+    """The text of its website for every place whose website has one."""
+    visited = places.filter(filled(F.col("website_url"))).withColumn("__base", strip_query(F.col("website_url")))
+    columns = ["page_url", "first_url", "text"]
+    found = lookup(visited, sites, F.col("__base"), "base", "__site", keys, columns)
+    return found.filter(F.col("__site").isNotNull()).select(*places.columns, *[f"__site.{c}" for c in columns])
 
 
 def build_menu_prompts(
     places: DataFrame, pages: DataFrame, keys: list[str], anchors: list[str] | None = None, **page_options
 ) -> DataFrame:
     """``keys, page_url, first_url, text, prompt`` for pages that say enough."""
-    read = read_pages(places, pages, keys, **page_options).filter(F.length("text") >= MIN_TEXT)
-    focused = read.withColumn("text", focused_text(F.col("text"), anchors))
-    return focused.select(
+    sites = read_sites(places, pages, **page_options).filter(F.length("text") >= MIN_TEXT)
+    focused = sites.withColumn("text", focused_text(F.col("text"), anchors))
+    return _place_texts(places, focused, keys).select(
         *keys, "page_url", "first_url", "text",
         menu_prompt(F.col("restaurant_name"), F.col("text"), F.col("happy_hour_times")).alias("prompt"),
     )
 
 
 def build_hours_prompts(places: DataFrame, pages: DataFrame, keys: list[str], **page_options) -> DataFrame:
-    read = read_pages(places, pages, keys, **page_options).filter(F.length("text") > 0)
-    return read.select(*keys, "page_url", "first_url", "text", hours_prompt(F.col("text")).alias("prompt"))
+    """As ``build_menu_prompts`` for weekly hours; any text will do and all of it is shown."""
+    sites = read_sites(places, pages, **page_options).filter(F.length("text") > 0)
+    return _place_texts(places, sites, keys).select(
+        *keys, "page_url", "first_url", "text", hours_prompt(F.col("text")).alias("prompt")
+    )
 
 
 def _present(item: Column) -> Column:
