@@ -88,6 +88,9 @@ def test_region_table_equals_region_chain(spark):
     chain = regions.assign_region(frame, NEIGHBORHOODS).select("k", "neighborhood")
     table = regions.assign_region_table(frame, regions.boxes_frame(spark, NEIGHBORHOODS), ["k"], tile_degrees=0.02)
     assert sorted(chain.collect()) == sorted(table.select("k", "neighborhood").collect())
+    named = frame.withColumnRenamed("k", "id")
+    again = regions.assign_region_table(named, regions.boxes_frame(spark, NEIGHBORHOODS), ["id"])
+    assert sorted(map(tuple, again.select("id", "neighborhood").collect())) == sorted(map(tuple, chain.collect()))
 
 
 def test_area_selection():

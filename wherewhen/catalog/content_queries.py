@@ -377,7 +377,7 @@ def response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hours_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = derived.places(spark, sf_dir)
-    answers = places.filter(F.col("k") % 3 != 1).select("k", _hours_answer().alias("response"))
+    answers = places.select("k", _hours_answer().alias("response"))
     return extraction.apply_hours_responses(places, answers, ["k"]).select(
         "k", "happy_hour_times", "source", "extracted"
     )
@@ -390,9 +390,8 @@ def menus_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cheapest_drink": none, "cheapest_food": none, "menu_url": none,
         "cheapest_drink_price": F.lit(None).cast("double"), "cheapest_food_price": F.lit(None).cast("double"),
     })
-    asked = places.filter(F.col("k") % 5 != 4)
-    prompts = asked.select("k", F.col("address").alias("text"), F.col("website_url").alias("page_url"), F.col("website_url").alias("first_url"))
-    answers = asked.select("k", _menu_answer().alias("response"))
+    prompts = places.select("k", F.col("address").alias("text"), F.col("website_url").alias("page_url"), F.col("website_url").alias("first_url"))
+    answers = places.select("k", _menu_answer().alias("response"))
     return extraction.apply_menu_responses(places, prompts, answers, ["k"]).select(
         "k", "cheapest_drink", "cheapest_drink_price", "cheapest_food", "cheapest_food_price", "menu_summary",
         "menu_url", "extracted",
@@ -735,17 +734,17 @@ ORACLE = {
               CASE k % 4 WHEN 1 THEN 'medium' WHEN 3 THEN 'none' ELSE 'low' END AS confidence FROM places""",
     ),
     "hours_applied": derived.with_sql(
-        [derived.PLACES_SQL, "a AS (SELECT *, k % 3 <> 1 AND k % 4 = 1 AND k % 5 <> 0 AS extracted FROM places)"],
+        [derived.PLACES_SQL, "a AS (SELECT *, k % 4 = 1 AND k % 5 <> 0 AS extracted FROM places)"],
         """SELECT k, CASE WHEN extracted THEN 'Monday: 3 - 6 PM | Friday: 4 - 7 PM' ELSE happy_hour_times END
              AS happy_hour_times,
              CASE WHEN extracted THEN 'Website (AI parsed, medium confidence)' ELSE source END AS source, extracted FROM a""",
     ),
     "menus_applied": derived.with_sql(
-        [derived.PLACES_SQL, f"a AS (SELECT *, k % 5 <> 4 AND {_MENU_OK} AS extracted FROM places)"],
+        [derived.PLACES_SQL, f"a AS (SELECT *, {_MENU_OK} AS extracted FROM places)"],
         """SELECT k, CASE WHEN extracted THEN '$' || (k % 9) || ' Street ' || (k % 4) END AS cheapest_drink,
              CASE WHEN extracted THEN k % 9 + CAST(0.5 AS DOUBLE) END AS cheapest_drink_price,
              CAST(NULL AS VARCHAR) AS cheapest_food, CAST(NULL AS DOUBLE) AS cheapest_food_price,
-             CASE WHEN extracted THEN 's' || (k % 5) WHEN k % 5 <> 4 THEN '' ELSE menu_summary END AS menu_summary,
+             CASE WHEN extracted THEN 's' || (k % 5) ELSE '' END AS menu_summary,
              CASE WHEN extracted THEN website_url END AS menu_url, extracted FROM a""",
     ),
     "prompt_texts": derived.with_sql(

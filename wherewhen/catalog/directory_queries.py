@@ -135,9 +135,11 @@ def union_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def menu_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The menu table with itself under shifted ids put over it."""
     menu = derived.menu(spark, sf_dir)
-    old, new = menu.filter(F.col("ord") % 3 != 1), menu.filter(F.col("ord") % 2 == 1)
-    return keyed.upsert(old, new)
+    k = F.col("ord")
+    shifted = F.when(k % 4 == 0, "").otherwise(derived.place_key(k * 7 % 3000))
+    return keyed.upsert(menu, menu.withColumns({"place_id": shifted, "menu_url": F.lit("/new")}))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,7 +403,9 @@ ORACLE = {
     "menu_upsert": derived.with_sql(
         [derived.MENU_SQL],
         """SELECT * EXCLUDE (side) FROM (
-             SELECT *, 0 AS side FROM menu WHERE ord % 3 <> 1 UNION ALL SELECT *, 1 FROM menu WHERE ord % 2 = 1)
+             SELECT *, 0 AS side FROM menu UNION ALL
+             SELECT * REPLACE (CASE WHEN ord % 4 = 0 THEN '' ELSE 'P' || lpad(CAST(ord * 7 % 3000 AS VARCHAR), 9, '0') END
+               AS place_id, '/new' AS menu_url), 1 FROM menu)
            QUALIFY row_number() OVER (PARTITION BY CASE WHEN trim(place_id) <> '' THEN place_id ELSE restaurant_name END
              ORDER BY side DESC, ord DESC) = 1""",
     ),

@@ -102,41 +102,34 @@ def near_centers(
     lng_limit = 180.0 - d_lng
     p = points.filter(has_position(F.col("lat"), F.col("lng"))).select(
         *point_keys,
-        checked(F.col("lat"), max_abs_lat, "latitude").alias("lat"),
-        checked(F.col("lng"), lng_limit, "longitude").alias("lng"),
+        checked(F.col("lat"), max_abs_lat, "latitude").alias("__lat"),
+        checked(F.col("lng"), lng_limit, "longitude").alias("__lng"),
+        F.pmod(F.xxhash64(*point_keys), F.lit(salts)).cast("int").alias("__salt"),
     )
-    p = p.withColumns({
-        "cx": _cell(F.col("lng"), d_lng), "cy": _cell(F.col("lat"), d_lat),
-        "salt": F.pmod(F.xxhash64(*point_keys), F.lit(salts)).cast("int"),
-    })
+    lat, lng, center_lat, center_lng = (F.col(c) for c in ("__lat", "__lng", "__center_lat", "__center_lng"))
+    p = p.withColumns({"__cx": _cell(lng, d_lng), "__cy": _cell(lat, d_lat)})
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     c = (
         centers.filter(has_position(F.col("lat"), F.col("lng")))
         .select(
             center_key,
-            checked(F.col("lat"), max_abs_lat, "latitude").alias("center_lat"),
-            checked(F.col("lng"), lng_limit, "longitude").alias("center_lng"),
+            checked(F.col("lat"), max_abs_lat, "latitude").alias("__center_lat"),
+            checked(F.col("lng"), lng_limit, "longitude").alias("__center_lng"),
         )
-        .withColumn("dx", F.explode(steps))
-        .withColumn("dy", F.explode(steps))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .withColumn("__dx", F.explode(steps))
+        .withColumn("__dy", F.explode(steps))
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         .select(
-            center_key, "center_lat", "center_lng", "salt",
-            (_cell(F.col("center_lng"), d_lng) + F.col("dx")).alias("cx"),
-            (_cell(F.col("center_lat"), d_lat) + F.col("dy")).alias("cy"),
+            center_key, "__center_lat", "__center_lng", "__salt",
+            (_cell(center_lng, d_lng) + F.col("__dx")).alias("__cx"),
+            (_cell(center_lat, d_lat) + F.col("__dy")).alias("__cy"),
         )
     )
     pairs = (
-        p.join(c, ["cx", "cy", "salt"])
+        p.join(c, ["__cx", "__cy", "__salt"])
         # Cheap differences rule out most neighbours before any trigonometry.
-        .filter(
-            (F.abs(F.col("lat") - F.col("center_lat")) <= d_lat)
-            & (F.abs(F.col("lng") - F.col("center_lng")) <= d_lng)
-        )
-        .withColumn(
-            "distance",
-            great_circle(F.col("center_lat"), F.col("center_lng"), F.col("lat"), F.col("lng"), EARTH_METERS),
-        )
+        .filter((F.abs(lat - center_lat) <= d_lat) & (F.abs(lng - center_lng) <= d_lng))
+        .withColumn("distance", great_circle(center_lat, center_lng, lat, lng, EARTH_METERS))
         .filter(F.col("distance") <= meters)
         .select(center_key, *point_keys, "distance")
     )

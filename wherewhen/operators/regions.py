@@ -66,20 +66,23 @@ def assign_region_table(
     def tile(value):
         return F.floor(value / tile_degrees)
 
+    box = {name: F.col(f"__{name}") for name in ("ord", "id", "south", "west", "north", "east")}
     listed = (
-        boxes.withColumn("ty", F.explode(F.sequence(tile(F.col("south")), tile(F.col("north")))))
-        .withColumn("tx", F.explode(F.sequence(tile(F.col("west")), tile(F.col("east")))))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        boxes.select(*[F.col(name).alias(f"__{name}") for name in box])
+        .withColumn("__ty", F.explode(F.sequence(tile(box["south"]), tile(box["north"]))))
+        .withColumn("__tx", F.explode(F.sequence(tile(box["west"]), tile(box["east"]))))
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
+    lat, lng = F.col("__lat"), F.col("__lng")
     placed = points.filter(has_position(F.col("lat"), F.col("lng"))).select(
-        *keys, "lat", "lng", tile(F.col("lat")).alias("ty"), tile(F.col("lng")).alias("tx"),
-        F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int").alias("salt"),
+        *keys, F.col("lat").alias("__lat"), F.col("lng").alias("__lng"),
+        tile(F.col("lat")).alias("__ty"), tile(F.col("lng")).alias("__tx"),
+        F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int").alias("__salt"),
     )
-    hits = placed.join(listed, ["ty", "tx", "salt"]).filter(
-        F.col("lat").between(F.col("south"), F.col("north"))
-        & F.col("lng").between(F.col("west"), F.col("east"))
+    hits = placed.join(listed, ["__ty", "__tx", "__salt"]).filter(
+        lat.between(box["south"], box["north"]) & lng.between(box["west"], box["east"])
     )
-    chosen = hits.groupBy(*keys).agg(F.min(F.struct("ord", "id"))["id"].alias(into))
+    chosen = hits.groupBy(*keys).agg(F.min(F.struct("__ord", "__id"))["__id"].alias(into))
     return points.join(chosen, keys, "left")
 
 
