@@ -9,6 +9,8 @@ from ..functions import focus, markup, urls
 from ..operators import documents, items, pages
 from ..operators.intervals import merge_intervals
 from ..plans import extraction, refresh
+from ..operators.keyed import attach_menu
+from ..sources import tables
 from ..sources.documents import page_by_url
 from ..sources.menu_files import menu_lines, parse_menu_lines
 from ..schema import MORE_KEYWORDS
@@ -94,6 +96,12 @@ def menu_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return menu_lines(rows)
 
 
+def menu_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the menu file: places with a summary after the menu was attached."""
+    joined = attach_menu(derived.places(spark, sf_dir), derived.menu(spark, sf_dir), seeds=["k"])
+    return tables.menu_export(joined)
+
+
 # --- intervals --------------------------------------------------------------------
 
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -440,7 +448,7 @@ def enriched_site(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cheapest_per_category, option_summary, price_tokens, menu_labels, menu_file_rows, menu_file_lines,
+        cheapest_per_category, option_summary, price_tokens, menu_labels, menu_file_rows, menu_file_lines, menu_export,
         interval_merge, page_text, page_links, page_links_mixed, url_forms, spa_pages, rendered_text,
         page_candidates, page_fallback, page_lookup, image_candidates, focus_windows, focused_texts,
         grounding_check, place_documents_flat, category_filter, documents_within, gap_keywords, response_parse,
@@ -613,6 +621,13 @@ ORACLE = {
              CASE WHEN dl = '' THEN fl WHEN fl = '' THEN dl WHEN coalesce(fp, 0) <= dp THEN fl || ' and ' || dl
                ELSE dl || ' and ' || fl END AS cheapest_options_summary FROM lab""",
     ),
+    "menu_export": directory_queries.ORACLE["menu_join"].replace("SELECT p.k, nullif", """SELECT place_id, restaurant_name,
+             coalesce(cheapest_drink, '') AS cheapest_drink,
+             coalesce(CAST(cheapest_drink_price AS VARCHAR), '') AS cheapest_drink_price,
+             coalesce(cheapest_food, '') AS cheapest_food,
+             coalesce(CAST(cheapest_food_price AS VARCHAR), '') AS cheapest_food_price, menu_summary,
+             coalesce(menu_url, '') AS menu_url FROM (SELECT p.place_id, p.restaurant_name, nullif""", 1)
+    + ") WHERE menu_summary <> ''",
     "interval_merge": """
         WITH r AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s,
             CAST(floor(epoch(ts)) AS BIGINT) + event_id % 50 * 1200 AS e FROM events),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import SPACE, digits_to_int, let, plain_marks, squeeze_space
 
+# The clock forms that are understood.
 _CLOCK_24 = r"^([0-9]{1,2}):([0-9]{2})\z"
 _CLOCK_12 = rf"(?i)^([0-9]{{1,2}})(?::([0-9]{{2}}))?{SPACE}*(am|pm|a\.m\.|p\.m\.)"
 _EITHER = rf"(?is)^([0-9]{{1,2}})(?::([0-9]{{2}}))?{SPACE}*(am|pm|a\.m\.|p\.m\.|\z).*\z"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import let, trim_space
 
-# Where to look for JSON in an answer, in this order; the whole text comes last.
+# Where to look for JSON in an answer, in this order; the whole text comes last.
 _FENCED_JSON = r"(?s)```json\n?(.*?)\n?```"
 _FENCED = r"(?s)```\n?(.*?)\n?```"
 _BRACES = r"(?s)\{.*\}"
@@ -32,15 +32,18 @@ def is_json(text: Column) -> Column:
     return F.coalesce(one & member.isNotNull(), F.lit(False))
 
 
-def json_block(text: Column) -> Column:
-    """The first candidate that parses: fenced as json, fenced, outermost braces, all."""
+def json_block(text: Column, braces: bool = True) -> Column:
+    """The first candidate that parses: fenced as json, fenced, outermost braces, all.
+
+    Without ``braces`` an object inside other text is not looked for.
+    """
     def valid(candidate: Column) -> Column:
         return F.when(is_json(candidate), candidate)
 
     def search(c: Column) -> Column:
         # Later candidates are only parsed when the earlier ones fail.
         return F.coalesce(
-            *[valid(c[name]) for name in ("fenced_json", "fenced", "braces", "whole")]
+            *[valid(c[name]) for name in ("fenced_json", "fenced", "braces", "whole") if braces or name != "braces"]
         )
 
     def candidates(t: Column) -> Column:

@@ -12,6 +12,8 @@ asking who is active needs neither an explode nor a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,14 +56,18 @@ def day_name(index: Column) -> Column:
 
 # --- flexible reading -------------------------------------------------------
 
-def flexible_entries(c: Column) -> Column:
+def flexible_entries(c: Column, wanted: Callable[[Column], Column] | None = None) -> Column:
     """``array<struct<entry_ord, day_raw, day_idx, closed, body>>``.
 
     Entries that do not look like ``day: text`` keep their place with an empty
-    body and no day.
+    body and no day. With ``wanted``, a condition on the weekday index, other
+    entries are put aside before any of the costlier parsing.
     """
+    texts = F.split(clean_schedule(c), ENTRY_SEPARATOR)
+    if wanted is not None:
+        texts = F.filter(texts, lambda e: wanted(day_index(trim_space(F.substring_index(e, ":", 1)))))
     parts = F.transform(
-        F.split(clean_schedule(c), ENTRY_SEPARATOR),
+        texts,
         lambda e, i: F.struct(
             i.alias("entry_ord"),
             F.substring_index(e, ":", 1).alias("head"),
@@ -128,22 +134,19 @@ def is_active(c: Column, day: Column, minute: Column, carry_to_next_day: bool =
     session's own weekday. ``carry_to_next_day`` moves them to the day after.
     Only entries of the day asked for have their clock texts read.
     """
-    entries = flexible_entries(c)
     if not carry_to_next_day:
-        today = F.filter(entries, lambda e: (e["day_idx"] == day) & ~e["closed"])
         hit = F.exists(
-            today,
-            lambda e: F.exists(
+            flexible_entries(c, lambda index: index == day),
+            lambda e: (e["day_idx"] == day) & ~e["closed"] & F.exists(
                 flexible_sessions(e["body"]),
                 lambda s: s["usable"] & within(s["start_min"], s["end_min"], minute),
             ),
         )
     else:
         before = (day + 6) % 7
-        near = F.filter(entries, lambda e: e["day_idx"].isin(day, before) & ~e["closed"])
         hit = F.exists(
-            near,
-            lambda e: F.exists(
+            flexible_entries(c, lambda index: index.isin(day, before)),
+            lambda e: e["day_idx"].isin(day, before) & ~e["closed"] & F.exists(
                 flexible_sessions(e["body"]),
                 lambda s: s["usable"] & F.when(
                     e["day_idx"] == day,
