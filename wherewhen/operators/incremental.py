@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsontext import is_json
 from ..functions.text import filled, iso_date
-from .keyed import last_per_key, spread_key
+from .keyed import last_per_key, splittable_join, spread_key
 
 
 def request_key(request: Column) -> Column:
@@ -34,7 +34,7 @@ def ttl_latest(
 
 def batch_lookup(keys: DataFrame, valid: DataFrame, key: str = "key") -> DataFrame:
     """All requested keys; NULL where nothing valid is stored."""
-    return keys.join(valid, key, "left")
+    return splittable_join(keys, valid, key)
 
 
 def is_fresh(date: Column, as_of: datetime | str, days: int) -> Column:
@@ -59,7 +59,7 @@ def skip_fresh(candidates: DataFrame, fresh: DataFrame) -> DataFrame:
     """
     seeds = [F.col(c) for c in candidates.columns]
     keyed = candidates.withColumn("__key", spread_key(F.nullif(F.col("place_id"), F.lit("")), *seeds))
-    return keyed.join(fresh.select(F.col("place_id").alias("__key")), "__key", "left_anti").drop("__key")
+    return splittable_join(keyed, fresh.select(F.col("place_id").alias("__key")), "__key", "left_anti").drop("__key")
 
 
 def pending_schedules(places: DataFrame) -> DataFrame:

@@ -58,6 +58,20 @@ def spread_key(key: Column, *seeds: Column) -> Column:
     return F.coalesce(key, F.concat(F.lit("\u0000"), F.xxhash64(*seeds).cast("string")))
 
 
+def splittable_join(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """Equi-join whose crowded left keys Spark can split at run time.
+
+    A right side that was just grouped by the key is already partitioned by it.
+    Spark would join it in place, and then cannot divide a crowded partition of
+    the left side. The hashed key as a second join column makes both sides
+    exchange for the join, which is where skew is detected.
+    """
+    hashed = "__key_hash"
+    return left.withColumn(hashed, F.xxhash64(on)).join(
+        right.withColumn(hashed, F.xxhash64(on)), [on, hashed], how
+    ).drop(hashed)
+
+
 def lookup(
     left: DataFrame, right: DataFrame, left_key: Column, right_key: str, into: str, seeds: list[str],
     payload: list[str],
@@ -68,13 +82,9 @@ def lookup(
     size allows, and otherwise splits a crowded left key at run time, which is
     safe because each key has a single right row.
     """
-    found = right.select(
-        F.col(right_key).alias("__lookup_key"), F.struct(*payload).alias(into)
-    )
-    keyed = left.withColumn("__left_key", spread_key(left_key, *[F.col(s) for s in seeds]))
-    return keyed.join(found, F.col("__left_key") == F.col("__lookup_key"), "left").drop(
-        "__left_key", "__lookup_key"
-    )
+    found = right.select(F.col(right_key).alias("__lookup"), F.struct(*payload).alias(into))
+    keyed = left.withColumn("__lookup", spread_key(left_key, *[F.col(s) for s in seeds]))
+    return splittable_join(keyed, found, "__lookup").drop("__lookup")
 
 
 def precedence_join(
@@ -174,7 +184,7 @@ def ambiguous_names(reference: DataFrame, order: str) -> DataFrame:
         trimmed_key(F.col("restaurant_name")).alias("name"), trimmed_key(F.col("place_id")).alias("place_id"),
         F.col(order).alias("ord"),
     ).filter(F.col("name").isNotNull() & F.col("place_id").isNotNull())
-    return rows.join(shared, "name")
+    return splittable_join(rows, shared, "name", "inner")
 
 
 def key_backfill(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import filled
 from ..schema import EXTRACTED_COLUMNS
-from .keyed import spread_key
+from .keyed import splittable_join, spread_key
 
 
 def _truthy(name: str, kind: str) -> Column:
@@ -32,11 +32,12 @@ def _route(new: DataFrame, known_ids: DataFrame, legacy_names: DataFrame, compat
         "__id_key": spread_key(ids, F.col("__seq"), F.col("restaurant_name")),
         "__name_key": spread_key(names, F.col("__seq"), F.col("place_id")),
     })
-    rows = rows.join(
-        known_ids.select(F.col("place_id").alias("__id_key"), F.lit(True).alias("__known")), "__id_key", "left"
-    ).join(
-        legacy_names.select(F.col("restaurant_name").alias("__name_key"), F.lit(True).alias("__legacy")),
-        "__name_key", "left",
+    rows = splittable_join(
+        rows, known_ids.select(F.col("place_id").alias("__id_key"), F.lit(True).alias("__known")), "__id_key"
+    )
+    rows = splittable_join(
+        rows, legacy_names.select(F.col("restaurant_name").alias("__name_key"), F.lit(True).alias("__legacy")),
+        "__name_key",
     )
     known, legacy = F.coalesce(F.col("__known"), F.lit(False)), F.coalesce(F.col("__legacy"), F.lit(False))
     own = F.coalesce(
@@ -48,7 +49,7 @@ def _route(new: DataFrame, known_ids: DataFrame, legacy_names: DataFrame, compat
         appended = rows.filter(~legacy & F.col("__id").isNotNull()).groupBy("__id_key").agg(
             F.min("__seq").alias("__first_append")
         )
-        rows = rows.join(appended, "__id_key", "left")
+        rows = splittable_join(rows, appended, "__id_key")
         keyed = F.col("__id").isNotNull() & (known | F.coalesce(F.col("__seq") >= F.col("__first_append"), F.lit(False)))
         target = F.when(keyed, own).when(legacy, by_name).otherwise(own)
     else:
@@ -64,7 +65,7 @@ def _route(new: DataFrame, known_ids: DataFrame, legacy_names: DataFrame, compat
             .agg(F.min(F.struct("__seq", "__name_key")).alias("__home"))
             .select("__id_key", F.col("__home.__name_key").alias("__home_name"))
         )
-        rows = rows.join(claim_by_id, "__id_key", "left")
+        rows = splittable_join(rows, claim_by_id, "__id_key")
         target = (
             F.when(F.col("__id").isNotNull() & known, own)
             .when(F.col("__home_name").isNotNull(), F.concat(F.lit("name:"), F.col("__home_name")))
@@ -183,7 +184,6 @@ def restore_skipped(fetched: DataFrame, existing: DataFrame, skipped: DataFrame)
     """Append existing rows whose id was skipped and that the fetch did not return."""
     ids = skipped.select("place_id").filter(filled(F.col("place_id"))).distinct()
     seen = fetched.select("place_id").filter(filled(F.col("place_id"))).distinct()
-    kept = existing.filter(filled(F.col("place_id"))).join(ids, "place_id", "left_semi").join(
-        seen, "place_id", "left_anti"
-    )
+    kept = splittable_join(existing.filter(filled(F.col("place_id"))), ids, "place_id", "left_semi")
+    kept = splittable_join(kept, seen, "place_id", "left_anti").select(*existing.columns)
     return fetched.unionByName(kept)

@@ -12,7 +12,7 @@ from ..functions.markup import (
 )
 from ..functions.text import let
 from ..functions.urls import host, link_parts, path, site, strip_query, url_key
-from .keyed import first_per_key, lookup
+from .keyed import first_per_key, lookup, splittable_join
 
 # Pages worth trying on any site, the telling ones and the general ones.
 EXPLICIT_PATHS = [
@@ -114,7 +114,8 @@ def choose_site_page(
     fixed = sites.select("base", F.explode(tried).alias("c")).select("base", "c.*")
     addressed = pages.withColumn("address", strip_query(F.col("url")))
     homes = first_per_key(
-        addressed.join(sites.select(F.col("base").alias("address")), "address", "left_semi"), ["address"], ["url"]
+        splittable_join(addressed, sites.select(F.col("base").alias("address")), "address", "left_semi"),
+        ["address"], ["url"],
     )
     links = same_site_links(F.col("html"), F.col("address"), text_words, path_words)
     crawled = homes.select(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import Box, has_position
 from ..schema import CELL_OVERLAP, MIN_CELL_MILES, RESULTS_CAP
 from ..session import ensure_checkpoint_dir
-from .keyed import dedup_first
+from .keyed import dedup_first, splittable_join
 
 # Levels counted in one pass: 1 + 4 + ... + 4^5 cells at most per open cell.
 LEVELS_PER_PASS = 5
@@ -156,4 +156,4 @@ def quadtree_members(
     """Point and leaf pairs; a point in the overlap of leaves appears under each."""
     located = _located(points.select(*list(dict.fromkeys([*keys, "lat", "lng"]))), box)
     listed = _listed(located, max_depth(box, min_miles, overlap), overlap)
-    return listed.select(*keys, "code").join(leaves.select("code", "path"), "code")
+    return splittable_join(listed.select(*keys, "code"), leaves.select("code", "path"), "code", "inner")
