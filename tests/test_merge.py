@@ -220,3 +220,28 @@ def test_freshness(spark):
     left = [r.place_id for r in incremental.skip_fresh(frame, fresh).collect()]
     assert sorted(map(str, left)) == ["", "None", "P2", "P3", "P4"]
     assert incremental.fresh_ids(frame, "2024-03-10", 0).count() == 0
+
+
+def test_a_crowded_key_is_split_at_run_time(spark):
+    """A third of the rows on one key, against a right side grouped by that key."""
+    small = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "32",
+    }
+    before = {name: spark.conf.get(name, None) for name in small}
+    try:
+        for name, value in small.items():
+            spark.conf.set(name, value)
+        key = F.when(F.col("id") % 3 == 0, "HOT").when(F.col("id") % 3 == 1, "").otherwise(F.concat(F.lit("P"), F.col("id")))
+        left = spark.range(0, 200_000, 1, 16).select(key.alias("place_id"), F.col("id").alias("ord"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        right = keyed.dedup_first(left.select("place_id", "ord", F.lit("m").alias("m")), "place_id", ["ord"])
+        joined = keyed.lookup(left, right, F.nullif(F.col("place_id"), F.lit("")), "place_id", "hit", ["ord"], ["m"])
+        execution = joined._jdf.queryExecution()
+        assert execution.toRdd().count() == 200_000
+        assert "skew=true" in execution.executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
