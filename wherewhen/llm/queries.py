@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_names, buckets, chat, circulant, common, mixing, order_minhash, quality, url_rules, warc
+from . import block_names, buckets, chat, circulant, common, katz, mixing, order_minhash, quality, url_rules, warc
 
 # Host rules of the judged URLs, and the method's own patterns for all others.
 HOST_RULES = [
@@ -193,6 +193,10 @@ def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets.packed_buckets(table(spark, sf_dir, "documents"), columns=["doc_id"])
 
 
+def katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circulant.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -200,7 +204,8 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_scores": quality_scores, "op2_source_mix": source_mix, "op3_order_fingerprints": order_fingerprints,
     "op4_url_verdicts": url_verdicts, "op5_warc_records": warc_records, "op6_exact_groups": exact_groups,
-    "op7_chat_masks": chat_masks, "op8_length_buckets": length_buckets, "op10_near_duplicates": near_duplicates,
+    "op7_chat_masks": chat_masks, "op8_length_buckets": length_buckets, "op9_katz_scores": katz_scores,
+    "op10_near_duplicates": near_duplicates,
 }
 ORACLE = {
     "op2_source_mix": SOURCE_MIX, "op4_url_verdicts": URL_VERDICTS, "op5_warc_records": WARC_RECORDS,
