@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +95,17 @@ def _lists(table: pa.Table, column: str) -> np.ndarray:
     return table.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed bytes, those of like weight together."""
+    rows = np.ascontiguousarray(values.astype(np.int64)).view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(level=1).compress(rows.T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
+
+
 def _cut(values: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     return np.split(values, ends[:-1]) if len(ends) else []
 
@@ -150,13 +162,13 @@ def word_table(texts: DataFrame, parts: int) -> DataFrame:
 
 
 PAIRS = (
-    "part int, batch int, kind int, h array<long>, w array<long>, h_count array<long>, w_count array<long>, trained array<int>, "
-    "times array<int>, docs array<int>, doc_ids array<long>, held array<boolean>, facts array<double>"
+    "part int, batch int, kind int, h binary, w binary, h_count binary, w_count binary, trained binary, times binary, docs binary, "
+    "doc_ids array<long>, held array<boolean>, facts array<double>"
 )
 # kind 0: what a batch's documents hold in one partition, for each document in it: the sum of settled logarithms
 # and how often discount 1 .. TOP applies; and unseen pairs by context: its count, seen pairs by class, rest, unigram sum.
 FOUND = (
-    "batch int, kind int, docs array<int>, sums array<double>, discounted array<int>, open_docs array<int>, open_context array<long>, "
+    "batch int, kind int, docs array<int>, sums array<double>, discounted binary, open_docs array<int>, open_context array<long>, "
     "contexts array<double>, doc_ids array<long>, held array<boolean>"
 )
 FACTS = 4  # tokens, known tokens, base score, logarithms settled in the batch
@@ -201,15 +213,14 @@ def pair_rows(texts: DataFrame, words: DataFrame, parts: int, unigrams: Unigrams
         doc_ends = np.append(new, len(h))[ends]
         m = len(present)
         batch = table.column("batch")[0].as_py()
-        none = np.zeros(0, np.int64)
         rows = {
             "part": np.append(present, batch % parts).astype(np.int32), "batch": np.full(m + 1, batch, np.int32),
             "kind": np.append(np.zeros(m), 1).astype(np.int32),
         }
         for name, values in (("h", h[new]), ("w", w[new]), ("h_count", h_count[new]), ("w_count", w_count[new]), ("trained", trained), ("times", times)):
-            rows[name] = [*_cut(values, ends), none.astype(values.dtype)]
-        rows["docs"] = [*_cut(doc, doc_ends), none.astype(np.int32)]
-        out = {k: pa.array(v) if k in ("part", "batch", "kind") else pa.array(v, pa.list_(pa.from_numpy_dtype(v[-1].dtype))) for k, v in rows.items()}
+            rows[name] = [*map(packed, _cut(values, ends)), None]
+        rows["docs"] = [*map(packed, _cut(doc, doc_ends)), None]
+        out = {k: pa.array(v, pa.int32() if k in ("part", "batch", "kind") else pa.binary()) for k, v in rows.items()}
         empty = [None] * m
         out["doc_ids"] = pa.array([*empty, table.column("doc_id").to_pylist()], pa.list_(pa.int64()))
         out["held"] = pa.array([*empty, held.tolist()], pa.list_(pa.bool_()))
@@ -227,7 +238,7 @@ def pair_answers(rows: DataFrame, parts: int, unigrams: Unigrams) -> DataFrame:
     hot = max(1, unigrams.tokens // (4 * parts))
     schema = pa.schema([
         ("batch", pa.int32()), ("kind", pa.int32()), ("docs", pa.list_(pa.int32())), ("sums", pa.list_(pa.float64())),
-        ("discounted", pa.list_(pa.int32())), ("open_docs", pa.list_(pa.int32())), ("open_context", pa.list_(pa.int64())),
+        ("discounted", pa.binary()), ("open_docs", pa.list_(pa.int32())), ("open_context", pa.list_(pa.int64())),
         ("contexts", pa.list_(pa.float64())), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
     ])
 
@@ -241,7 +252,9 @@ def pair_answers(rows: DataFrame, parts: int, unigrams: Unigrams) -> DataFrame:
             })
         table = table.filter(pa.array(kinds == 0))
         if table.num_rows:
-            h, w, h_count, w_count, trained, times = (_lists(table, c) for c in ("h", "w", "h_count", "w_count", "trained", "times"))
+            own = {c: [unpacked(v) for v in table.column(c).to_pylist()] for c in ("h", "w", "h_count", "w_count", "trained", "times")}
+            lengths = [len(v) for v in own["h"]]
+            h, w, h_count, w_count, trained, times = (np.concatenate(v) for v in own.values())
             order = np.lexsort((w, h))
             new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])])
             pair = np.empty(len(h), np.int64)
@@ -263,11 +276,10 @@ def pair_answers(rows: DataFrame, parts: int, unigrams: Unigrams) -> DataFrame:
             out += [{"batch": -1, "kind": 3, "open_context": [int(contexts[c])], "contexts": facts[c]} for c in np.flatnonzero(split)]
             c_row, ctx_row = count[pair], context[pair]
             settled = np.where(c_row > 0, np.log10(np.maximum(c_row, 1) / (h_count + 1)), log_w)
-            lengths = table.column("h").combine_chunks().value_lengths().to_numpy()
             at = np.concatenate([[0], np.cumsum(lengths)])
             for i, batch in enumerate(table.column("batch").to_numpy().tolist()):
                 part = slice(at[i], at[i + 1])
-                docs = table.column("docs")[i].values.to_numpy(zero_copy_only=False)
+                docs = unpacked(table.column("docs")[i].as_py())
                 c, t = c_row[part], times[part]
                 present, place = np.unique(docs, return_inverse=True)
                 sums = np.bincount(place, np.repeat(settled[part], t), len(present))
@@ -279,7 +291,7 @@ def pair_answers(rows: DataFrame, parts: int, unigrams: Unigrams) -> DataFrame:
                 # A split context is named by its number below -1, others by their place in ``contexts``.
                 names = np.where(split[used], -contexts[used] - 3, np.arange(len(used)))
                 out.append({
-                    "batch": batch, "kind": 0, "docs": present, "sums": sums, "discounted": hits.ravel().astype(np.int32),
+                    "batch": batch, "kind": 0, "docs": present, "sums": sums, "discounted": packed(hits.ravel()),
                     "open_docs": docs[unseen], "open_context": names[local], "contexts": facts[used].ravel(),
                 })
         return pa.table({f.name: pa.array([r.get(f.name) for r in out], f.type) for f in schema}, schema=schema)
@@ -294,7 +306,7 @@ def log_backoff(facts: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.log10(1 - held) - np.log10(1 - facts[:, TOP + 2])
 
 
-def katz_scores(docs: DataFrame, *, folds: int = 7, held_out: int = 2, batch_bytes: int = 16 << 20) -> DataFrame:
+def katz_scores(docs: DataFrame, *, folds: int = 7, held_out: int = 2, batch_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
     parts = max(1, -(-size // batch_bytes))
@@ -323,11 +335,10 @@ def katz_scores(docs: DataFrame, *, folds: int = 7, held_out: int = 2, batch_byt
         score = facts[:, 3].copy()
         for row in table.filter(pa.array(kinds == 0)).to_batches():
             for i in range(row.num_rows):
-                docs, sums, hits, open_docs, names, contexts = (
-                    row.column(c)[i].values.to_numpy(zero_copy_only=False)
-                    for c in ("docs", "sums", "discounted", "open_docs", "open_context", "contexts")
+                docs, sums, open_docs, names, contexts = (
+                    row.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("docs", "sums", "open_docs", "open_context", "contexts")
                 )
-                score[docs] += sums + hits.reshape(-1, TOP) @ np.log10(d[1:])
+                score[docs] += sums + unpacked(row.column("discounted")[i].as_py()).reshape(-1, TOP) @ np.log10(d[1:])
                 if len(names):
                     own = log_backoff(contexts.reshape(-1, TOP + 3), d)
                     values = np.array([own[n] if n >= 0 else hot[n] for n in names.tolist()])
