@@ -147,7 +147,7 @@ def neighbour_slices(docs: DataFrame, slices: int) -> DataFrame:
         splits=[-float("inf"), *borders, float("inf")] if borders else [-float("inf"), 0.0, float("inf")],
         inputCol="place", outputCol="slice", handleInvalid="keep",
     )
-    placed = cut.transform(rows.withColumn("place", F.col("doc_id").cast("double"))).drop("place")
+    placed = cut.transform(rows.withColumn("place", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("nan"))))).drop("place")
     placed = placed.withColumn("slice", F.col("slice").cast("int"))
     firsts = sorted(placed.groupBy("slice").agg(F.min("doc_id").alias("first")).collect(), key=lambda r: r["slice"])
     if not firsts:
