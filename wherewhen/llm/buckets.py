@@ -99,7 +99,8 @@ def packed_buckets(
     edges = F.array(*[F.lit(int(b)).cast("long") for b in boundaries])
     slices = F.array(*[F.lit(max(1, int(-(-rows // slice_rows)))) for rows in in_bucket])
     rows = docs.select(*names, length.alias(size), F.xxhash64("doc_id", "text").alias(draw))
-    rows = rows.withColumn(bucket, F.size(F.filter(edges, lambda e: e < F.greatest(F.col(size), F.lit(1)))).cast("int"))
+    beyond = [(F.col(size) > int(edge)).cast("int") for edge in boundaries[:-1]]
+    rows = rows.withColumn(bucket, sum(beyond, F.lit(0)))
     rows = rows.withColumn(padded, F.element_at(edges, F.col(bucket) + 1))
     rows = rows.withColumn(piece, F.pmod(F.col(draw), F.element_at(slices, F.col(bucket) + 1)))
     # The sizes of a bucket's slices give each slice its first number.
