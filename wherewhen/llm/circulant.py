@@ -7,7 +7,7 @@ documents that share a band are candidates, and a link is made where the exact
 Jaccard similarity of the full sets reaches the threshold.
 
 Documents with equal sets are one node from the start. Within a band's bucket
-nodes are first compared with two nodes of the bucket, other ones in other
+nodes are first compared with one node of the bucket, other ones in other
 buckets, which connects groups of near copies with a number of comparisons that
 grows with their size. What then still is in different components of a bucket
 is compared in blocks of bounded size that any number of tasks share: first by
@@ -330,14 +330,10 @@ def near_duplicate_roots(
     # Estimates stand within 0.038 (one deviation) of the similarity; four are let pass.
     least = max(0.0, method.percent / 100 - 4 * (0.25 / (method.bands * method.rows)) ** 0.5 * 0.87)
     entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    turn = F.xxhash64("node", F.pmod("bucket", F.lit(8)))
-    ends = entries.groupBy("bucket").agg(
-        F.min(F.struct(turn, "node")).alias("first"), F.max(F.struct(turn, "node")).alias("last"), F.count("*").alias("m")
-    ).where("m > 1").select("bucket", F.array("first.node", "last.node").alias("hubs"))
-    members = stored(entries.join(ends, "bucket"), "minhash-buckets")
-    star = members.select("node", F.explode("hubs").alias("hub")).where("node <> hub").select(
-        F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")
-    ).distinct()
+    turn = F.xxhash64("node", F.pmod("bucket", F.lit(4)))
+    hubs = entries.groupBy("bucket").agg(F.min(F.struct(turn, "node")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    members = stored(entries.join(hubs.select("bucket", F.col("hub.node").alias("hub")), "bucket"), "minhash-buckets")
+    star = members.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     star = stored(alike_sketches(star, nodes, least), "minhash-pairs")
     links = stored(confirmed(star, docs, nodes, method), "minhash-confirmed")
     labelled = members.select("bucket", "node", "n").join(components(links), "node", "left").select(
