@@ -89,7 +89,9 @@ def packed_buckets(
         )
     )
     length = word_count(F.col("text")) if length is None else F.coalesce(length.cast("long"), F.lit(0))
-    table = length_histogram(docs, length).collect()
+    # Stored, so that a text is read for its length once, not again by each use of it.
+    rows = stored(docs.select(*names, length.alias(size), F.xxhash64("doc_id", "text").alias(draw)), "bucket-lengths")
+    table = length_histogram(rows, F.col(size)).collect()
     padded_sizes = np.maximum(np.array([r["length"] for r in table], np.int64), 1)
     counts = np.array([r["rows"] for r in table], np.int64)
     if boundaries is None:
@@ -98,7 +100,6 @@ def packed_buckets(
     in_bucket = np.bincount(np.searchsorted(boundaries, padded_sizes), counts, len(boundaries))
     edges = F.array(*[F.lit(int(b)).cast("long") for b in boundaries])
     slices = F.array(*[F.lit(max(1, int(-(-rows // slice_rows)))) for rows in in_bucket])
-    rows = docs.select(*names, length.alias(size), F.xxhash64("doc_id", "text").alias(draw))
     beyond = [(F.col(size) > int(edge)).cast("int") for edge in boundaries[:-1]]
     rows = rows.withColumn(bucket, sum(beyond, F.lit(0)))
     rows = rows.withColumn(padded, F.element_at(edges, F.col(bucket) + 1))
