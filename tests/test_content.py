@@ -60,8 +60,8 @@ def test_intervals_match_brute_force(spark):
 def test_page_text(evaluate):
     html = "<html><script type='x'>var a = '<b>';\n</script><style>\np{}</style><p>One&nbsp;<b>two</b>\n\t three </p></html>"
     assert evaluate(markup.page_text, [html, "<p>" + "x " * 9000 + "</p>"])[0] == "One&nbsp; two three"
-    assert len(evaluate(markup.page_text, ["<p>" + "xy " * 9000 + "</p>"])[0]) == 8000
-    assert len(evaluate(lambda c: markup.page_text(c, None), ["<p>" + "xy " * 9000 + "</p>"])[0]) == 26999
+    assert len(evaluate(lambda c: markup.page_text(c, 8000), ["<p>" + "xy " * 9000 + "</p>"])[0]) == 8000
+    assert len(evaluate(markup.page_text, ["<p>" + "xy " * 9000 + "</p>"])[0]) == 26999
     upper = "<SCRIPT>x</SCRIPT>y"
     assert evaluate(markup.page_text, [upper]) == ["x y"]
     assert evaluate(lambda c: markup.page_text(c, any_case=True), [upper]) == ["y"]
@@ -82,7 +82,9 @@ def test_links(evaluate):
         ["https://bar.example.com/happy-hour"], ["https://bar.example.com/deals"], ["https://bar.example.com/specials"],
         ["https://www.bar.example.com/hh"], [], ["https://bar.example.com/specials"],
     ]
-    assert got[6] == [f"https://bar.example.com/specials/{i}" for i in range(5)]
+    assert got[6] == [f"https://bar.example.com/specials/{i}" for i in range(10)]
+    first = evaluate(lambda h: markup.same_site_links(h, F.lit("https://bar.example.com/"), limit=5), [many])
+    assert first == [got[6][:5]]
     assert got[7:] == [[], ["https://bar.example.com/a/specials", "https://bar.example.com/hh"], [], []]
 
 
@@ -112,12 +114,14 @@ def test_images(spark):
     blocked = f'<img src="/a.jpg">{far}<p>drinks</p><img src="/a.jpg?v=2">'
     assert images(spark, blocked, plain) == []
     assert images(spark, '<img src="https://cdn.other.com/a.jpg">') == []
+    assert len(images(spark, "".join(f'<img src="/m{i}.jpg">' for i in range(7)))) == 7
     assert images(spark, '<img src="https://img.wixstatic.com/a.jpg">') == ["https://img.wixstatic.com/a.jpg"]
 
 
 def test_script_shell(evaluate):
     pages_ = ['<meta content="Wix.com Website Builder">', "<p>plain</p>", "", None, "x" * 5000 + "squarespace"]
-    assert evaluate(markup.is_script_shell, pages_) == [True, False, False, False, False]
+    assert evaluate(markup.is_script_shell, pages_) == [True, False, False, False, True]
+    assert evaluate(lambda c: markup.is_script_shell(c, 5000), pages_)[-1] is False
 
 
 def python_focus(text, patterns, before, after, limit):
@@ -152,7 +156,7 @@ def test_focus(evaluate):
     ]
     anchors = [r"(?i)happy\s*hour", r"(?i)happy-hour", r"(?i)\bhh\s+specials?\b", r"(?i)\bhh\b", r"(?i)drink\s+specials?", r"(?i)appetizer\s+specials?"]
     want = [python_focus(t, anchors, 200, 4000, 8000) for t in texts]
-    assert evaluate(focus.focused_text, texts) == want
+    assert evaluate(lambda c: focus.focused_text(c, max_out=8000), texts) == want
     rng = random.Random(5)
     noise = ["".join(rng.choice(["ab ", "Ab Cd ", "XY ", "ba", "$3 ", "é"]) for _ in range(300)) for _ in range(30)]
     mine = ["ab", "XY"]

@@ -239,7 +239,7 @@ def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images put into every page in several notations; at most three count."""
+    """Images put into every page in several notations."""
     k = F.col("page_id").cast("string")
     block = F.concat(
         F.lit('<div><img class="l" src="/logo.png"><img src="/img/'), k,
@@ -406,6 +406,50 @@ def menus_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _two_sided(spark: SparkSession, sf_dir: str, text, image):
+    """Places and repeated answers: from text for two thirds of them, from images for two thirds."""
+    places, third = derived.places(spark, sf_dir), F.col("k") % 3
+    twice = F.explode(F.array(F.lit(0), F.lit(1))).alias("ord")
+    answers = places.where(third != 0).select("k", twice).select("k", "ord", text.alias("response"))
+    seen = places.where(third != 1).select("k", twice).select("k", "ord", image.alias("response"))
+    return places, answers, seen
+
+
+def image_menus_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Menu answers of places that have one from text, from images or both, each twice."""
+    k = F.col("k")
+    text = F.when(F.col("ord") == 0, '{"drink": {"name": "", "price": 77}, "short_summary": "old"}').when(
+        k % 3 == 1, F.format_string('{"drink": {"name": "", "price": %d}, "short_summary": "t"}', k % 9)
+    ).otherwise('{"drink": {"name": "unicorn", "price": 5}, "short_summary": "t"}')
+    image = F.when(F.col("ord") == 0, '{"drink": {"name": "Old", "price": 77}}').otherwise(
+        F.format_string('{"food": {"name": "Seen", "price": %d}, "short_summary": "i"}', k % 5)
+    )
+    places, answers, seen = _two_sided(spark, sf_dir, text, image)
+    none, site = F.lit(None).cast("string"), F.col("website_url")
+    places = places.withColumns({
+        "cheapest_drink": none, "cheapest_food": none, "menu_url": none,
+        "cheapest_drink_price": F.lit(None).cast("double"), "cheapest_food_price": F.lit(None).cast("double"),
+    })
+    prompts = places.where(k % 3 != 0).select(
+        "k", F.col("address").alias("text"), site.alias("page_url"), F.concat(site, F.lit("/first")).alias("first_url")
+    )
+    return extraction.apply_menu_responses(places, prompts, answers, ["k"], seen, order="ord").select(
+        "k", "cheapest_drink", "cheapest_drink_price", "cheapest_food", "cheapest_food_price", "menu_summary",
+        "menu_url", "extracted",
+    )
+
+
+def image_hours_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours of places that have an answer from text, from images or both, each twice."""
+    good = '{"happy_hours": [{"day": "Monday", "times": "3 PM - 5 PM"}], "confidence": "%s"}'
+    text = F.when((F.col("ord") == 0) | (F.col("k") % 3 == 1), good % "high").otherwise(good % "low")
+    image = F.when(F.col("ord") == 0, good % "none").otherwise(good % "medium")
+    places, answers, seen = _two_sided(spark, sf_dir, text, image)
+    return extraction.apply_hours_responses(places, answers, ["k"], seen, order="ord").select(
+        "k", "happy_hour_times", "source", "extracted"
+    )
+
+
 def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt of every place, its address standing for the page text."""
     return derived.places(spark, sf_dir).select(
@@ -424,6 +468,12 @@ def menu_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", "page_url", F.length("text").alias("text_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
+def hours_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts for weekly hours, with the whole text of the chosen page."""
+    made = extraction.build_hours_prompts(_sites(spark, sf_dir), _site_pages(spark, sf_dir), ["page_id"])
+    return made.select("page_id", "page_url", F.length("text").alias("text_chars"), F.md5("prompt").alias("prompt_md5"))
+
+
 def full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search hits and place documents merged into the directory in one job."""
     from .directory_queries import NOW
@@ -452,7 +502,7 @@ QUERIES = {
         interval_merge, page_text, page_links, page_links_mixed, url_forms, spa_pages, rendered_text,
         page_candidates, page_fallback, page_lookup, image_candidates, focus_windows, focused_texts,
         grounding_check, place_documents_flat, category_filter, documents_within, gap_keywords, response_parse,
-        hours_applied, menus_applied, prompt_texts, menu_prompts, full_refresh, enriched_site,
+        hours_applied, menus_applied, image_menus_applied, image_hours_applied, prompt_texts, menu_prompts, hours_prompts, full_refresh, enriched_site,
     )
 }
 
@@ -491,12 +541,11 @@ lab AS (
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
-def _text_sql(html: str, cut: bool = True) -> str:
-    text = (
+def _text_sql(html: str) -> str:
+    return (
         rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({html}, '(?s)<script[^>]*>.*?</script>', "
         rf"'', 'g'), '(?s)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '{_WS}', ' ', 'g'))"
     )
-    return f"left({text}, 8000)" if cut else text
 
 
 _SCHEME_SQL = "split_part(url, ':', 1)"
@@ -552,7 +601,7 @@ isles AS (
         f"windows AS (SELECT {key}, isle, min(s) AS s, max(e) AS e FROM isles GROUP BY {key}, isle)",
         f"""
 cut AS (
-  SELECT {key}, left(string_agg(substr(text, s + 1, e - s), chr(10) || chr(10) ORDER BY s), 8000) AS t
+  SELECT {key}, string_agg(substr(text, s + 1, e - s), chr(10) || chr(10) ORDER BY s) AS t
   FROM windows JOIN {table} USING ({key}) GROUP BY {key}
 )""",
     ]
@@ -578,6 +627,41 @@ def _menu_prompt_sql(text: str) -> str:
     )
 
 
+_CHOSEN_SQL = [
+    derived.PLACES_SQL,
+    # t0: the page as it is, t1: with the link that made-up pages carry.
+    f"""
+cleaned AS (
+  SELECT page_id, {_ROOT_SQL} AS root, {_text_sql('html')} AS t0,
+    {_text_sql("(html || '<a href=\"/s' || page_id || '/happyhourpage\">go</a>')")} AS t1
+  FROM pages WHERE page_id % 10 <> 9
+)""",
+    """
+first_page AS (
+  SELECT *, CASE WHEN page_id % 7 = 0 THEN root || '/specials' WHEN page_id % 6 = 0 THEN root || '/happyhourpage'
+      WHEN page_id % 4 = 0 THEN root || '/menu' ELSE root END AS url0,
+    CASE WHEN page_id % 7 = 0 THEN t1 WHEN page_id % 6 = 0 THEN t0 WHEN page_id % 4 = 0 OR page_id % 3 = 0 THEN t1 END
+      AS text0
+  FROM cleaned
+)""",
+    """
+home AS (
+  SELECT *, coalesce(length(text0), 0) < 300 AND page_id % 5 = 0 AND length(t1) > coalesce(length(text0), 0) AS took
+  FROM first_page
+)""",
+    """
+second_page AS (
+  SELECT *, CASE WHEN took THEN root || '/home' ELSE url0 END AS url1, CASE WHEN took THEN t1 ELSE text0 END AS text1
+  FROM home
+)""",
+    """
+chosen AS (
+  SELECT page_id, CASE WHEN again THEN root || '/' ELSE url1 END AS page_url, CASE WHEN again THEN t1 ELSE text1 END AS text
+  FROM (SELECT *, coalesce(length(text1), 0) < 300 AND page_id % 3 = 0 AND url1 <> root
+      AND length(t1) > coalesce(length(text1), 0) AS again FROM second_page)
+)""",
+]
+
 ORACLE = {
     "cheapest_per_category": derived.with_sql(
         [derived.MENU_ITEMS_SQL],
@@ -649,7 +733,7 @@ ORACLE = {
           SELECT page_id, url, min(i) AS i FROM links
           WHERE regexp_matches(path, '{LINK_PATH}') OR regexp_matches(txt, '{LINK_TEXT}') GROUP BY page_id, url)
         SELECT page_id, CAST(rn - 1 AS INT) AS ord, url FROM (
-          SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS rn FROM firsts) WHERE rn <= 5""",
+          SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS rn FROM firsts)""",
     "page_links_mixed": (
         f"SELECT page_id, CAST(0 AS INT) AS ord, CASE page_id % {len(LINK_VARIANTS)} " + " ".join(
             f"WHEN {i} THEN " + (
@@ -669,13 +753,13 @@ ORACLE = {
         WITH m AS (SELECT page_id, CASE WHEN page_id % 9 = 0
             THEN '<meta name="generator" content="Squarespace">' || html
             WHEN page_id % 9 = 1 THEN '<p>Loading</p>' ELSE html END AS html FROM pages),
-        t AS (SELECT page_id, {_text_sql('html')} AS text, regexp_matches(lower(left(html, 5000)),
+        t AS (SELECT page_id, {_text_sql('html')} AS text, regexp_matches(lower(html),
             'wix\\.com website builder|squarespace|webflow|shopify|duda|weebly') AS script_shell FROM m)
         SELECT page_id, script_shell, length(text) < 300 OR script_shell AS needs_render FROM t""",
     "rendered_text": f"""
         SELECT page_id, md5(nullif(CASE WHEN page_id % 3 = 0 THEN t || '!'
             WHEN page_id % 3 = 1 AND length(left(t, 10)) > length(t) THEN left(t, 10) ELSE t END, '')) AS text_md5
-        FROM (SELECT page_id, {_text_sql('html', cut=False)} AS t FROM pages)""",
+        FROM (SELECT page_id, {_text_sql('html')} AS t FROM pages)""",
     "page_candidates": f"""
         SELECT page_id, CASE WHEN page_id % 7 = 0 THEN {_ROOT_SQL} || '/specials'
             WHEN page_id % 6 = 0 THEN {_ROOT_SQL} || '/happyhourpage'
@@ -698,6 +782,7 @@ ORACLE = {
             f"{_SCHEME_SQL} || '://' || {_HOST_SQL} || '/img/' || page_id || '.jpg?w=900'",
             f"{_SCHEME_SQL} || '://' || {_HOST_SQL} || '/img/large-' || page_id || '.webp'",
             "'https://x.example/a.png'",
+            "regexp_extract(regexp_replace(url, '[?#].*$', ''), '^.*/') || 'bg' || page_id || '.png'",
         ])
     ),
     "focus_windows": derived.with_sql(
@@ -762,6 +847,26 @@ ORACLE = {
              CASE WHEN extracted THEN 's' || (k % 5) ELSE '' END AS menu_summary,
              CASE WHEN extracted THEN website_url END AS menu_url, extracted FROM a""",
     ),
+    "image_menus_applied": derived.with_sql(
+        [derived.PLACES_SQL],
+        """SELECT k, CASE WHEN k % 3 = 1 THEN '' END AS cheapest_drink,
+             CASE WHEN k % 3 = 1 THEN CAST(k % 9 AS DOUBLE) END AS cheapest_drink_price,
+             CASE WHEN k % 3 <> 1 THEN 'Seen' END AS cheapest_food,
+             CASE WHEN k % 3 <> 1 THEN CAST(k % 5 AS DOUBLE) END AS cheapest_food_price,
+             CASE WHEN k % 3 = 1 THEN 't' ELSE 'i' END AS menu_summary,
+             CASE WHEN k % 3 = 2 THEN website_url || '/first' ELSE website_url END AS menu_url, true AS extracted FROM places""",
+    ),
+    "image_hours_applied": derived.with_sql(
+        [derived.PLACES_SQL],
+        """SELECT k, 'Monday: 3 PM - 5 PM' AS happy_hour_times, CASE WHEN k % 3 = 1 THEN 'Website (AI parsed, high confidence)'
+             ELSE 'Website image (AI parsed, medium confidence)' END AS source, true AS extracted FROM places""",
+    ),
+    "hours_prompts": derived.with_sql(
+        _CHOSEN_SQL,
+        "SELECT page_id, page_url, CAST(length(text) AS INT) AS text_chars, md5("
+        + derived.sql_text(extraction.HOURS_TEMPLATE).replace("{text}", "' || text || '")
+        + ") AS prompt_md5 FROM chosen WHERE length(text) > 0",
+    ),
     "prompt_texts": derived.with_sql(
         [derived.PLACES_SQL],
         f"SELECT k, {_menu_prompt_sql('address')} AS menu_prompt, "
@@ -770,38 +875,7 @@ ORACLE = {
     ),
     "menu_prompts": derived.with_sql(
         [
-            derived.PLACES_SQL,
-            # t0: the page as it is, t1: with the link that made-up pages carry.
-            f"""
-cleaned AS (
-  SELECT page_id, {_ROOT_SQL} AS root, {_text_sql('html')} AS t0,
-    {_text_sql("(html || '<a href=\"/s' || page_id || '/happyhourpage\">go</a>')")} AS t1
-  FROM pages WHERE page_id % 10 <> 9
-)""",
-            """
-first_page AS (
-  SELECT *, CASE WHEN page_id % 7 = 0 THEN root || '/specials' WHEN page_id % 6 = 0 THEN root || '/happyhourpage'
-      WHEN page_id % 4 = 0 THEN root || '/menu' ELSE root END AS url0,
-    CASE WHEN page_id % 7 = 0 THEN t1 WHEN page_id % 6 = 0 THEN t0 WHEN page_id % 4 = 0 OR page_id % 3 = 0 THEN t1 END
-      AS text0
-  FROM cleaned
-)""",
-            """
-home AS (
-  SELECT *, coalesce(length(text0), 0) < 300 AND page_id % 5 = 0 AND length(t1) > coalesce(length(text0), 0) AS took
-  FROM first_page
-)""",
-            """
-second_page AS (
-  SELECT *, CASE WHEN took THEN root || '/home' ELSE url0 END AS url1, CASE WHEN took THEN t1 ELSE text0 END AS text1
-  FROM home
-)""",
-            """
-chosen AS (
-  SELECT page_id, CASE WHEN again THEN root || '/' ELSE url1 END AS page_url, CASE WHEN again THEN t1 ELSE text1 END AS text
-  FROM (SELECT *, coalesce(length(text1), 0) < 300 AND page_id % 3 = 0 AND url1 <> root
-      AND length(t1) > coalesce(length(text1), 0) AS again FROM second_page)
-)""",
+            *_CHOSEN_SQL,
             "usable AS (SELECT * FROM chosen WHERE length(text) >= 100)",
             *_focus_sql("usable", "page_id", focus.WINDOW_BEFORE, focus.WINDOW_AFTER),
             "final AS (SELECT page_id, page_url, coalesce(t, text) AS text FROM usable LEFT JOIN cut USING (page_id))",

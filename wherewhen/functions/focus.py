@@ -9,12 +9,12 @@ from .markup import PYTHON_SPACE, PYTHON_SPACE_CHARS, WORD_END, WORD_START
 from .text import let
 
 # Anchors, window sizes and the tests for navigation bars and prices.
+# All anchors are one alternation, so a text is scanned once, not once per anchor.
 ANCHORS = [
     rf"(?i)happy(?:{PYTHON_SPACE}*|-)hour|{WORD_START}hh{WORD_END}|(?:drink|appetizer){PYTHON_SPACE}+specials?",
 ]
 WINDOW_BEFORE = 200
 WINDOW_AFTER = 4000
-MAX_OUT = 8000
 SHORT = 200
 NAV_TOP_SHARE = 0.10
 NAV_REACH = 120
@@ -102,12 +102,12 @@ def focus_windows(
 
 def focused_text(
     text: Column, patterns: list[str] | None = None, before: int = WINDOW_BEFORE, after: int = WINDOW_AFTER,
-    max_out: int | None = MAX_OUT,
+    max_out: int | None = None,
 ) -> Column:
     """The windows joined by blank lines; the whole text when there are none.
 
-    ``max_out`` is the size the focused text may have; the search for anchors
-    covers the whole text.
+    ``max_out`` is the size the focused text may have, if any; the search for
+    anchors covers the whole text.
     """
 
     def cut(windows: Column) -> Column:

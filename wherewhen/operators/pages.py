@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import images as image_functions
 from ..functions.markup import (
-    LINK_PATH_WORDS, LINK_TEXT_WORDS, MAX_LINKS, MAX_TEXT, SHORT_TEXT, WORD_END, is_script_shell,
-    needs_render, page_text, same_site_links,
+    LINK_PATH_WORDS, LINK_TEXT_WORDS, SHORT_TEXT, WORD_END, is_script_shell, needs_render, page_text, same_site_links,
 )
 from ..functions.text import let
 from ..functions.urls import host, link_parts, path, site, strip_query, url_key
@@ -26,10 +25,9 @@ IMAGE_FILE = r"(?i)\.(?:png|jpe?g|webp|gif|avif)(?:[?#]|\z)"
 IMAGE_SKIP = r"(?i)logo|icon|favicon|avatar|spinner|placeholder|transparent|tracking|pixel"
 IMAGE_HOSTS = [".squarespace-cdn.com", ".wixstatic.com", ".webflow.com", ".cloudinary.com", ".imgix.net"]
 TINY_PIXELS = 120
-MAX_IMAGES = 3
 
 
-def with_text(pages: DataFrame, max_chars: int | None = MAX_TEXT) -> DataFrame:
+def with_text(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Adds page key, text and the script-shell tests."""
     html = F.col("html")
     return pages.withColumns({"page_key": url_key(F.col("url")), "text": page_text(html, max_chars)}).withColumns({
@@ -39,9 +37,9 @@ def with_text(pages: DataFrame, max_chars: int | None = MAX_TEXT) -> DataFrame:
 
 def page_links(
     pages: DataFrame, keys: list[str], text_words: str = LINK_TEXT_WORDS, path_words: str = LINK_PATH_WORDS,
-    limit: int | None = MAX_LINKS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """``keys, ord, url``: the first matching links of every page. Shuffles nothing."""
+    """``keys, ord, url``: the matching links of every page, or the first ``limit``. Shuffles nothing."""
     links = same_site_links(F.col("html"), F.col("url"), text_words, path_words, limit)
     return pages.select(*keys, F.posexplode(links).alias("ord", "url"))
 
@@ -61,12 +59,13 @@ def _is_tiny(url: Column, descriptor: Column) -> Column:
     )
 
 
-def page_images(pages: DataFrame, keys: list[str], limit: int = MAX_IMAGES) -> DataFrame:
+def page_images(pages: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
     """``keys, ord, url``: images that may show a menu.
 
     Listing references happens in Python, only for pages that have any;
     choosing is done here. The first reference of an address (without query)
-    decides about it, even when its context rules it out.
+    decides about it, even when its context rules it out. ``limit`` keeps the first
+    so many of a page.
     """
     words = IMAGE_WORDS
     base_site = site(host(F.col("url")))
@@ -90,9 +89,9 @@ def page_images(pages: DataFrame, keys: list[str], limit: int = MAX_IMAGES) -> D
     first = first_per_key(allowed, [*keys, "key"], ["ord"])
     targeted = path(F.col("url")).rlike(LINK_PATH_WORDS)
     kept = first.filter(targeted | F.concat("context", F.lit(" "), "address").rlike(words))
-    ranked = kept.withColumn(
-        "place", F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))
-    ).filter(F.col("place") <= limit)
+    ranked = kept.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("ord")))
+    if limit is not None:
+        ranked = ranked.filter(F.col("place") <= limit)
     return ranked.select(*keys, (F.col("place") - 1).alias("ord"), F.col("address").alias("url"))
 
 
@@ -195,7 +194,7 @@ def fallback_pages(
     )
 
 
-def site_texts(chosen: DataFrame, pages: DataFrame, max_chars: int | None = MAX_TEXT) -> DataFrame:
+def site_texts(chosen: DataFrame, pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     """``base, page_url, first_url, text`` of the sites that have a text to read.
 
     ``chosen`` has ``base`` and ``page_url``. The page and both home variants

@@ -60,16 +60,20 @@ def within_radius(
 ) -> DataFrame:
     """Rows at most ``meters`` away; rows without a position stay by default.
 
-    A box around the circle is tested first: on stored coordinates it becomes a
-    range filter the Parquet reader uses to skip row groups.
+    A box around the circle is tested first, as a filter of its own: on stored
+    coordinates the Parquet reader uses it to skip row groups. The distance test
+    is null without a position, and must not share a term with the box, or Spark
+    would fold both into one condition that it cannot push down.
     """
     la, ln = F.col(lat), F.col(lng)
     d_lat, d_lng = _degree_reach(at[0], meters)
     box = la.between(at[0] - d_lat, at[0] + d_lat)
     if at[1] - d_lng >= -180 and at[1] + d_lng <= 180:
         box = box & ln.between(at[1] - d_lng, at[1] + d_lng)
-    near = box & (great_circle(F.lit(at[0]), F.lit(at[1]), la, ln, EARTH_METERS) <= meters)
-    return points.filter((la.isNull() | ln.isNull() | near) if keep_missing else near)
+    near = great_circle(F.lit(at[0]), F.lit(at[1]), la, ln, EARTH_METERS) <= meters
+    if not keep_missing:
+        return points.filter(box & near)
+    return points.filter(la.isNull() | ln.isNull() | box).filter(F.coalesce(near, F.lit(True)))
 
 
 def _cell(value: Column, size: float) -> Column:

@@ -16,7 +16,7 @@ from ..functions.markup import MIN_TEXT
 from ..functions.schedule import schedule_from_items
 from ..functions.text import filled, not_blank, trim_space
 from ..functions.urls import strip_query
-from ..operators.keyed import lookup
+from ..operators.keyed import first_per_key, lookup
 from ..operators.pages import choose_site_page, site_addresses, site_texts
 
 MENU_TEMPLATE = (
@@ -106,17 +106,25 @@ def _believed(item: Column, text: Column) -> Column:
     return F.when(_present(item) & (~filled(item["name"]) | is_grounded(item["name"], text)), item)
 
 
+def last_answers(responses: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One answer per key: the last by ``order``; the greatest text where that leaves several."""
+    ranking = [F.col(c).desc_nulls_last() for c in ([order] if order else []) + ["response"]]
+    return first_per_key(responses.select(*keys, *([order] if order else []), "response"), keys, ranking)
+
+
 def apply_menu_responses(
     places: DataFrame, prompts: DataFrame, responses: DataFrame, keys: list[str],
-    image_responses: DataFrame | None = None,
+    image_responses: DataFrame | None = None, order: str | None = None,
 ) -> DataFrame:
     """Menu columns from believed answers; ``extracted`` tells where one was found.
 
     Answers from text are checked against the text the model saw. Where they
-    leave nothing, an answer from images is taken as it is. An answered place
-    without any item loses its summary; one that was not asked keeps its own.
+    leave nothing, or there are none, an answer from images is taken as it is. An
+    answered place without any item loses its summary; one that was not asked keeps
+    its own. A place whose page had no text gets its website as address of the menu.
+    Of repeated answers the last by ``order`` counts.
     """
-    answered = responses.select(*keys, parse_menu(F.col("response")).alias("__answer")).join(
+    answered = last_answers(responses, keys, order).select(*keys, parse_menu(F.col("response")).alias("__answer")).join(
         prompts.select(*keys, "text", "page_url", "first_url"), keys
     ).select(
         *keys, "page_url", "first_url", F.col("__answer.short_summary").alias("__summary"),
@@ -124,10 +132,10 @@ def apply_menu_responses(
         _believed(F.col("__answer.food"), F.col("text")).alias("__food"),
     )
     if image_responses is not None:
-        seen = image_responses.select(*keys, parse_menu(F.col("response")).alias("__image"))
+        seen = last_answers(image_responses, keys, order).select(*keys, parse_menu(F.col("response")).alias("__image"))
         found = F.col("__drink").isNotNull() | F.col("__food").isNotNull()
         drink, food = F.col("__image.drink"), F.col("__image.food")
-        answered = answered.join(seen, keys, "left").select(
+        answered = answered.join(seen, keys, "full").select(
             *keys, "first_url", F.when(found, F.col("page_url")).otherwise(F.col("first_url")).alias("page_url"),
             F.when(found, F.col("__summary")).otherwise(F.coalesce("__image.short_summary", F.lit(""))).alias("__summary"),
             F.when(found, F.col("__drink")).when(_present(drink), drink).alias("__drink"),
@@ -135,6 +143,7 @@ def apply_menu_responses(
         )
     drink, food = F.col("__drink"), F.col("__food")
     any_item = drink.isNotNull() | food.isNotNull()
+    website = F.col("website_url") if "website_url" in places.columns else F.lit(None).cast("string")
     asked = F.coalesce(F.col("__asked"), F.lit(False))
     joined = places.join(answered.withColumn("__asked", F.lit(True)), keys, "left")
     out = joined.withColumns({
@@ -143,7 +152,7 @@ def apply_menu_responses(
         "cheapest_food": F.when(food.isNotNull(), F.coalesce(food["name"], F.lit(""))).otherwise(F.col("cheapest_food")),
         "cheapest_food_price": F.when(food.isNotNull(), food["price"]).otherwise(F.col("cheapest_food_price")),
         "menu_summary": F.when(asked, F.when(any_item, F.col("__summary")).otherwise("")).otherwise(F.col("menu_summary")),
-        "menu_url": F.when(any_item, F.col("page_url")).otherwise(F.col("menu_url")),
+        "menu_url": F.when(any_item, F.coalesce("page_url", website)).otherwise(F.col("menu_url")),
         "extracted": any_item,
     })
     return out.select(*places.columns, "extracted")
@@ -154,23 +163,25 @@ def _hours_accepted(answer: Column) -> Column:
 
 
 def apply_hours_responses(
-    places: DataFrame, responses: DataFrame, keys: list[str], image_responses: DataFrame | None = None
+    places: DataFrame, responses: DataFrame, keys: list[str], image_responses: DataFrame | None = None,
+    order: str | None = None,
 ) -> DataFrame:
     """Schedule and source from confident answers; ``extracted`` tells where.
 
-    An answer of low confidence gives way to one from images, if there is one.
+    An answer of low confidence, or none at all, gives way to one from images. Of
+    repeated answers the last by ``order`` counts.
     """
     sides = [(responses, "__text", "Website")]
     if image_responses is not None:
         sides.append((image_responses, "__image", "Website image"))
     joined, schedule, source = places, None, None
     for answers, name, label in sides:
-        parsed = answers.select(*keys, parse_hours(F.col("response")).alias(name))
+        parsed = last_answers(answers, keys, order).select(*keys, parse_hours(F.col("response")).alias(name))
         joined = joined.join(parsed, keys, "left")
         answer = F.col(name)
         usable = F.coalesce(_hours_accepted(answer), F.lit(False))
         if name == "__image":
-            usable = usable & F.col("__text.confidence").isin(REJECTED)
+            usable = usable & F.coalesce(F.col("__text.confidence"), F.lit("low")).isin(REJECTED)
         text = F.when(usable, schedule_from_items(answer["happy_hours"]))
         made = F.when(usable, F.concat(F.lit(f"{label} (AI parsed, "), answer["confidence"], F.lit(" confidence)")))
         schedule = text if schedule is None else F.coalesce(schedule, text)
