@@ -265,6 +265,9 @@ def test_menu_answers(spark):
     assert (rows[2].cheapest_food, rows[2].cheapest_food_price, rows[2].menu_summary) == ("", 3.0, "")
     assert (rows[3].cheapest_drink, rows[3].menu_url, rows[3].menu_summary) == ("Seen", "first", "I")
     assert (rows[4].menu_summary, rows[4].extracted) == ("own", False)
+    alone = images_.withColumn("k", F.lit(4)).unionByName(images_.where("k = 3").withColumn("k", F.lit(4)))
+    rows = [r for r in extraction.apply_menu_responses(places, prompts, answers.union(answers), ["k"], alone).collect()]
+    assert len(rows) == places.count() and [r.extracted for r in rows if r.k == 4] == [True]
 
 
 def test_hours_answers(spark):
@@ -272,6 +275,10 @@ def test_hours_answers(spark):
     good = '{"happy_hours": [{"day": "Monday", "times": "3 PM - 5 PM"}], "confidence": "%s"}'
     answers = spark.createDataFrame([(0, good % "high"), (1, good % "low"), (2, '{"happy_hours": [], "confidence": "high"}')], "k int, response string")
     seen = spark.createDataFrame([(1, good % "medium"), (2, good % "medium")], "k int, response string")
+    only = spark.createDataFrame([(3, 0, good % "none"), (3, 1, good % "medium"), (1, 1, good % "low")], "k int, ord int, response string")
+    late = answers.withColumn("ord", F.lit(0)).where("k < 2")
+    got = extraction.apply_hours_responses(places, late.union(late.select("k", F.lit(good % "low").alias("response"), F.lit(1).alias("ord"))), ["k"], only, order="ord").collect()
+    assert sorted((r.k, r.source) for r in got) == [(0, "src"), (1, "src"), (2, "src"), (3, "Website image (AI parsed, medium confidence)")]
     rows = {r.k: r for r in extraction.apply_hours_responses(places, answers, ["k"], seen).collect()}
     assert (rows[0].happy_hour_times, rows[0].source) == ("Monday: 3 PM - 5 PM", "Website (AI parsed, high confidence)")
     assert rows[1].source == "Website image (AI parsed, medium confidence)"

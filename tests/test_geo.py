@@ -165,3 +165,11 @@ def test_clusters(spark):
     assert sorted(r["count"] for r in members) == [1, 2]
     box = mapbins.bounds(frame).first()
     assert (box.south, box.west, box.north, box.east) == (32.7, -117.2, 32.8, -117.1)
+
+
+def test_radius_box_is_pushed(spark, tmp_path):
+    path = str(tmp_path / "points")
+    spark.createDataFrame([(1, 10.0, 10.0), (2, None, 10.0), (3, 50.0, 10.0)], "k int, lat double, lng double").write.parquet(path)
+    near = proximity.within_radius(spark.read.parquet(path), (10.0, 10.0), 1000.0)
+    plan = near._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(lat" in plan.split("PushedFilters")[1] and sorted(r.k for r in near.collect()) == [1, 2]

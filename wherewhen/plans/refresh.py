@@ -34,11 +34,14 @@ def refresh(
     wanted = skip_fresh(found, fresh)
     if max_results is not None:
         wanted = first_rows(wanted, [*hit_order, "place_id"], max_results)
-    # The hit order as one number; restored rows come after all of it.
+    # The hit order as one number, an error where it does not fit; restored rows come after all of it.
     bits = 62 // len(hit_order)
     rank = F.lit(0).cast("long")
     for column in hit_order:
-        rank = rank * (1 << bits) + F.least(F.col(column).cast("long"), F.lit((1 << bits) - 1))
+        part = F.col(column).cast("long")
+        fits = part.isNull() | part.between(0, (1 << bits) - 1)
+        refused = F.raise_error(F.lit(f"refresh: {column} is not below 2^{bits}")).cast("long")
+        rank = rank * (1 << bits) + F.when(fits, part).otherwise(refused)
     ranked = wanted.select(F.col("place_id").alias("id"), rank.alias("ord"))
     kept = exclude_categories(documents.join(ranked, "id"))
     day = date.fromisoformat(str(as_of)[:10]).isoformat()

@@ -34,12 +34,13 @@ def build_session(master: str | None = None, app_name: str = "wherewhen", **extr
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared folder; make a scratch one only where none is named.
 
-    A session without ``spark.checkpoint.dir`` is a local test session: on a
-    cluster the folder has to survive the loss of an executor.
+    On a cluster the folder has to survive the loss of an executor, so a session
+    without ``spark.checkpoint.dir`` is an error there.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
-    sc.setCheckpointDir(
-        spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wherewhen-ckpt-")
-    )
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wherewhen-ckpt-"))

@@ -16,5 +16,9 @@ def read_place_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def page_by_url(pages: DataFrame, urls: DataFrame, url: str = "url") -> DataFrame:
     """Requested addresses with the stored page, matched by key; NULL where none is stored."""
-    stored = pages.groupBy(url_key(F.col("url")).alias("page_key")).agg(F.max_by("html", "page_id").alias("html"))
-    return urls.withColumn("page_key", url_key(F.col(url))).join(stored, "page_key", "left")
+    # Chosen on narrow columns; only the chosen pages then bring their HTML.
+    chosen = pages.groupBy(url_key(F.col("url")).alias("page_key")).agg(F.max("page_id").alias("page_id"))
+    asked = urls.withColumn("page_key", url_key(F.col(url)))
+    wanted = chosen.join(asked.select("page_key"), "page_key", "left_semi")
+    stored = pages.select("page_id", url_key(F.col("url")).alias("page_key"), "html").join(wanted, ["page_id", "page_key"])
+    return asked.join(stored.select("page_key", "html").dropDuplicates(["page_key"]), "page_key", "left")
