@@ -3,9 +3,10 @@
 import random
 import re
 
+import regex
 from pyspark.sql import functions as F
 
-from wherewhen.functions import focus, jsontext, labels, markup, urls
+from wherewhen.functions import focus, jsontext, labels, markup, tags, urls
 from wherewhen.operators import directory, documents, items, pages
 from wherewhen.operators.intervals import merge_intervals
 from wherewhen.plans import extraction
@@ -118,6 +119,16 @@ def test_images(spark):
     assert images(spark, '<img src="https://img.wixstatic.com/a.jpg">') == ["https://img.wixstatic.com/a.jpg"]
 
 
+def test_attributes_follow_the_grammar(spark, evaluate):
+    tag = """<IMG alt="src='/no.jpg'" SRC = '/m"1.jpg' data-src="/m2.jpg" hidden>"""
+    want = [("alt", "src='/no.jpg'"), ("src", '/m"1.jpg'), ("data-src", "/m2.jpg")]
+    assert tags.attributes(tag) == want and tags.attributes("<img>") == []
+    read = evaluate(lambda t: tags.attribute_values(t, ["src", "data-src"]), [tag, "<img>", "", None])
+    assert read == [['/m"1.jpg', "/m2.jpg"], [], [], None]
+    ordered = '<style>p {background: url( "/menu-z.png" )}</style><img srcset="/menu-b.jpg 2x" src="/menu-a.jpg"><source srcset="/menu-c.jpg">'
+    assert images(spark, ordered) == [f"https://bar.example.com/menu-{n}" for n in ("a.jpg", "b.jpg", "c.jpg", "z.png")]
+
+
 def test_script_shell(evaluate):
     pages_ = ['<meta content="Wix.com Website Builder">', "<p>plain</p>", "", None, "x" * 5000 + "squarespace"]
     assert evaluate(markup.is_script_shell, pages_) == [True, False, False, False, True]
@@ -125,26 +136,20 @@ def test_script_shell(evaluate):
 
 
 def python_focus(text, patterns, before, after, limit):
-    """Straightforward restatement for comparison."""
-    n = len(text)
-    if n <= 200:
+    """A mask over the text's positions; what it covers, run by run."""
+    if len(text) <= focus.SHORT:
         return text
-    spans = []
-    for p in patterns:
-        for m in re.finditer(p, text):
-            s = m.start()
-            around, ahead = text[max(0, s - 120): s + 120], text[s: s + 600]
-            bar = re.search(r"(?:(?:[A-Z][A-Za-z&]+|[A-Z]{2,})\s+){3,}(?:[A-Z][A-Za-z&]+|[A-Z]{2,})", around)
-            price = re.search(r"\$\s*\d+|\d+\s*(?:bucks?|dollars?)", ahead, re.I)
-            if not (s < n * 0.1 and bar and not price):
-                spans.append((max(0, s - before), min(n, s + after)))
-    out = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return "\n\n".join(text[s:e] for s, e in out)[:limit] if out else text
+    covered = bytearray(2 * len(text) + 1)  # positions and what lies between them: windows that touch are one run
+    hits = {m.start() for p in patterns for m in regex.finditer(p, text)}
+    for at in hits:
+        early = at < len(text) * focus.NAV_TOP_SHARE
+        bar = regex.search(focus.NAV_BAR, text[max(0, at - focus.NAV_REACH) : at + focus.NAV_REACH])
+        if early and bar and not regex.search(focus.PRICE, text[at : at + focus.PRICE_REACH]):
+            continue
+        for i in range(2 * max(0, at - before), 2 * min(len(text), at + after) + 1):
+            covered[i] = 1
+    runs = [text[m.start() // 2 : m.end() // 2] for m in re.finditer(b"\x01+", bytes(covered))]
+    return "\n\n".join(runs)[:limit] if runs else text
 
 
 def test_focus(evaluate):
@@ -154,8 +159,7 @@ def test_focus(evaluate):
         "FOOD HAPPY HOUR WKND BRUNCH BEER COCKTAILS $5 beer " + "x" * 12000, "h " * 200 + "hh" + " y" * 300 + " Happy-Hour " + "z" * 300,
         "é𝒳" * 150 + " HH specials " + "ü" * 500,
     ]
-    anchors = [r"(?i)happy\s*hour", r"(?i)happy-hour", r"(?i)\bhh\s+specials?\b", r"(?i)\bhh\b", r"(?i)drink\s+specials?", r"(?i)appetizer\s+specials?"]
-    want = [python_focus(t, anchors, 200, 4000, 8000) for t in texts]
+    want = [python_focus(t, focus.ANCHORS, 200, 4000, 8000) for t in texts]
     assert evaluate(lambda c: focus.focused_text(c, max_out=8000), texts) == want
     rng = random.Random(5)
     noise = ["".join(rng.choice(["ab ", "Ab Cd ", "XY ", "ba", "$3 ", "é"]) for _ in range(300)) for _ in range(30)]

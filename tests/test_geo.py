@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wherewhen.functions import geo
+from wherewhen.functions.geo import Box
 from wherewhen.operators import mapbins, proximity, quadtree, regions
 from wherewhen.schema import NEIGHBORHOODS
 
@@ -86,11 +87,32 @@ def test_shared_edges_go_to_the_first_box(spark):
 def test_region_table_equals_region_chain(spark):
     frame = spark.createDataFrame(scatter(3000, seed=3), "k int, lat double, lng double")
     chain = regions.assign_region(frame, NEIGHBORHOODS).select("k", "neighborhood")
-    table = regions.assign_region_table(frame, regions.boxes_frame(spark, NEIGHBORHOODS), ["k"], tile_degrees=0.02)
+    table = regions.assign_region_table(frame, regions.boxes_frame(spark, NEIGHBORHOODS), tile_degrees=0.02)
     assert sorted(chain.collect()) == sorted(table.select("k", "neighborhood").collect())
-    named = frame.withColumnRenamed("k", "id")
-    again = regions.assign_region_table(named, regions.boxes_frame(spark, NEIGHBORHOODS), ["id"])
-    assert sorted(map(tuple, again.select("id", "neighborhood").collect())) == sorted(map(tuple, chain.collect()))
+    # Larger than the globe, without a key, and more boxes than anyone writes into an expression.
+    world = [*NEIGHBORHOODS, *[Box(float(i), float(i), float(i), float(i), f"b{i}") for i in range(80)], Box(-90.0, -180.0, 90.0, 180.0, "world")]
+    nowhere = frame.limit(3).select(F.lit(None).cast("int").alias("k"), F.lit(None).cast("double").alias("lat"), "lng")
+    both = frame.unionByName(nowhere)
+    want = regions.assign_region(both, world)
+    got = regions.assign_region_table(both, regions.boxes_frame(spark, world), tile_degrees=0.001)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {r.neighborhood for r in regions.assign_region_table(frame, regions.boxes_frame(spark, [])).collect()} == {None}
+
+
+def test_near_centers_at_poles_and_seam(spark):
+    rng = random.Random(11)
+    spots = [(90.0, 0.0), (-90.0, 17.0), (70.0, 180.0), (70.0, -180.0), (0.0, 179.999), (89.99, 45.0), (0.0, 0.0)]
+    points = [(i, *spots[i % 7]) for i in range(7)] + [
+        (7 + i, max(-90.0, min(90.0, lat + rng.uniform(-0.02, 0.02))), (lng + rng.uniform(-0.05, 0.05) + 180) % 360 - 180)
+        for i, (lat, lng) in enumerate(spots * 20)
+    ]
+    p = spark.createDataFrame(points, "k int, lat double, lng double")
+    c = spark.createDataFrame([(i, *s) for i, s in enumerate(spots)], "center int, lat double, lng double")
+    got = sorted((r.center, r.k) for r in proximity.near_centers(p, c, "center", 2500.0, ["k"]).collect())
+    assert got == sorted(
+        (i, k) for i, (clat, clng) in enumerate(spots) for k, lat, lng in points
+        if haversine(clat, clng, lat, lng, geo.EARTH_METERS) <= 2500
+    )
 
 
 def test_area_selection():

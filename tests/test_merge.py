@@ -15,64 +15,60 @@ SCHEMA = (
 EXTRACTED = {"happy_hour_times", "cheapest_drink_price"}
 
 
+def targets(existing, new, compat):
+    """What each new row is about: an id, a name known without id, or the row itself."""
+    ids = {r["place_id"] for r in existing if r["place_id"]}
+    names = {r["restaurant_name"] for r in existing if not r["place_id"] and r["restaurant_name"]}
+    if compat:  # an id counts as known from the first row that has it and no known name
+        known = dict.fromkeys(ids, -1)
+        for i, r in enumerate(new):
+            if r["place_id"] and r["restaurant_name"] not in names:
+                known.setdefault(r["place_id"], i)
+        by_id = [known.get(r["place_id"], len(new)) <= i for i, r in enumerate(new)]
+        by_name = [r["restaurant_name"] if r["restaurant_name"] in names else None for r in new]
+    else:  # a known name belongs to the first new id that has it
+        first = {}
+        for r in new:
+            if r["place_id"] and r["place_id"] not in ids and r["restaurant_name"] in names:
+                first.setdefault(r["restaurant_name"], r["place_id"])
+        owned = {pid: name for name, pid in reversed(first.items())}
+        by_id = [bool(r["place_id"]) and r["place_id"] not in owned for r in new]
+        by_name = [
+            owned.get(r["place_id"]) if r["place_id"] else r["restaurant_name"] if r["restaurant_name"] in names else None for r in new
+        ]
+    return [
+        ("id", r["place_id"]) if of_id else ("name", name) if name else ("row", i)
+        for i, (r, of_id, name) in enumerate(zip(new, by_id, by_name))
+    ]
+
+
+def survivor(kind, rows, compat):
+    """One row out of a target's rows, oldest first, each field on its own."""
+    oldest, later = rows[0], rows[1:]
+
+    def latest(field, counts):
+        return next((r[field] for r in reversed(later) if counts(r[field])), oldest[field])
+
+    out = {c: latest(c, bool if c in EXTRACTED else lambda v: v is not None) for c in COLUMNS}
+    out["freshness_date"] = rows[-1]["freshness_date"]
+    out["place_id"] = oldest["place_id"]
+    if kind == "name":
+        out["place_id"] = latest("place_id", (lambda v: True) if compat else bool)
+    return out
+
+
 def fold(existing, new, prune, compat):
-    """One row after the other, with dictionaries."""
-    by_id, by_name = {}, {}
-    for row in existing:
-        row = dict(zip(["ord", *COLUMNS], row))
-        if row["place_id"]:
-            by_id[row["place_id"]] = row
-        elif row["restaurant_name"]:
-            by_name[row["restaurant_name"]] = row
-    claimed = {}  # id -> name, in the default mode
-    if not compat:
-        homes = {}
-        for row in new:
-            row = dict(zip(["ord", *COLUMNS], row))
-            pid, name = row["place_id"], row["restaurant_name"]
-            if pid and name in by_name and pid not in by_id and name not in homes:
-                homes[name] = pid
-                claimed.setdefault(pid, name)
-    start_ids, extra, seen_new = set(by_id), [], {r[1] or "" for r in new}
-
-    def update(old, row, id_too):
-        for c in COLUMNS:
-            if c in ("place_id", "freshness_date"):
-                continue
-            if c in EXTRACTED and not row[c]:
-                continue
-            if row[c] is not None:
-                old[c] = row[c]
-        old["freshness_date"] = row["freshness_date"]
-        if id_too:
-            old["place_id"] = row["place_id"]
-
-    for row in new:
-        row = dict(zip(["ord", *COLUMNS], row))
-        pid, name = row["place_id"], row["restaurant_name"]
-        if compat:
-            if pid and pid in by_id:
-                update(by_id[pid], row, False)
-            elif name and name in by_name:
-                update(by_name[name], row, True)
-            elif pid:
-                by_id[pid] = row
-            else:
-                extra.append(row)
-        elif pid and pid in start_ids:
-            update(by_id[pid], row, False)
-        elif pid and pid in claimed:
-            update(by_name[claimed[pid]], row, True)
-        elif not pid and name in by_name:
-            update(by_name[name], row, False)
-        elif pid and pid in by_id:
-            update(by_id[pid], row, False)
-        elif pid:
-            by_id[pid] = row
-        else:
-            extra.append(row)
-    keyed_rows = [r for p, r in by_id.items() if not prune or p in seen_new]
-    return sorted(tuple(str(r[c]) for c in COLUMNS) for r in keyed_rows + extra + list(by_name.values()))
+    """Rows gathered by target, then folded field by field."""
+    existing, new = ([dict(zip(["ord", *COLUMNS], r)) for r in rows] for rows in (existing, new))
+    groups = {}
+    for r in existing:  # the last row of an id or a name is the one that is known
+        if r["place_id"] or r["restaurant_name"]:
+            groups["id" if r["place_id"] else "name", r["place_id"] or r["restaurant_name"]] = [r]
+    for target, r in zip(targets(existing, new, compat), new):
+        groups.setdefault(target, []).append(r)
+    seen = {r["place_id"] for r in new}
+    kept = [survivor(kind, rows, compat) for (kind, key), rows in groups.items() if kind != "id" or not prune or key in seen]
+    return sorted(tuple(str(r[c]) for c in COLUMNS) for r in kept)
 
 
 def random_rows(rng, n, first):

@@ -53,7 +53,7 @@ def neighborhood_table_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
         south.alias("south"), west.alias("west"), (south + 0.01).alias("north"), (west + 0.01).alias("east"),
     )
     assigned = regions.assign_region_table(
-        derived.places(spark, sf_dir).select("k", "lat", "lng"), fixed.unionByName(grown), ["k"], tile_degrees=0.02
+        derived.places(spark, sf_dir).select("k", "lat", "lng"), fixed.unionByName(grown), tile_degrees=0.02
     )
     return assigned.select("k", "neighborhood")
 

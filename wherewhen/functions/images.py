@@ -10,12 +10,18 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tags import attributes, start_tag
+
+_MARKUP = re.compile(r"<[^>]+>")
+
 # How much text around an image counts as its context.
 CONTEXT_CHARS = 160
 REFERENCE_TYPE = T.ArrayType(T.StructType([
@@ -26,35 +32,49 @@ REFERENCE_TYPE = T.ArrayType(T.StructType([
 # Pages without any of these hold no reference and skip the Python worker.
 MAY_HAVE_IMAGES = r"(?i)<(?:img|source|meta)\b|url\("
 
-# How images are written into pages.
-_TAG = re.compile(r"<[^>]+>")
-_IMAGE_TAG = re.compile(r"<(?:img|source|meta)\b[^>]*>", re.I | re.S)
-_SOURCE = re.compile(r"(?:src|data-src|data-lazy-src|data-original|content)\s*=\s*[\"']([^\"']+)[\"']", re.I)
-_SOURCE_SET = re.compile(r"(?:srcset|data-srcset)\s*=\s*[\"']([^\"']+)[\"']", re.I)
-_BACKGROUND = re.compile(r"url\([\"']?([^)\"']+)[\"']?\)", re.I)
+# Elements and attributes that name one image, or a list of them.
+ELEMENTS = ["img", "source", "meta"]
+ONE_IMAGE = {"src", "data-src", "data-lazy-src", "data-original", "content"}
+IMAGE_LIST = {"srcset", "data-srcset"}
+
+_ELEMENT = re.compile(start_tag(ELEMENTS))
+# The url token of CSS: quoted, or bare.
+_STYLE_URL = re.compile(r"""url\(\s*(?:"([^"]*)"|'([^']*)'|([^\s"'()]+))\s*\)""", re.I)
+
+
+class Reference(NamedTuple):
+    """An image address as written. References are read in the order of these fields."""
+
+    style: bool  # elements come before style sheets
+    start: int
+    listed: bool  # an element's own image comes before its lists
+    end: int
+    text: str
+
+
+def _element_references(page: str) -> Iterator[Reference]:
+    for tag in _ELEMENT.finditer(page):
+        for name, value in attributes(tag.group()):
+            if name in ONE_IMAGE or name in IMAGE_LIST:
+                listed = name in IMAGE_LIST
+                for text in value.split(",") if listed else [value]:
+                    yield Reference(False, tag.start(), listed, tag.end(), text)
+
+
+def _style_references(page: str) -> Iterator[Reference]:
+    for token in _STYLE_URL.finditer(page):
+        yield Reference(True, token.start(), False, token.end(), next(filter(None, token.groups()), ""))
 
 
 def _references(page: str) -> list[dict]:
-    found = []
-
-    def note(raw: str, at: re.Match) -> None:
-        around = page[max(0, at.start() - CONTEXT_CHARS): at.end() + CONTEXT_CHARS]
-        words = entities.unescape(raw).split()
-        if words:
-            found.append({
-                "raw": words[0], "descriptor": words[1] if len(words) > 1 else "",
-                "context": _TAG.sub(" ", around),
-            })
-
-    for tag in _IMAGE_TAG.finditer(page):
-        for source in _SOURCE.finditer(tag.group()):
-            note(source.group(1), tag)
-        for sources in _SOURCE_SET.finditer(tag.group()):
-            for part in sources.group(1).split(","):
-                note(part, tag)
-    for background in _BACKGROUND.finditer(page):
-        note(background.group(1), background)
-    return found
+    ordered = sorted(chain(_element_references(page), _style_references(page)), key=lambda r: r[:3])
+    rows = []
+    for ref in ordered:
+        address, _, descriptor = entities.unescape(ref.text).strip().partition(" ")
+        if address:
+            context = page[max(0, ref.start - CONTEXT_CHARS) : ref.end + CONTEXT_CHARS]
+            rows.append({"raw": address, "descriptor": descriptor.strip(), "context": _MARKUP.sub(" ", context)})
+    return rows
 
 
 @F.pandas_udf(REFERENCE_TYPE)

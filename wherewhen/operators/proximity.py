@@ -76,64 +76,53 @@ def within_radius(
     return points.filter(la.isNull() | ln.isNull() | box).filter(F.coalesce(near, F.lit(True)))
 
 
-def _cell(value: Column, size: float) -> Column:
-    return F.floor(value / size)
+def _on_sphere(lat: Column, lng: Column) -> Column:
+    """The position as x, y, z on a sphere of radius 1: no poles, no seam."""
+    lat, lng = F.radians(lat), F.radians(lng)
+    return F.struct((F.cos(lat) * F.cos(lng)).alias("x"), (F.cos(lat) * F.sin(lng)).alias("y"), F.sin(lat).alias("z"))
 
 
 def near_centers(
     points: DataFrame, centers: DataFrame, center_key: str, meters: float, point_keys: list[str],
-    k: int | None = None, max_abs_lat: float = 60.0, salts: int = 16,
+    k: int | None = None, salts: int = 16,
 ) -> DataFrame:
     """Pairs of centre and point at most ``meters`` apart; the ``k`` nearest if given.
 
-    Both sides are cut into cells at least one reach wide, so partners lie in
-    the same or a neighbouring cell and the join is an equi-join on the cell.
-    A point is in one cell; a centre is copied to nine, and ``salts`` times
-    more so that a crowded cell is spread over as many tasks. Cells are sized
-    for latitudes up to ``max_abs_lat``; beyond it and across the antimeridian
-    a cell could be too narrow, so such positions are refused.
+    Positions are points of a sphere in space, which is cut into cubes at least
+    one reach wide. Partners lie in the same or a neighbouring cube, so the join
+    is an equi-join on the cube, everywhere on the globe. A point is in one
+    cube; a centre is copied to those of its 27 that the sphere passes through,
+    and ``salts`` times more so that a crowded cube is spread over as many tasks.
     """
-    d_lat, _ = _degree_reach(0.0, meters)
-    _, d_lng = _degree_reach(max_abs_lat, meters)
-    if d_lng > 90:
+    angle = meters / EARTH_METERS
+    if angle > math.pi / 4:
         raise ValueError("radius too large for cell joins")
-
-    def checked(value: Column, limit: float, what: str) -> Column:
-        return F.when(F.abs(value) <= limit, value).otherwise(
-            F.raise_error(F.lit(f"near_centers: {what} out of range")).cast("double")
-        )
-
-    lng_limit = 180.0 - d_lng
+    size = 2 * math.sin(angle / 2) * (1 + 1e-9) + 1e-9
+    axes = ("x", "y", "z")
+    cells = [f"__c{axis}" for axis in axes]
     p = points.filter(has_position(F.col("lat"), F.col("lng"))).select(
-        *point_keys,
-        checked(F.col("lat"), max_abs_lat, "latitude").alias("__lat"),
-        checked(F.col("lng"), lng_limit, "longitude").alias("__lng"),
+        *point_keys, F.col("lat").alias("__lat"), F.col("lng").alias("__lng"),
+        _on_sphere(F.col("lat"), F.col("lng")).alias("__at"),
         F.pmod(F.xxhash64(*point_keys), F.lit(salts)).cast("int").alias("__salt"),
+    ).withColumns({c: F.floor(F.col(f"__at.{axis}") / size) for c, axis in zip(cells, axes, strict=True)})
+    c = centers.filter(has_position(F.col("lat"), F.col("lng"))).select(
+        center_key, F.col("lat").alias("__center_lat"), F.col("lng").alias("__center_lng"),
+        _on_sphere(F.col("lat"), F.col("lng")).alias("__center_at"),
     )
-    lat, lng, center_lat, center_lng = (F.col(c) for c in ("__lat", "__lng", "__center_lat", "__center_lng"))
-    p = p.withColumns({"__cx": _cell(lng, d_lng), "__cy": _cell(lat, d_lat)})
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    c = (
-        centers.filter(has_position(F.col("lat"), F.col("lng")))
-        .select(
-            center_key,
-            checked(F.col("lat"), max_abs_lat, "latitude").alias("__center_lat"),
-            checked(F.col("lng"), lng_limit, "longitude").alias("__center_lng"),
-        )
-        .withColumn("__dx", F.explode(steps))
-        .withColumn("__dy", F.explode(steps))
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        .select(
-            center_key, "__center_lat", "__center_lng", "__salt",
-            (_cell(center_lng, d_lng) + F.col("__dx")).alias("__cx"),
-            (_cell(center_lat, d_lat) + F.col("__dy")).alias("__cy"),
-        )
-    )
+    for cell, axis in zip(cells, axes, strict=True):
+        own = F.floor(F.col(f"__center_at.{axis}") / size)
+        c = c.withColumn(cell, F.explode(F.sequence(own - 1, own + 1)))
+    # Squares of how near and how far a cube's points are from the centre of the sphere.
+    nearest = sum(F.pow(F.greatest(F.lit(0.0), F.col(i) * size, -(F.col(i) + 1) * size), F.lit(2)) for i in cells)
+    farthest = sum(F.pow(F.greatest(F.abs(F.col(i) * size), F.abs((F.col(i) + 1) * size)), F.lit(2)) for i in cells)
+    c = c.filter((nearest <= 1 + 1e-9) & (farthest >= 1 - 1e-9))
+    c = c.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    chord = sum(F.pow(F.col(f"__at.{axis}") - F.col(f"__center_at.{axis}"), F.lit(2)) for axis in axes)
     pairs = (
-        p.join(c, ["__cx", "__cy", "__salt"])
-        # Cheap differences rule out most neighbours before any trigonometry.
-        .filter((F.abs(lat - center_lat) <= d_lat) & (F.abs(lng - center_lng) <= d_lng))
-        .withColumn("distance", great_circle(center_lat, center_lng, lat, lng, EARTH_METERS))
+        p.join(c, [*cells, "__salt"])
+        # The straight line rules out most neighbours before any trigonometry.
+        .filter(chord <= size * size)
+        .withColumn("distance", great_circle(F.col("__center_lat"), F.col("__center_lng"), F.col("__lat"), F.col("__lng"), EARTH_METERS))
         .filter(F.col("distance") <= meters)
         .select(center_key, *point_keys, "distance")
     )

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.geo import Box, has_position
 from ..schema import DEFAULT_AREA, POINT_HALF_LAT, POINT_HALF_LNG, SEARCH_AREAS
 
-# A list of boxes up to this long is written into the expression itself.
-INLINE_BOXES = 64
-
 
 def select_areas(
     presets: list[str] | None = None, point: tuple[float, float] | None = None,
@@ -42,10 +39,10 @@ def assign_region(
 ) -> DataFrame:
     """First box in list order that contains the point, edges included; else NULL.
 
-    A short list becomes one conditional expression: no join, no shuffle.
+    The list becomes one conditional expression: no join, no shuffle. It is
+    meant for lists that a person writes; boxes kept as a table go through
+    ``assign_region_table``.
     """
-    if len(boxes) > INLINE_BOXES:
-        raise ValueError("long lists go through assign_region_table")
     chain = F
     for box in boxes:
         chain = chain.when(box.contains(F.col(lat), F.col(lng)), box.id)
@@ -53,37 +50,49 @@ def assign_region(
 
 
 def assign_region_table(
-    points: DataFrame, boxes: DataFrame, keys: list[str], tile_degrees: float = 0.05,
+    points: DataFrame, boxes: DataFrame, tile_degrees: float = 0.05,
     into: str = "neighborhood", salts: int = 16,
 ) -> DataFrame:
-    """As ``assign_region`` for a table of boxes of any length.
-
-    Boxes are listed under every tile they touch, points under theirs, and the
-    join is on the tile. Boxes are copied ``salts`` times so that a tile with a
-    large share of all points is worked on by several tasks. Choosing the
-    lowest ``ord`` per point combines before the shuffle.
+    """As ``assign_region`` for a table of boxes (distinct ``ord``) of any number and size.
+
+    Tiles have sides of ``tile_degrees``, doubled until no side of the box is
+    longer, so a box touches at most four, however large it is. Distinct
+    positions stand under their tile of every size that occurs (few: each is
+    twice the one before), and the join is on the tile. Boxes are copied
+    ``salts`` times so that a tile with a large share of all positions is worked
+    on by several tasks. The lowest ``ord`` of a position combines before the
+    shuffle; points look their position up, so they need no key of their own.
     """
+    side = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
+    level = F.greatest(F.lit(0), F.coalesce(F.ceil(F.log2(side / tile_degrees)), F.lit(0))).cast("int")
+    sized = boxes.where("south <= north AND west <= east").withColumn("__level", level)
+    levels = sorted(r[0] for r in sized.select("__level").distinct().collect())
+    if not levels:
+        return points.withColumn(into, F.lit(None).cast("string"))
+
     def tile(value):
-        return F.floor(value / tile_degrees)
+        return F.floor(value / (tile_degrees * F.pow(F.lit(2.0), F.col("__level"))))
 
-    box = {name: F.col(f"__{name}") for name in ("ord", "id", "south", "west", "north", "east")}
     listed = (
-        boxes.select(*[F.col(name).alias(f"__{name}") for name in box])
-        .withColumn("__ty", F.explode(F.sequence(tile(box["south"]), tile(box["north"]))))
-        .withColumn("__tx", F.explode(F.sequence(tile(box["west"]), tile(box["east"]))))
+        sized.withColumn("__ty", F.explode(F.sequence(tile(F.col("south")), tile(F.col("north")))))
+        .withColumn("__tx", F.explode(F.sequence(tile(F.col("west")), tile(F.col("east")))))
         .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .select("__level", "__ty", "__tx", "__salt", F.col("ord").alias("__ord"), "south", "north", "west", "east")
     )
     lat, lng = F.col("__lat"), F.col("__lng")
-    placed = points.filter(has_position(F.col("lat"), F.col("lng"))).select(
-        *keys, F.col("lat").alias("__lat"), F.col("lng").alias("__lng"),
-        tile(F.col("lat")).alias("__ty"), tile(F.col("lng")).alias("__tx"),
-        F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int").alias("__salt"),
+    positions = (
+        points.filter(has_position(F.col("lat"), F.col("lng")))
+        .select(F.col("lat").alias("__lat"), F.col("lng").alias("__lng")).distinct()
+        .withColumn("__level", F.explode(F.lit(levels)))
+        .withColumns({"__ty": tile(lat), "__tx": tile(lng), "__salt": F.pmod(F.xxhash64(lat, lng), F.lit(salts)).cast("int")})
     )
-    hits = placed.join(listed, ["__ty", "__tx", "__salt"]).filter(
-        lat.between(box["south"], box["north"]) & lng.between(box["west"], box["east"])
+    hits = positions.join(listed, ["__level", "__ty", "__tx", "__salt"]).filter(
+        lat.between(F.col("south"), F.col("north")) & lng.between(F.col("west"), F.col("east"))
     )
-    chosen = hits.groupBy(*keys).agg(F.min(F.struct("__ord", "__id"))["__id"].alias(into))
-    return points.join(chosen, keys, "left")
+    first = hits.groupBy("__lat", "__lng").agg(F.min("__ord").alias("__ord"))
+    chosen = first.join(boxes.select(F.col("ord").alias("__ord"), F.col("id").alias(into)), "__ord")
+    at = (points["lat"] == chosen["__lat"]) & (points["lng"] == chosen["__lng"])
+    return points.join(chosen, at, "left").drop("__lat", "__lng", "__ord")
 
 
 def tile_degrees_for(boxes: list[Box]) -> float:

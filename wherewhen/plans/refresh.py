@@ -14,7 +14,7 @@ from ..operators.incremental import fresh_ids, skip_fresh
 from ..operators.keyed import apply_overrides, attach_menu, dedup_first
 from ..operators.merge import restore_skipped, survivorship_merge
 from ..operators.proximity import first_rows
-from ..operators.regions import assign_region
+from ..operators.regions import assign_region, assign_region_table
 from ..schema import NEIGHBORHOODS
 
 
@@ -53,11 +53,18 @@ def refresh(
 
 
 def enrich(
-    places: DataFrame, overrides: DataFrame, menu: DataFrame, boxes: list[Box] | None = None, order: str = "ord"
+    places: DataFrame, overrides: DataFrame, menu: DataFrame, boxes: list[Box] | DataFrame | None = None, order: str = "ord"
 ) -> DataFrame:
-    """What the site shows: overrides, neighborhood and menu on every place."""
+    """What the site shows: overrides, neighborhood and menu on every place.
+
+    ``boxes`` is a short list or a table (``boxes_frame``) of any length.
+    """
     placed = places.withColumns({
         "lat": lenient_double(F.col("latitude")), "lng": lenient_double(F.col("longitude")),
     })
-    with_region = assign_region(apply_overrides(placed, overrides, order), boxes or NEIGHBORHOODS)
+    placed = apply_overrides(placed, overrides, order)
+    if isinstance(boxes, DataFrame):
+        with_region = assign_region_table(placed, boxes)
+    else:
+        with_region = assign_region(placed, NEIGHBORHOODS if boxes is None else boxes)
     return attach_menu(with_region, menu, order)
