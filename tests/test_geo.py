@@ -176,6 +176,13 @@ def test_small_cells_are_not_split(spark):
     assert [r.n_points for r in quadtree.quadtree_cells(frame, box).collect()] == [100]
 
 
+def test_codes_have_room_for_every_level():
+    world = Box(-80.0, -180.0, 80.0, 180.0)
+    assert quadtree.max_depth(world, 0.01) <= quadtree.DEEPEST
+    with pytest.raises(ValueError, match="levels"):
+        quadtree.max_depth(world, 1e-7)
+
+
 def test_clusters(spark):
     rows = [(1, 32.7, -117.1, True), (2, 32.7, -117.1, False), (3, 32.8, -117.2, False), (4, None, None, True)]
     frame = spark.createDataFrame(rows, "k int, lat double, lng double, active boolean")

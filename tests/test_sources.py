@@ -127,6 +127,9 @@ def test_stream_refresh(spark, tmp_path):
     assert (rows["P1"].restaurant_name, rows["P1"].happy_hour_times) == ("A2", "Mon")
     assert (rows["P2"].happy_hour_times, rows["P2"].freshness_date) == ("Tue", "d1")
     assert len({r.ord for r in rows.values()}) == 3
+    upsert.merge_batch(start.limit(0), 1, root)  # a repeated batch is written again
+    with pytest.raises(ValueError, match="checkpoint"):
+        upsert.merge_batch(start, 0, root)
 
 
 def places_frame(spark, *rows):

@@ -116,7 +116,7 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pages ------------------------------------------------------------------------
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.spread(derived.table(spark, sf_dir, "pages"))
+    return derived.table(spark, sf_dir, "pages")
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +255,7 @@ def image_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- long texts -------------------------------------------------------------------
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.spread(derived.table(spark, sf_dir, "documents"))
+    return derived.table(spark, sf_dir, "documents")
 
 
 def focus_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

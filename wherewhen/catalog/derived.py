@@ -80,16 +80,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """Use all cores for an input that arrives in fewer splits than there are cores.
-
-    Text parsing is heavy per row, and a small file is one split. Larger inputs
-    have more splits than cores and pass through without a shuffle.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
-
-
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One place per order, in key order ``k``."""
     k = F.col("k")
@@ -97,7 +87,7 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     schedule = pick(SCHEDULES, k)
     for mark, value in (("{a}", k % 5 + 1), ("{b}", k % 4 + 6)):
         schedule = F.replace(schedule, F.lit(mark), value.cast("string"))
-    rows = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey")
     columns = [
         k,
         F.when(k % 23 == 0, "").otherwise(place_key(k)).alias("place_id"),

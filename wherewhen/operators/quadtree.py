@@ -24,6 +24,10 @@ LEVELS_PER_PASS = 5
 SIDES = ["south", "west", "north", "east"]
 
 
+# A code is a leading 1 and two bits a level, in a long.
+DEEPEST = 31
+
+
 def max_depth(box: Box, min_miles: float = MIN_CELL_MILES, overlap: float = CELL_OVERLAP) -> int:
     """Deepest level a cell can have: cells split while both sides exceed the minimum."""
     if min_miles <= 0 or not 0 <= overlap < 0.5:
@@ -31,6 +35,8 @@ def max_depth(box: Box, min_miles: float = MIN_CELL_MILES, overlap: float = CELL
     width, height, depth = box.width_miles, box.height_miles, 0
     while width > min_miles and height > min_miles:
         width, height, depth = width * (0.5 + overlap), height * (0.5 + overlap), depth + 1
+    if depth > DEEPEST:
+        raise ValueError(f"cells of {min_miles} miles need {depth} levels; a cell's code holds {DEEPEST}")
     return depth
 
 

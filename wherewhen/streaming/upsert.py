@@ -42,13 +42,23 @@ def write_version(rows: DataFrame, root: str, version: int) -> None:
 
 
 def merge_batch(batch: DataFrame, batch_id: int, root: str, order: str = "ord", **options) -> None:
-    """Merge one micro-batch into the version before it; version 0 is the start."""
+    """Merge one micro-batch into the version before it; version 0 is the start.
+
+    A batch either follows the last announced version or repeats the one that
+    made it. Anything else is another stream's batch, for example of a new
+    checkpoint on an old table, and is refused before it writes.
+    """
     spark = batch.sparkSession
+    latest = latest_version(spark, root) or 0
+    if latest not in (batch_id, batch_id + 1):
+        raise ValueError(f"batch {batch_id} does not follow version {latest} of {root}; use the stream's own checkpoint")
     existing = read_version(spark, root, batch_id)
     merged = survivorship_merge(existing, batch, order, **options)
     columns = [c for c in existing.columns if c != order]
     # Appended rows follow the ones there were; a name-only row keeps its place.
-    position = F.col("position") + F.when(F.col("appended") == 1, F.lit((batch_id + 1) << 40)).otherwise(0)
+    last = existing.agg(F.max(order)).first()[0]
+    first_free = 0 if last is None else last + 1
+    position = F.col("position") + F.when(F.col("appended") == 1, F.lit(first_free).cast("long")).otherwise(F.lit(0).cast("long"))
     write_version(merged.select(position.alias(order), *columns), root, batch_id + 1)
 
 
