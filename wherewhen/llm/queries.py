@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_names, buckets, chat, circulant, common, katz, mixing, order_minhash, quality, url_rules, warc
+from . import block_names, buckets, chat, circulant, common, katz, mixing, order_minhash, quality, turn_repair, url_rules, warc
 
 # Host rules of the judged URLs, and the method's own patterns for all others.
 HOST_RULES = [
@@ -201,11 +201,21 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circulant.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def turn_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    repaired = turn_repair.repaired_conversations(turn_repair.damaged(talks), texts=False).withColumnRenamed("conv_id", "id")
+    ids = talks.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    found = ids.join(repaired, ids["conv_id"].eqNullSafe(repaired["id"]), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    audit, digest = F.coalesce("audit", F.lit("")), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256))
+    return found.select("conv_id", *counts, audit.alias("audit"), digest.alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_quality_scores": quality_scores, "op2_source_mix": source_mix, "op3_order_fingerprints": order_fingerprints,
     "op4_url_verdicts": url_verdicts, "op5_warc_records": warc_records, "op6_exact_groups": exact_groups,
     "op7_chat_masks": chat_masks, "op8_length_buckets": length_buckets, "op9_katz_scores": katz_scores,
-    "op10_near_duplicates": near_duplicates,
+    "op10_near_duplicates": near_duplicates, "op11_turn_repairs": turn_repairs,
 }
 ORACLE = {
     "op2_source_mix": SOURCE_MIX, "op4_url_verdicts": URL_VERDICTS, "op5_warc_records": WARC_RECORDS,
