@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_names, buckets, chat, circulant, common, katz, mixing, order_minhash, quality, relative_lz, turn_repair, url_rules, warc
+from . import block_names, buckets, chat, circulant, common, katz, mixing, order_minhash, pair_bitmaps, quality, relative_lz, turn_repair, url_rules, warc
 
 # Host rules of the judged URLs, and the method's own patterns for all others.
 HOST_RULES = [
@@ -211,6 +211,10 @@ def turn_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", *counts, audit.alias("audit"), digest.alias("repaired_sha256"))
 
 
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_bitmaps.aligned_documents(table(spark, sf_dir, "documents"))
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = relative_lz.parsed_documents(table(spark, sf_dir, "documents"), texts=False)
     return parsed.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -221,7 +225,7 @@ QUERIES = {
     "op4_url_verdicts": url_verdicts, "op5_warc_records": warc_records, "op6_exact_groups": exact_groups,
     "op7_chat_masks": chat_masks, "op8_length_buckets": length_buckets, "op9_katz_scores": katz_scores,
     "op10_near_duplicates": near_duplicates, "op11_turn_repairs": turn_repairs,
-    "op13_substring_dedup": substring_dedup,
+    "op12_tokenizer_alignment": tokenizer_alignment, "op13_substring_dedup": substring_dedup,
 }
 ORACLE = {
     "op2_source_mix": SOURCE_MIX, "op4_url_verdicts": URL_VERDICTS, "op5_warc_records": WARC_RECORDS,
