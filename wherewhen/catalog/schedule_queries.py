@@ -13,6 +13,7 @@ from ..functions.geo import EARTH_MILES, distance_label
 from ..functions.text import not_blank
 from ..operators import proximity
 from ..operators import schedule as jobs
+from ..operators import sessions
 from . import derived
 
 AS_OF = "2026-04-19 16:00:00"  # a Sunday
@@ -263,6 +264,22 @@ def chosen_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def active_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every event, how many places had a deal at that instant, and the first of them."""
+    events = derived.table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("at"))
+    found = sessions.active_sweep(derived.places(spark, sf_dir), events, "at", "k")
+    return found.select("event_id", "n_active", "first_active")
+
+
+def active_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every full hour of the week in which some user saw an error, beside every place that had a deal then."""
+    hours = derived.table(spark, sf_dir, "events").where("event_type = 'error'").select(
+        F.dayofweek("ts").alias("weekday"), F.date_trunc("hour", "ts").alias("at")
+    ).groupBy("weekday", F.hour("at").alias("hour")).agg(F.min("at").alias("at"))
+    pairs = sessions.active_pairs(derived.places(spark, sf_dir), hours, "at", ["k"])
+    return pairs.select((F.col("weekday") - 1).alias("day_idx"), "hour", "k")
+
+
 def labels_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.places(spark, sf_dir).select(
         "k",
@@ -290,6 +307,8 @@ QUERIES = {
     "schedule_rebuilt": schedule_rebuilt,
     "regular_hour_lines": regular_hour_lines,
     "chosen_instants": chosen_instants,
+    "active_sweep": active_sweep,
+    "active_pairs": active_pairs,
     "labels_projection": labels_projection,
 }
 
@@ -451,6 +470,22 @@ ORACLE = {
         SELECT event_id, strftime(CAST(today AS TIMESTAMP) + to_days(CAST(event_id % 7 - dayofweek(today) AS INT))
           + to_hours(CAST((event_id // 7) % 24 AS INT)), '%Y-%m-%d %H:%M') AS instant
         FROM (SELECT event_id, DATE '2026-04-22' + CAST(user_id % 30 AS INT) AS today FROM events)""",
+    "active_sweep": derived.with_sql(
+        FLEXIBLE,
+        f"""SELECT event_id, coalesce(n_active, 0) AS n_active, first_active
+            FROM (SELECT event_id, CAST(dayofweek(ts) AS INT) AS d, CAST(hour(ts) * 60 + minute(ts) AS INT) AS m FROM events)
+            LEFT JOIN (
+              SELECT d, m, count(DISTINCT k) AS n_active, min(k) AS first_active
+              FROM sess JOIN (SELECT DISTINCT CAST(dayofweek(ts) AS INT) AS d, CAST(hour(ts) * 60 + minute(ts) AS INT) AS m FROM events)
+                ON day_idx = d AND {sql_within('start_min0', 'end_min0', 'm')}
+              GROUP BY d, m) USING (d, m)""",
+    ),
+    "active_pairs": derived.with_sql(
+        FLEXIBLE,
+        f"""SELECT DISTINCT day_idx, h AS hour, k FROM sess JOIN (
+              SELECT DISTINCT CAST(dayofweek(ts) AS INT) AS d, CAST(hour(ts) AS INT) AS h FROM events WHERE event_type = 'error')
+            ON day_idx = d AND {sql_within('start_min0', 'end_min0', 'h * 60')}""",
+    ),
     "labels_projection": derived.with_sql(
         [derived.PLACES_SQL],
         r"""SELECT k,

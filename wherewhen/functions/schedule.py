@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .clock import (
     canonical_clock, clock_minutes, flexible_minutes, inherit_half_day, within,
 )
-from .text import SPACE, let, not_blank, plain_marks, squeeze_space, trim_space
+from .text import SPACE_CHARS, let, not_blank, plain_marks, squeeze_space, trim_space
 
 # Weekday names, Sunday first, and the six status codes with labels.
 DAYS = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
@@ -35,7 +35,7 @@ STATUS_LABELS = {
 
 ENTRY_SEPARATOR = r" \| "
 _GLUED_DAY = r"(?i)(?<=[a-z0-9])(?=(?:" + "|".join(DAYS) + r"):)"
-_ENTRY = rf"^[^:]+:{SPACE}*([^\n\r\u2028\u2029]+)\z"
+_LINE_END = r"[\n\r\u2028\u2029]"
 _TAG = r"<[^>]+>"
 
 
@@ -54,6 +54,17 @@ def day_name(index: Column) -> Column:
     return F.get(F.array(*[F.lit(d) for d in DAYS]), index)
 
 
+def entry_body(e: Column) -> Column:
+    """What stands behind ``day:``, with blanks in front removed; NULL unless it is there and on one line.
+
+    A text of blanks only counts as there, and gives an empty body.
+    """
+    colon = F.instr(e, ":")
+    rest = F.substr(e, colon + 1)
+    body = F.ltrim(rest, F.lit(SPACE_CHARS))
+    return F.when((colon > 1) & (rest != "") & ~body.rlike(_LINE_END) & ((body != "") | ~rest.rlike(_LINE_END + r"\z")), body)
+
+
 # --- flexible reading -------------------------------------------------------
 
 def flexible_entries(c: Column, wanted: Callable[[Column], Column] | None = None) -> Column:
@@ -71,15 +82,15 @@ def flexible_entries(c: Column, wanted: Callable[[Column], Column] | None = None
         lambda e, i: F.struct(
             i.alias("entry_ord"),
             F.substring_index(e, ":", 1).alias("head"),
-            F.regexp_extract(e, _ENTRY, 1).alias("body"),
+            entry_body(e).alias("body"),
         ),
     )
     named = F.transform(
         parts,
         lambda p: F.struct(
             p["entry_ord"].alias("entry_ord"),
-            F.when(p["body"] == "", "").otherwise(trim_space(p["head"])).alias("day_raw"),
-            trim_space(p["body"]).alias("body"),
+            F.when(p["body"].isNull(), "").otherwise(trim_space(p["head"])).alias("day_raw"),
+            F.coalesce(trim_space(p["body"]), F.lit("")).alias("body"),
         ),
     )
     return F.transform(

@@ -1,8 +1,8 @@
 """Who is active when: jobs over a weekly schedule column.
 
-Filters and status columns are expressions on the place row, so they run in
-the scan stage. Only ``weekly_occupancy`` shuffles, and only 168 partial
-counts per task.
+Asked for one instant, each distinct text is parsed once and its answer joined
+back (``sessions``). Columns of instants, and the strict reading, are expressions
+on the place row.
 """
 
 from __future__ import annotations
@@ -12,11 +12,9 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import clock
 from ..functions import schedule as sched
-from ..functions.text import not_blank
-
-SCHEDULE = "happy_hour_times"
+from . import sessions
+from .sessions import SCHEDULE
 
 
 def instant_parts(as_of: datetime | str | Column) -> tuple[Column, Column]:
@@ -56,15 +54,20 @@ def active_at(
     carry_to_next_day: bool = False, column: str = SCHEDULE,
 ) -> DataFrame:
     """Places with a session that covers the instant."""
-    return places.filter(active_column(column, as_of, mode, carry_to_next_day))
+    if isinstance(as_of, Column) or mode != "flexible":
+        return places.filter(active_column(column, as_of, mode, carry_to_next_day))
+    return sessions.active_places(places, as_of, column=column, carry_to_next_day=carry_to_next_day)
 
 
 def status_at(places: DataFrame, as_of: datetime | str | Column, column: str = SCHEDULE) -> DataFrame:
     """Adds ``status`` and ``status_label``."""
     day, minute = instant_parts(as_of)
-    return places.withColumn("status", sched.status_code(F.col(column), day, minute)).withColumn(
-        "status_label", sched.status_label(F.col("status"))
-    )
+    if isinstance(as_of, Column):
+        found = places.withColumn("status", sched.status_code(F.col(column), day, minute))
+    else:
+        found = sessions.for_each_text(places, {"status": sched.status_code(F.col("text"), day, minute)}, column)
+        found = found.withColumn("status", F.coalesce("status", F.lit("NO_HAPPY_HOUR")))
+    return found.withColumn("status_label", sched.status_label(F.col("status")))
 
 
 def schedule_explode(places: DataFrame, keys: list[str], column: str = SCHEDULE) -> DataFrame:
@@ -72,27 +75,17 @@ def schedule_explode(places: DataFrame, keys: list[str], column: str = SCHEDULE)
 
     ``start_min``/``end_min`` are NULL for a clock text that cannot be read;
     ``start_min0``/``end_min0`` follow the flexible rules (midnight instead).
-    Closed entries give one row without times. Written out partitioned by
-    ``day_idx``, a query about one weekday reads one partition.
+    Closed entries give one row without times. ``sessions.write_sessions`` keeps
+    the same rows by text, in folders by weekday.
     """
-    entries = places.filter(not_blank(F.col(column))).select(
-        *keys, F.explode(sched.flexible_entries(F.col(column))).alias("e")
-    ).filter(F.col("e.body") != "")
-    sessions = entries.select(
-        *keys, "e.entry_ord", "e.day_raw", "e.day_idx", "e.closed",
-        F.explode_outer(
-            F.when(~F.col("e.closed"), sched.flexible_sessions(F.col("e.body")))
-        ).alias("s"),
-    ).filter(F.col("closed") | F.col("s.usable"))
-    start = clock.inherit_half_day(F.col("s.start_txt"), F.col("s.end_txt"))
-    return sessions.select(
-        *keys, "entry_ord", "day_raw", "day_idx", "closed", "s.session_ord", "s.start_txt", "s.end_txt",
-        clock.clock_minutes(clock.canonical_clock(start)).alias("start_min"),
-        clock.clock_minutes(clock.canonical_clock(F.col("s.end_txt"))).alias("end_min"),
-        F.col("s.start_min").alias("start_min0"),
-        F.col("s.end_min").alias("end_min0"),
-        (F.col("s.end_min") < F.col("s.start_min")).alias("wraps"),
-    )
+    texts = ["text_hash", "text"]
+    rows = sessions.session_rows(sessions.entry_rows(sessions.distinct_texts(places, column), texts), texts, strict_minutes=True)
+    out = [
+        "entry_ord", "day_raw", "day_idx", "closed", "session_ord", "start_txt", "end_txt", "start_min", "end_min",
+        "start_min0", "end_min0", "wraps",
+    ]
+    owners = places.select(*keys, F.col(column).alias("__schedule"))
+    return sessions.join_texts(owners, rows, "__schedule", "inner").select(*keys, *out)
 
 
 def schedule_sessions(places: DataFrame, keys: list[str], column: str = SCHEDULE) -> DataFrame:
@@ -103,7 +96,8 @@ def schedule_sessions(places: DataFrame, keys: list[str], column: str = SCHEDULE
 
 
 def schedule_normalize(places: DataFrame, column: str = SCHEDULE, into: str = "schedule_text") -> DataFrame:
-    return places.withColumn(into, sched.normalized_schedule(F.col(column)))
+    found = sessions.for_each_text(places, {into: sched.normalized_schedule(F.col("text"))}, column)
+    return found.withColumn(into, F.coalesce(into, F.lit("")))
 
 
 def text_lines(places: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -114,43 +108,7 @@ def text_lines(places: DataFrame, keys: list[str], column: str) -> DataFrame:
 
 
 def weekly_occupancy(places: DataFrame, column: str = SCHEDULE) -> DataFrame:
-    """Number of places active at each of the 168 full hours of a week.
-
-    Each row lists its own active hours once, whatever its sessions overlap;
-    counting then is a partial aggregate with at most 168 groups.
-    """
-    entries = F.filter(
-        sched.flexible_entries(F.col(column)), lambda e: e["day_idx"].isNotNull() & ~e["closed"]
-    )
-
-    def session_hours(e: Column) -> Column:
-        usable = F.filter(sched.flexible_sessions(e["body"]), lambda s: s["usable"])
-        return F.flatten(
-            F.transform(
-                usable,
-                lambda s: F.filter(
-                    F.sequence(F.lit(0), F.lit(23)),
-                    lambda h: clock.within(s["start_min"], s["end_min"], h * 60),
-                ),
-            )
-        )
-
-    hours = F.array_distinct(
-        F.flatten(
-            F.transform(
-                entries, lambda e: F.transform(session_hours(e), lambda h: e["day_idx"] * 24 + h)
-            )
-        )
-    )
-    return (
-        places.filter(not_blank(F.col(column)))
-        .select(F.explode(hours).alias("slot"))
-        .groupBy("slot")
-        .agg(F.count("*").alias("n_active"))
-        .select(
-            F.floor(F.col("slot") / 24).cast("int").alias("day_idx"),
-            (F.col("slot") % 24).cast("int").alias("hour"),
-            sched.hour_label(F.col("slot") % 24).alias("hour_label"),
-            "n_active",
-        )
+    """Number of places active at each of the 168 full hours of a week, where any is."""
+    return sessions.places_by_hour(places, column).select(
+        "day_idx", "hour", sched.hour_label(F.col("hour")).alias("hour_label"), "n_active"
     )
