@@ -11,7 +11,8 @@ from ..functions.markup import (
 )
 from ..functions.text import let
 from ..functions.urls import host, link_parts, path, site, strip_query, url_key
-from .keyed import first_per_key, lookup, splittable_join
+from .keyed import first_per_key, lookup
+from .prune import key_bitmap, likely_rows
 
 # Pages worth trying on any site, the telling ones and the general ones.
 EXPLICIT_PATHS = [
@@ -104,7 +105,8 @@ def choose_site_page(
     The first page that exists among telling paths, links found on the home
     page, general paths; otherwise the site itself. Candidates are rows, the
     existence test is a semi join on the cleaned address, and the choice is a
-    minimum that combines before the shuffle.
+    minimum that combines before the shuffle. Links are taken in the scan, of
+    pages whose address may be a site's; no page is moved for them.
     """
     tried = F.array(*[
         F.struct(F.lit(tier).alias("tier"), F.lit(i).alias("ord"), F.concat("base", F.lit(p)).alias("candidate"))
@@ -112,13 +114,12 @@ def choose_site_page(
     ])
     fixed = sites.select("base", F.explode(tried).alias("c")).select("base", "c.*")
     addressed = pages.withColumn("address", strip_query(F.col("url")))
-    homes = first_per_key(
-        splittable_join(addressed, sites.select(F.col("base").alias("address")), "address", "left_semi"),
-        ["address"], ["url"],
-    )
     links = same_site_links(F.col("html"), F.col("address"), text_words, path_words)
+    linked = likely_rows(addressed, "address", key_bitmap(sites, "base")).select("address", "url", links.alias("links"))
+    homes = linked.groupBy("address").agg(F.min(F.struct("url", "links"))["links"].alias("links"))
+    homes = homes.join(sites.select(F.col("base").alias("address")), "address", "left_semi")
     crawled = homes.select(
-        F.col("address").alias("base"), F.lit(1).alias("tier"), F.posexplode(links).alias("ord", "candidate")
+        F.col("address").alias("base"), F.lit(1).alias("tier"), F.posexplode("links").alias("ord", "candidate")
     )
     live = fixed.unionByName(crawled).join(
         addressed.select(F.col("address").alias("candidate")).distinct(), "candidate", "left_semi"
@@ -198,8 +199,9 @@ def site_texts(chosen: DataFrame, pages: DataFrame, max_chars: int | None = None
     """``base, page_url, first_url, text`` of the sites that have a text to read.
 
     ``chosen`` has ``base`` and ``page_url``. The page and both home variants
-    are asked for in one join, only pages asked for are cleaned, and the texts
-    of a site, three at most, are brought together by an aggregate.
+    are asked for in one join, and the texts of a site, three at most, are brought
+    together by an aggregate. Pages are cleaned in the scan, those that may be
+    asked for; what moves is their text.
     """
     asked = F.array(*[
         F.struct(F.lit(i).alias("rank"), address.alias("address"))
@@ -207,7 +209,8 @@ def site_texts(chosen: DataFrame, pages: DataFrame, max_chars: int | None = None
     ])
     wanted = chosen.select("base", "page_url", F.explode(asked).alias("a")).select("base", "page_url", "a.*")
     stored = pages.select(strip_query(F.col("url")).alias("address"), "html")
-    read = stored.join(wanted, "address").select("base", "page_url", "rank", page_text(F.col("html"), max_chars).alias("text"))
+    likely = likely_rows(stored, "address", key_bitmap(wanted, "address"))
+    read = likely.select("address", page_text(F.col("html"), max_chars).alias("text")).join(wanted, "address")
     sized = F.struct(F.length("text").alias("n"), "text")
     texts = read.groupBy("base", "page_url").agg(
         *[F.max(F.when(F.col("rank") == i, sized)).alias(f"t{i}") for i in range(3)]
