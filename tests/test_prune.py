@@ -57,3 +57,27 @@ def test_prompts_shuffle_no_html(spark, stored):
     assert prompts.count() == 10
     carried = exchanged(prompts)
     assert carried and not any(re.search(r"\bhtml#", e) for e in carried)
+
+
+def test_only_sites_without_any_text_are_asked_by_images(spark):
+    picture = '<img src="/menu.png">'
+    rows = [
+        ("https://a.com/", picture), ("https://b.com/", "<p>tiny</p>" + picture), ("https://c.com/specials", picture), ("https://c.com/", "<p>words</p>"),
+        ("https://d.com/specials", picture + '<img src="/x.jpg">'), ("https://d.com/", ""), ("https://e.com/", '<img src="/logo.png">'),
+        ("https://d.com/specials?again=1", '<img src="/never-menu.png">'), (None, picture),
+    ]
+    stored = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    places = spark.createDataFrame(
+        [(i, f"V {s}", f"https://{s}.com/" if s else None, " Monday: 1 - 2 PM ") for i, s in enumerate(["a", "b", "c", "d", "e", "f", "", "a"])],
+        "k long, restaurant_name string, website_url string, happy_hour_times string")
+    made = {r.k: r for r in extraction.build_menu_image_prompts(places, stored, ["k"]).collect()}
+    assert {k: (r.page_url, r.images) for k, r in made.items()} == {
+        0: ("https://a.com", ["https://a.com/menu.png"]), 7: ("https://a.com", ["https://a.com/menu.png"]),
+        3: ("https://d.com/specials", ["https://d.com/menu.png", "https://d.com/x.jpg"]),
+    }
+    assert "V a" in made[0].prompt and "Known hours: Monday: 1 - 2 PM\n" in made[0].prompt
+    one = extraction.build_menu_image_prompts(places, stored, ["k"], limit=1).where("k = 3").first()
+    assert one.images == ["https://d.com/menu.png"]
+    answers = spark.createDataFrame([(0, '{"happy_hours": [], "confidence": "none"}'), (1, "no answer"), (3, '{"happy_hours": [], "confidence": "high"}')], "k long, response string")
+    asked = {r.k: r.images for r in extraction.build_hours_image_prompts(places, stored, ["k"], answers).collect()}
+    assert asked == {0: ["https://a.com/menu.png"], 1: ["https://b.com/menu.png"], 2: ["https://c.com/menu.png"], 7: ["https://a.com/menu.png"]}

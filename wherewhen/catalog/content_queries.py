@@ -474,6 +474,38 @@ def hours_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", "page_url", F.length("text").alias("text_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
+def _image_sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Places, one per page row, and pages of their sites: home pages of text or of images, some with a menu page."""
+    p, k = _pages(spark, sf_dir), F.col("page_id")
+    root = F.concat(urls.scheme(F.col("url")), F.lit("://"), _page_host(), F.lit("/s"), k.cast("string"))
+    images = F.format_string('<img src="/img/%d.jpg"><img src="/menu-%d.png">', k, k)
+    home = F.when(k % 3 == 0, images).when(k % 3 == 1, F.concat(F.lit("<p>deals</p>"), "html"))
+    menu = F.when(k % 8 == 0, images).when(k % 8 == 4, F.lit("<p>short</p>"))
+    made = p.select(F.explode(F.array(
+        F.struct(F.concat(root, F.lit("/")).alias("url"), home.alias("html")), F.struct(F.concat(root, F.lit("/specials")).alias("url"), menu.alias("html")),
+    )).alias("made")).select("made.*").where("html IS NOT NULL")
+    schedule = F.when(k % 2 == 0, F.concat(F.lit(" Friday: 4 - 6 PM, seat "), k.cast("string"))).otherwise("")
+    places = p.select(k, F.concat(F.lit("Venue "), k.cast("string")).alias("restaurant_name"), F.concat(root, F.lit("/?utm=1")).alias("website_url"), schedule.alias("happy_hour_times"))
+    return places, made
+
+
+def image_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts over images, for places whose website has no text."""
+    places, stored = _image_sites(spark, sf_dir)
+    made = extraction.build_menu_image_prompts(places, stored, ["page_id"])
+    return made.select("page_id", "page_url", F.array_join("images", " ").alias("images"), "prompt")
+
+
+def hours_image_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts over images, for places whose text left no confident answer about hours."""
+    places, stored = _image_sites(spark, sf_dir)
+    k = F.col("page_id")
+    words = F.when(k % 5 == 0, "high").when(k % 5 == 1, "low").otherwise("none")
+    answers = places.where(k % 5 < 3).select(k, F.concat(F.lit('{"happy_hours": [], "confidence": "'), words, F.lit('"}')).alias("response"))
+    made = extraction.build_hours_image_prompts(places, stored, ["page_id"], answers)
+    return made.select("page_id", "page_url", F.array_join("images", " ").alias("images"), "prompt")
+
+
 def full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search hits and place documents merged into the directory in one job."""
     from .directory_queries import NOW
@@ -502,13 +534,33 @@ QUERIES = {
         interval_merge, page_text, page_links, page_links_mixed, url_forms, spa_pages, rendered_text,
         page_candidates, page_fallback, page_lookup, image_candidates, focus_windows, focused_texts,
         grounding_check, place_documents_flat, category_filter, documents_within, gap_keywords, response_parse,
-        hours_applied, menus_applied, image_menus_applied, image_hours_applied, prompt_texts, menu_prompts, hours_prompts, full_refresh, enriched_site,
+        hours_applied, menus_applied, image_menus_applied, image_hours_applied, prompt_texts, menu_prompts, hours_prompts, image_prompts, hours_image_prompts, full_refresh,
+        enriched_site,
     )
 }
 
 
 # --- SQL ----------------------------------------------------------------------------
 
+def _template_sql(template: str, **values: str) -> str:
+    text = derived.sql_text(template)
+    for name, value in values.items():
+        text = text.replace("{" + name + "}", f"' || {value} || '")
+    return text
+
+
+# A menu page is tried before the home page and shows all its images; a home page only those that name a menu.
+_IMAGE_SITES_SQL = r"""
+WITH sites AS (
+  SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) || '://' || lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS root FROM pages
+),
+shown AS (
+  SELECT page_id, root || '/s' || page_id || '/specials' AS page_url,
+    root || '/img/' || page_id || '.jpg ' || root || '/menu-' || page_id || '.png' AS images FROM sites WHERE page_id % 8 = 0
+  UNION ALL
+  SELECT page_id, root || '/s' || page_id, root || '/menu-' || page_id || '.png' FROM sites WHERE page_id % 4 <> 0 AND page_id % 3 = 0
+)"""
+
 _OPTION_SQL = r"""
 opt AS (
   SELECT k, 0 AS side, i, CASE WHEN (k + i) % 6 = 0 THEN 'dish' ELSE '$' || ((k * i) % 9) || '.5 dish ' || i END AS t
@@ -883,6 +935,15 @@ ORACLE = {
         f"""SELECT f.page_id, page_url, CAST(length(text) AS INT) AS text_chars, md5({_menu_prompt_sql('text')}) AS prompt_md5
             FROM final f JOIN places p ON p.k = f.page_id""",
     ),
+    "image_prompts": f"""
+        {_IMAGE_SITES_SQL}
+        SELECT page_id, page_url, images, {_template_sql(extraction.MENU_IMAGE_TEMPLATE, name="'Venue ' || page_id",
+          schedule="CASE WHEN page_id % 2 = 0 THEN 'Known hours: Friday: 4 - 6 PM, seat ' || page_id || chr(10) ELSE '' END")} AS prompt
+        FROM shown WHERE page_id % 3 <> 1 AND page_id % 8 <> 4""",
+    "hours_image_prompts": f"""
+        {_IMAGE_SITES_SQL}
+        SELECT page_id, page_url, images, {_template_sql(extraction.HOURS_IMAGE_TEMPLATE, name="'Venue ' || page_id")} AS prompt
+        FROM shown WHERE page_id % 5 <> 0""",
     "full_refresh": derived.with_sql(
         [
             derived.PLACES_SQL,

@@ -219,3 +219,18 @@ def site_texts(chosen: DataFrame, pages: DataFrame, max_chars: int | None = None
     return texts.withColumn("best", best).select(
         "base", "best.page_url", F.col("page_url").alias("first_url"), "best.text"
     )
+
+
+def site_images(chosen: DataFrame, pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """``base, page_url, images`` of the sites whose chosen page shows images that may be a menu, in page order.
+
+    ``chosen`` has ``base`` and ``page_url``. Pages that cannot be a chosen one are
+    dropped in the scan, and what moves are image addresses. Where several pages
+    share an address, the first by URL that has images counts.
+    """
+    wanted = chosen.select("base", "page_url", strip_query(F.col("page_url")).alias("__at"))
+    stored = pages.select(strip_query(F.col("url")).alias("__at"), "url", "html").withColumn("__page", F.col("url"))
+    listed = page_images(likely_rows(stored, "__at", key_bitmap(wanted, "__at")), ["__at", "__page"], limit)
+    shown = listed.groupBy("__at", "__page").agg(F.sort_array(F.collect_list(F.struct("ord", "url")))["url"].alias("images"))
+    first = shown.groupBy("__at").agg(F.min(F.struct("__page", "images"))["images"].alias("images"))
+    return wanted.join(first, "__at").select("base", "page_url", "images")

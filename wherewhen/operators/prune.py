@@ -32,6 +32,6 @@ def key_bitmap(keys: DataFrame, key: str) -> DataFrame:
 def likely_rows(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
     """The rows whose key may be among those of the bitmap; no other row with such a key is lost."""
     chunk, place = _bit(F.col(key))
-    marked = rows.withColumns({"__at": chunk, "__place": place}).join(F.broadcast(bitmap), F.col("__at") == F.col("__chunk"))
-    byte = F.conv(F.hex(F.expr("substring(__bits, __place div 8 + 1, 1)")), 16, 10).cast("int")
-    return marked.where(F.getbit(byte, F.col("__place") % 8) == 1).select(*rows.columns)
+    marked = rows.withColumns({"__bit_chunk": chunk, "__bit_place": place}).join(F.broadcast(bitmap), F.col("__bit_chunk") == F.col("__chunk"))
+    byte = F.conv(F.hex(F.expr("substring(__bits, __bit_place div 8 + 1, 1)")), 16, 10).cast("int")
+    return marked.where(F.getbit(byte, F.col("__bit_place") % 8) == 1).select(*rows.columns)

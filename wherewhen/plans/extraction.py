@@ -17,7 +17,7 @@ from ..functions.schedule import schedule_from_items
 from ..functions.text import filled, not_blank, trim_space
 from ..functions.urls import strip_query
 from ..operators.keyed import first_per_key, lookup
-from ..operators.pages import choose_site_page, site_addresses, site_texts
+from ..operators.pages import choose_site_page, site_addresses, site_images, site_texts
 
 MENU_TEMPLATE = (
     "Venue: {name}\n{schedule}List the cheapest drink and the cheapest dish that are on special in the text "
@@ -28,6 +28,16 @@ HOURS_TEMPLATE = (
     "Read the weekly special hours from the text below. Answer as JSON with the keys happy_hours (a list of day "
     "and times) and confidence (high, medium, low or none).\n\n{text}"
 )
+MENU_IMAGE_TEMPLATE = (
+    "The images are from the site of this venue: {name}\n{schedule}List the cheapest drink and the cheapest dish "
+    "that are on special in them. Answer as JSON with the keys drink, food (each name and price, or null) and "
+    "short_summary. Use only what the images show."
+)
+HOURS_IMAGE_TEMPLATE = (
+    "The images are from the site of this venue: {name}\nRead the weekly special hours from them, not the opening "
+    "hours. Answer as JSON with the keys happy_hours (a list of day and times) and confidence (high, medium, low or "
+    "none)."
+)
 # Confidence words that reject an answer.
 REJECTED = ["low", "none"]
 
@@ -97,6 +107,44 @@ def build_hours_prompts(places: DataFrame, pages: DataFrame, keys: list[str], **
     )
 
 
+def _image_prompts(places: DataFrame, chosen: DataFrame, pages: DataFrame, keys: list[str], prompt: Column, limit: int | None) -> DataFrame:
+    """``keys, page_url, images, prompt`` for the places whose chosen page shows images."""
+    visited = places.filter(filled(F.col("website_url"))).withColumn("__base", strip_query(F.col("website_url")))
+    found = lookup(visited, site_images(chosen, pages, limit), F.col("__base"), "base", "__site", keys, ["page_url", "images"])
+    return found.filter(F.col("__site").isNotNull()).select(*keys, "__site.page_url", "__site.images", prompt.alias("prompt"))
+
+
+def build_menu_image_prompts(places: DataFrame, pages: DataFrame, keys: list[str], limit: int | None = None, **page_options) -> DataFrame:
+    """One prompt with the images of the chosen page, for places whose website has no text at all.
+
+    A site with some text, be it too short to be asked about, is not tried by its
+    images; nor is one without images. ``limit`` keeps the first so many.
+    """
+    sites = choose_site_page(site_addresses(places), pages, **page_options)
+    read = site_texts(sites, pages).filter(F.length("text") > 0).select("base")
+    prompt = fill_template(
+        MENU_IMAGE_TEMPLATE, name=F.col("restaurant_name"), schedule=schedule_block(F.col("happy_hour_times"))
+    )
+    return _image_prompts(places, sites.join(read, "base", "left_anti"), pages, keys, prompt, limit)
+
+
+def build_hours_image_prompts(
+    places: DataFrame, pages: DataFrame, keys: list[str], responses: DataFrame, order: str | None = None,
+    limit: int | None = None, **page_options,
+) -> DataFrame:
+    """As ``build_menu_image_prompts`` for weekly hours: places without an answer to their text, or one without confidence.
+
+    ``responses`` are the answers to ``build_hours_prompts``; a confident answer
+    that lists no hours is believed, and its place not asked again.
+    """
+    sure = last_answers(responses, keys, order).select(*keys, parse_hours(F.col("response")).alias("__answer")).filter(
+        ~F.coalesce("__answer.confidence", F.lit("low")).isin(REJECTED)
+    )
+    open_places = places.join(sure.select(*keys), keys, "left_anti")
+    sites = choose_site_page(site_addresses(open_places), pages, **page_options)
+    return _image_prompts(open_places, sites, pages, keys, fill_template(HOURS_IMAGE_TEMPLATE, name=F.col("restaurant_name")), limit)
+
+
 def _present(item: Column) -> Column:
     return item.isNotNull() & (item["name"].isNotNull() | item["price"].isNotNull())
 
