@@ -241,3 +241,35 @@ def test_a_crowded_key_is_split_at_run_time(spark):
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def exchanges(frame):
+    """Exchanges of the plan as it would be on tables too large to broadcast."""
+    spark = frame.sparkSession
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return frame._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_merge_moves_whole_rows_twice(spark):
+    old = directory(spark, ("1", "N", None, None, None, None), ("", "Bar A", None, None, None, None))
+    new = directory(spark, ("2", "Bar A", None, None, None, None))
+    merged = merge.survivorship_merge(old, new)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(merged) <= 9 and plan.count("SortAggregate") <= 6
+    assert "Window" not in plan  # a target's rows combine before they are moved
+
+
+def test_a_crowded_target_combines_before_the_shuffle(spark):
+    """Twenty thousand new rows of one id arrive as one row a task."""
+    from pyspark.sql import functions as F
+
+    old = directory(spark, ("1", "N", None, None, None, None))
+    columns = [c for c in old.columns if c != "ord"]
+    values = {"place_id": F.lit("1"), "restaurant_name": F.lit("N")}
+    new = spark.range(20_000, numPartitions=8).select(
+        F.col("id").alias("ord"), *[values.get(c, F.col("id").cast(old.schema[c].dataType)).alias(c) for c in columns])
+    row = merge.survivorship_merge(old, new).collect()
+    assert len(row) == 1 and row[0].n_updates == 20_000 and row[0].action == "updated"

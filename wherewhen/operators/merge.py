@@ -2,10 +2,10 @@
 
 A sequential program folds the new rows into a dictionary one after the other.
 Here each new row is routed to a target (an existing id, an existing name
-without id, or itself), and the new rows of a target are folded into one row by
-aggregates, which combine before the shuffle: it does not matter how many new
-rows hit one target. The existing rows meet them in a full join on a key that
-is unique on both sides by then.
+without id, or itself), and all rows of a target, old and new, are folded into
+one by a single aggregate. It combines before the shuffle, so it does not matter
+how many rows hit one target. Routes are found on ids and names alone; whole rows
+move twice, to their route and to their target.
 """
 
 from __future__ import annotations
@@ -24,59 +24,60 @@ def _truthy(name: str, kind: str) -> Column:
     return filled(value) if kind == "string" else F.coalesce(value != 0, F.lit(False))
 
 
-def _route(new: DataFrame, known_ids: DataFrame, legacy_names: DataFrame, compat: bool) -> DataFrame:
-    """Adds ``target`` and ``in_legacy`` to the new rows."""
-    ids, names = F.nullif(F.col("place_id"), F.lit("")), F.nullif(F.col("restaurant_name"), F.lit(""))
-    rows = new.withColumns({
-        "__id": ids, "__name": names,
-        "__id_key": spread_key(ids, F.col("__seq"), F.col("restaurant_name")),
-        "__name_key": spread_key(names, F.col("__seq"), F.col("place_id")),
-    })
-    rows = splittable_join(
-        rows, known_ids.select(F.col("place_id").alias("__id_key"), F.lit(True).alias("__known")), "__id_key"
-    )
-    rows = splittable_join(
-        rows, legacy_names.select(F.col("restaurant_name").alias("__name_key"), F.lit(True).alias("__legacy")),
-        "__name_key",
-    )
-    known, legacy = F.coalesce(F.col("__known"), F.lit(False)), F.coalesce(F.col("__legacy"), F.lit(False))
-    own = F.coalesce(
-        F.concat(F.lit("id:"), F.col("__id")), F.concat(F.lit("row:"), F.col("__seq").cast("string"))
+def _prefixed(mark: str, value: Column) -> Column:
+    return F.concat(F.lit(mark), value)
+
+
+def _claims(keyed: DataFrame, known_ids: DataFrame, legacy: DataFrame) -> DataFrame:
+    """``__route, __home``: ids that a name without id goes to, and that mean that name's row from then on.
+
+    A name goes to the first new id that carries it and is not known; other ids of
+    the name are new places.
+    """
+    fresh = keyed.where("__name IS NOT NULL").join(known_ids, keyed["__id"] == known_ids["place_id"], "left_anti")
+    named = fresh.select("__name", F.struct("__seq", "__id").alias("__claim"), F.lit(False).alias("__is_legacy")).unionByName(
+        legacy.select("__name", F.lit(True).alias("__is_legacy")), allowMissingColumns=True
     )
-    by_name = F.concat(F.lit("name:"), F.col("__name"))
-    if compat:
-        # An id joins the keyed rows with its first row that no name claims.
-        appended = rows.filter(~legacy & F.col("__id").isNotNull()).groupBy("__id_key").agg(
-            F.min("__seq").alias("__first_append")
-        )
-        rows = splittable_join(rows, appended, "__id_key")
-        keyed = F.col("__id").isNotNull() & (known | F.coalesce(F.col("__seq") >= F.col("__first_append"), F.lit(False)))
-        target = F.when(keyed, own).when(legacy, by_name).otherwise(own)
-    else:
-        # A name without id goes to the first new id that carries it, and that
-        # id means this row from then on; other ids of the name are new places.
-        fresh = rows.filter(legacy & ~known & F.col("__id").isNotNull())
-        claim_by_name = fresh.groupBy("__name_key").agg(
-            F.min(F.struct("__seq", "__id")).alias("__claim")
-        )
-        claim_by_id = (
-            claim_by_name.select(F.col("__claim.__id").alias("__id_key"), "__claim.__seq", "__name_key")
-            .groupBy("__id_key")
-            .agg(F.min(F.struct("__seq", "__name_key")).alias("__home"))
-            .select("__id_key", F.col("__home.__name_key").alias("__home_name"))
-        )
-        rows = splittable_join(rows, claim_by_id, "__id_key")
-        target = (
-            F.when(F.col("__id").isNotNull() & known, own)
-            .when(F.col("__home_name").isNotNull(), F.concat(F.lit("name:"), F.col("__home_name")))
-            .when(legacy & F.col("__id").isNull(), by_name)
-            .otherwise(own)
-        )
-    return rows.withColumn("target", target).drop(
-        "__id", "__name", "__id_key", "__name_key", "__known", "__legacy", "__first_append", "__home_name"
+    claimed = named.groupBy("__name").agg(F.min("__claim").alias("__claim"), F.max("__is_legacy").alias("__is_legacy"))
+    return (
+        claimed.where("__is_legacy AND __claim IS NOT NULL").select("__claim.__id", "__claim.__seq", "__name")
+        .groupBy("__id").agg(F.min(F.struct("__seq", "__name"))["__name"].alias("__home"))
+        .select(_prefixed("i:", F.col("__id")).alias("__route"), "__home")
     )
 
 
+def _claimed_rows(keyed: DataFrame, known_ids: DataFrame, legacy: DataFrame) -> DataFrame:
+    """``__route, __home``: rows with an id that a name claims all the same, as a sequential merge would do.
+
+    An id joins the keyed rows with its first row that no name claims.
+    """
+    named = keyed.withColumn("__name", spread_key(F.col("__name"), F.col("__seq")))
+    rows = splittable_join(named, legacy.distinct().withColumn("__is_legacy", F.lit(True)), "__name")
+    marked = rows.select("__id", "__seq", "__name", F.coalesce("__is_legacy", F.lit(False)).alias("__is_legacy"))
+    ids = marked.select("__id", F.when(~F.col("__is_legacy"), F.col("__seq")).alias("__append")).unionByName(
+        known_ids.select(F.col("place_id").alias("__id"), F.lit(True).alias("__known")), allowMissingColumns=True
+    ).groupBy("__id").agg(F.min("__append").alias("__append"), F.max("__known").alias("__known"))
+    found = splittable_join(marked.where("__is_legacy"), ids, "__id")
+    late = F.col("__known").isNotNull() | F.coalesce(F.col("__seq") >= F.col("__append"), F.lit(False))
+    return found.where(~late).select(_prefixed("s:", F.col("__seq").cast("string")).alias("__route"), F.col("__name").alias("__home"))
+
+
+def _route(new: DataFrame, existing: DataFrame, compat: bool) -> DataFrame:
+    """Adds ``target`` to the new rows."""
+    ids, names = F.nullif(F.col("place_id"), F.lit("")), F.nullif(F.col("restaurant_name"), F.lit(""))
+    known_ids = existing.filter(filled(F.col("place_id"))).select("place_id")
+    legacy = existing.filter(~filled(F.col("place_id")) & filled(F.col("restaurant_name"))).select(F.col("restaurant_name").alias("__name"))
+    keyed = new.select(ids.alias("__id"), names.alias("__name"), "__seq").where("__id IS NOT NULL")
+    claims = (_claimed_rows if compat else _claims)(keyed, known_ids, legacy)
+    by_name = legacy.distinct().select(_prefixed("n:", F.col("__name")).alias("__route"), F.col("__name").alias("__home"))
+    with_id = _prefixed("s:", F.col("__seq").cast("string")) if compat else _prefixed("i:", ids)
+    route = F.when(ids.isNotNull(), with_id).otherwise(_prefixed("n:", names))
+    rows = new.withColumn("__route", spread_key(route, F.col("__seq")))
+    routed = splittable_join(rows, claims.unionByName(by_name), "__route")
+    own = F.coalesce(_prefixed("id:", ids), _prefixed("row:", F.col("__seq").cast("string")))
+    return routed.withColumn("target", F.coalesce(_prefixed("name:", F.col("__home")), own)).drop("__route", "__home")
+
+
 def survivorship_merge(
     existing: DataFrame, new: DataFrame, order: str = "ord", prune: bool = False, compat: bool = False,
     extracted: tuple[str, ...] = EXTRACTED_COLUMNS, date_column: str = "freshness_date",
@@ -108,21 +109,16 @@ def survivorship_merge(
             has_name, F.concat(F.lit("name:"), F.col("restaurant_name"))
         ),
     ).filter(F.col("target").isNotNull())
-    incoming = _route(
-        new.withColumnRenamed(order, "__seq"),
-        existing.filter(has_id).select("place_id").distinct(),
-        existing.filter(~has_id & has_name).select("restaurant_name").distinct(),
-        compat,
-    )
-    # A repeated target keeps its first position and its last row.
-    latest = old.groupBy("target").agg(
-        F.max(F.struct("__seq", *columns)).alias("old"), F.min("__seq").alias("__pos")
+    incoming = _route(new.withColumnRenamed(order, "__seq"), existing, compat)
+    rows = old.select("target", "__seq", *columns, F.lit(False).alias("__new")).unionByName(
+        incoming.select("target", "__seq", *columns, F.lit(True).alias("__new"))
     )
+    is_new = F.col("__new")
 
     def last(name: str) -> Column:
         value = F.col(name)
         if name == date_column or (name == "place_id" and compat):
-            return F.max_by(F.struct(value), "__seq").alias(f"__last_{name}")
+            return F.max_by(F.struct(value), F.when(is_new, F.col("__seq"))).alias(f"__last_{name}")
         if name in extracted:
             allowed = _truthy(name, kinds[name])
         elif name == "place_id":
@@ -130,15 +126,17 @@ def survivorship_merge(
         else:
             allowed = value.isNotNull()
         # NULL order values are left out, so this is the last admissible value.
-        return F.max_by(F.struct(value), F.when(allowed, F.col("__seq"))).alias(f"__last_{name}")
+        return F.max_by(F.struct(value), F.when(is_new & allowed, F.col("__seq"))).alias(f"__last_{name}")
 
-    folded = incoming.groupBy("target").agg(
-        F.min_by(F.struct(*columns), "__seq").alias("first"),
+    # A repeated old target keeps its first position and its last row.
+    both = rows.groupBy("target").agg(
+        F.max(F.when(~is_new, F.struct("__seq", *columns))).alias("old"),
+        F.min(F.when(~is_new, F.col("__seq"))).alias("__pos"),
+        F.min_by(F.struct(*columns), F.when(is_new, F.col("__seq"))).alias("first"),
         *[last(c) for c in columns],
-        F.count("*").alias("__n_new"),
-        F.min("__seq").alias("__first_new"),
+        F.count_if(is_new).alias("__n_new"),
+        F.min(F.when(is_new, F.col("__seq"))).alias("__first_new"),
     )
-    both = latest.join(folded, "target", "full")
     known, touched = F.col("old").isNotNull(), F.col("first").isNotNull()
 
     def survivor(name: str) -> Column:
@@ -151,7 +149,7 @@ def survivorship_merge(
     out = both.select(
         *[survivor(c) for c in columns],
         F.when(~known, "added").when(touched, "updated").otherwise("kept").alias("action"),
-        (F.coalesce("__n_new", F.lit(0)) - (~known).cast("int")).alias("n_updates"),
+        (F.col("__n_new") - (~known).cast("int")).alias("n_updates"),
         by_name.cast("int").alias("section"),
         (~known).cast("int").alias("appended"),
         F.coalesce("__pos", "__first_new").alias("position"),
