@@ -53,9 +53,24 @@ def test_intervals_match_brute_force(spark):
 
     want = sorted((str(g), *iv) for g in {r[0] for r in rows} for iv in merged(g))
     frame = spark.createDataFrame(rows, "g string, s long, e long")
-    for width in (64, 1 << 16):
-        got = sorted((str(r.g), r.s, r.e) for r in merge_intervals(frame, ["g"], "s", "e", slice_width=width).collect())
+    for slices in (1, 40, None):
+        got = sorted((str(r.g), r.s, r.e) for r in merge_intervals(frame, ["g"], "s", "e", slices).collect())
         assert got == want
+    assert merge_intervals(frame.where("false"), ["g"], "s", "e").collect() == []
+
+
+def test_no_task_holds_a_group_of_intervals(spark):
+    """One group has a third of all rows, with starts far apart: its rows are dealt evenly all the same."""
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 997).alias("g"), (F.col("id") * 10**13 + 7).alias("s"),
+        (F.col("id") * 10**13 + 7 + (F.col("id") % 5) * 10**13).alias("e"))
+    merged = merge_intervals(rows, ["g"], "s", "e", slices=16)
+    assert merged.count() > 0
+    held = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in merged.inputFiles()})
+    sizes = [r["count"] for r in held.groupBy("__slice").count().collect()]
+    assert len(sizes) >= 14 and max(sizes) < 2 * 30_000 / 16
+    crowd = held.where("__group.g = 0").groupBy("__slice").count().count()
+    assert crowd >= 5
 
 
 def test_page_text(evaluate):

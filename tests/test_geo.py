@@ -202,3 +202,41 @@ def test_radius_box_is_pushed(spark, tmp_path):
     near = proximity.within_radius(spark.read.parquet(path), (10.0, 10.0), 1000.0)
     plan = near._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(lat" in plan.split("PushedFilters")[1] and sorted(r.k for r in near.collect()) == [1, 2]
+
+
+def miles_apart(a, b):
+    la, lo, lb, lp = map(math.radians, (*a, *b))
+    h = math.sin((la - lb) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lo - lp) / 2) ** 2
+    return 2 * 6371000.0 * math.atan2(math.sqrt(h), math.sqrt(max(0.0, 1 - h)))
+
+
+def test_k_nearest_without_a_radius(spark):
+    """Crowds, empty country, latitude 70, both sides of 180 degrees, poles, and repeated positions."""
+    rng = random.Random(12)
+    spots = [(32.7 + rng.random() / 50, -117.1 + rng.random() / 50) for _ in range(400)]
+    spots += [(70 + rng.random(), 25 + rng.random() * 3) for _ in range(60)] + [(rng.uniform(-5, 5), rng.choice([179.99, -179.99])) for _ in range(60)]
+    spots += [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(150)] + [(10.0, 10.0)] * 40 + [(90.0, 0.0), (-90.0, 0.0), (0.0, 0.0)]
+    points = spark.createDataFrame([(i, *s) for i, s in enumerate(spots)] + [(9999, None, 1.0)], "p long, lat double, lng double")
+    asked = [(32.71, -117.09), (70.2, 26.1), (0.0, 180.0), (1.0, -180.0), (90.0, 12.0), (-89.9, 50.0), (10.0, 10.0), (-50.0, 100.0), (0.0, 0.0), (60.0, -160.0)]
+    centers = spark.createDataFrame([(i, *s) for i, s in enumerate(asked)] + [(77, None, None)], "c long, lat double, lng double")
+    for k in (1, 7, 45):
+        got = {}
+        for r in proximity.nearest_k_any(points, centers, "c", ["p"], k).collect():
+            got.setdefault(r.c, []).append((r["rank"], r.p, r.distance))
+        assert set(got) == set(range(len(asked)))
+        for i, at in enumerate(asked):
+            want = sorted(miles_apart(at, s) for s in spots)[:k]
+            found = sorted(got[i])
+            assert [round(d, 2) for _, _, d in found] == [round(d, 2) for d in want]
+            assert len({p for _, p, _ in found}) == k
+    few = points.where("p < 3")
+    assert proximity.nearest_k_any(few, centers, "c", ["p"], 10).count() == 3 * len(asked)
+    assert proximity.nearest_k_any(points.where("p < 0"), centers, "c", ["p"], 3).collect() == []
+
+
+def test_k_nearest_compares_few_pairs(spark):
+    """A far-away centre looks at the near rim of the crowd, not at all of it."""
+    points = spark.range(20_000).select(F.col("id").alias("p"), (32.6 + F.rand(1) / 4).alias("lat"), (-117.2 + F.rand(2) / 4).alias("lng"))
+    centers = spark.createDataFrame([(0, 70.0, 20.0), (1, 32.7, -117.1), (2, -40.0, 179.0)], "c long, lat double, lng double")
+    assert proximity.nearest_k_any(points, centers, "c", ["p"], 5).count() == 15
+    assert proximity.compared_pairs(points, centers, "c", ["p"], 5).count() < 200

@@ -273,3 +273,15 @@ def test_a_crowded_target_combines_before_the_shuffle(spark):
         F.col("id").alias("ord"), *[values.get(c, F.col("id").cast(old.schema[c].dataType)).alias(c) for c in columns])
     row = merge.survivorship_merge(old, new).collect()
     assert len(row) == 1 and row[0].n_updates == 20_000 and row[0].action == "updated"
+
+
+def test_figures_come_from_the_run_that_writes(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    old = directory(spark, ("1", "N", None, None, None, None), ("2", "M", None, None, None, None), ("", "Bar A", None, None, None, None))
+    new = directory(spark, ("1", "N", "t", None, None, None), ("3", "Bar A", None, None, None, None), ("4", "New", None, None, None, None))
+    seen = Observation()
+    merged = merge.observed_merge(old, new, seen, prune=True)
+    merged.write.parquet(str(tmp_path / "merged"))
+    assert seen.get == merge.merge_metrics(old, new, prune=True).first().asDict()
+    assert spark.read.parquet(str(tmp_path / "merged")).count() == seen.get["total"] == 3 and seen.get["pruned"] == 1

@@ -24,7 +24,7 @@ def test_read_places(spark, tmp_path):
         "extra,address,restaurant_name,cheapest_drink_price,place_id,cheapest_food_price,happy_hour_times\n"
         'x,"1 Main, Suite 2","Joe ""J"" Bar",5.5,P1,N/A,"Monday: 3 PM\n- 6 PM"\nx,,B,,,1d,\n'
     ))
-    frame = tables.read_places(spark, path)
+    frame = tables.read_places(spark, path, multi_line=True)
     assert frame.columns == schema.PLACES.fieldNames()
     one, two = frame.orderBy("restaurant_name").collect()[::-1]
     assert (one.restaurant_name, one.address, one.cheapest_drink_price, one.cheapest_food_price) == ('Joe "J" Bar', "1 Main, Suite 2", 5.5, None)
@@ -167,3 +167,31 @@ def test_enrich(spark):
     one, two = enrich(places, overrides, menu).orderBy("ord").collect()
     assert (one.neighborhood, one.cheapest_drink, one.cheapest_drink_price, one.cheapest_food) == ("north_park", "Ale", 5.0, None)
     assert (two.neighborhood, two.happy_hour_times, two.source) == (None, "Fri", "Manual Override")
+
+
+def test_written_rows_are_counted_by_the_run_that_makes_them(spark, tmp_path):
+    """The plan runs once, however many rows there are."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    frame = spark.range(1000, numPartitions=4).selectExpr("string(id) AS restaurant_name").mapInArrow(touch, "restaurant_name string")
+    assert tables.write_table(frame, str(tmp_path / "t")) == 1000 and seen.value == 1000
+    assert tables.write_table(frame.where("restaurant_name = 'x'"), str(tmp_path / "t")) == 0
+    assert tables.read_text_table(spark, str(tmp_path / "t")).count() == 1000
+
+
+def test_a_plain_file_is_read_in_several_splits(spark, tmp_path):
+    path = tmp_path / "big.csv"
+    path.write_text("restaurant_name,place_id\n" + "".join(f"Venue {i},P{i}\n" for i in range(60_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        rows = tables.read_menu(spark, str(path))
+        assert rows.rdd.getNumPartitions() >= 4 and rows.where("place_id = 'P59999'").count() == 1
+        whole = tables.read_menu(spark, str(path), multi_line=True)
+        assert whole.rdd.getNumPartitions() == 1 and whole.count() == rows.count() == 60_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -39,6 +39,18 @@ def nearest_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("center", "k", "rank", F.round("distance", 4).alias("distance"))
 
 
+def nearest_k_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four nearest places of every supplier's spot, some in the crowd, some at high latitudes, at the seam or far off."""
+    k = F.col("s_suppkey")
+    centers = derived.table(spark, sf_dir, "supplier").select(
+        k.alias("center"),
+        F.when(k % 4 == 0, (k * 7919 % 2400 + 326400) / 10000).when(k % 4 == 1, F.lit(70.5)).when(k % 4 == 2, (k % 90).cast("double")).otherwise(-33.25).alias("lat"),
+        F.when(k % 4 == 0, -(k * 104729 % 2000 + 1170800) / 10000).when(k % 4 == 1, F.lit(-117.0) + k / 100).when(k % 4 == 2, F.lit(180.0)).otherwise((k % 360 - 180).cast("double")).alias("lng"),
+    )
+    found = proximity.nearest_k_any(derived.places(spark, sf_dir), centers, "center", ["k"], 4)
+    return found.select("center", "k", "rank", F.round("distance", 3).alias("distance"))
+
+
 def neighborhood_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.assign_region(derived.places(spark, sf_dir), NEIGHBORHOODS).select("k", "neighborhood")
 
@@ -172,7 +184,7 @@ def fetch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        radius_filter, distance_order, nearest_k, neighborhood_assign, neighborhood_table_assign,
+        radius_filter, distance_order, nearest_k, nearest_k_any, neighborhood_assign, neighborhood_table_assign,
         neighborhood_counts, coverage, area_selection, box_geometry, bounds, quadtree_leaves, quadtree_places,
         search_filter, search_names, result_counters, directory_summary, first_sample, fetch_totals,
     )
@@ -297,6 +309,21 @@ ORACLE = {
                 FROM centers c, places p WHERE p.lat IS NOT NULL AND p.lng IS NOT NULL)
               WHERE distance <= 1200) WHERE rn <= 3""",
     ),
+    "nearest_k_any": derived.with_sql(
+        [derived.PLACES_SQL, """
+spots AS (
+  SELECT s_suppkey AS center,
+    CASE s_suppkey % 4 WHEN 0 THEN (s_suppkey * 7919 % 2400 + 326400) / 10000 WHEN 1 THEN 70.5 WHEN 2 THEN CAST(s_suppkey % 90 AS DOUBLE)
+      ELSE -33.25 END AS lat,
+    CASE s_suppkey % 4 WHEN 0 THEN -(s_suppkey * 104729 % 2000 + 1170800) / 10000 WHEN 1 THEN -117.0::DOUBLE + s_suppkey / 100
+      WHEN 2 THEN 180.0 ELSE CAST(s_suppkey % 360 - 180 AS DOUBLE) END AS lng
+  FROM supplier
+)"""],
+        f"""SELECT center, k, CAST(rn AS INT) AS rank, round(distance, 3) AS distance FROM (
+              SELECT *, row_number() OVER (PARTITION BY center ORDER BY distance, k) AS rn FROM (
+                SELECT center, p.k, {_between_sql('c.lat', 'c.lng', 'p.lat', 'p.lng')} AS distance
+                FROM spots c, places p WHERE p.lat IS NOT NULL AND p.lng IS NOT NULL)) WHERE rn <= 4""",
+    ),
     "neighborhood_assign": derived.with_sql(
         [derived.PLACES_SQL, BOXES_SQL, REGION_SQL], "SELECT k, neighborhood FROM regioned"
     ),

@@ -11,15 +11,16 @@ from ..operators.intervals import merge_intervals
 from ..plans import extraction, refresh
 from ..operators.keyed import attach_menu
 from ..sources import tables
-from ..sources.documents import page_by_url
+from ..sources.documents import page_by_url, read_place_documents
 from ..sources.menu_files import menu_lines, parse_menu_lines
+from ..functions.text import not_blank
 from ..schema import MORE_KEYWORDS
+from ..session import shared_path
 from . import area_queries, derived, directory_queries
 
 ANCHORS = [r"(?i)thing", "thble"]
 LINK_TEXT, LINK_PATH = "that", r"^/[Tt]h"
 BEFORE, AFTER = 40, 300
-SLICE = 3600 * 6
 
 
 # --- items ----------------------------------------------------------------------
@@ -110,7 +111,16 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived.table(spark, sf_dir, "events").select(
         "user_id", begin.alias("s"), (begin + F.col("event_id") % 50 * 1200).alias("e")
     )
-    return merge_intervals(rows, ["user_id"], "s", "e", slice_width=SLICE)
+    return merge_intervals(rows, ["user_id"], "s", "e")
+
+
+def interval_merge_micros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in microseconds, with a third of all events one user's."""
+    begin, k = F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id")
+    rows = derived.table(spark, sf_dir, "events").select(
+        F.when(k % 3 == 0, -1).otherwise(F.col("user_id")).alias("user_id"), begin.alias("s"), (begin + k % 50 * 70_000_001).alias("e")
+    )
+    return merge_intervals(rows, ["user_id"], "s", "e")
 
 
 # --- pages ------------------------------------------------------------------------
@@ -508,6 +518,10 @@ def hours_image_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search hits and place documents merged into the directory in one job."""
+    return _refreshed(spark, sf_dir)
+
+
+def _refreshed(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
     from .directory_queries import NOW
 
     documents_ = place_documents(spark, sf_dir).drop("k")
@@ -516,10 +530,44 @@ def full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_linenumber") % 5).alias("keyword_ord"), F.floor(F.col("l_partkey") / 20).alias("page"),
         (F.col("l_partkey") % 20).alias("pos"), derived.place_key(F.col("l_orderkey")).alias("place_id"),
     )
-    merged = refresh.refresh(existing, hits, documents_, NOW)
+    merged = refresh.refresh(existing, hits, documents_, NOW, max_results=most)
     return merged.select("place_id", "restaurant_name", "rating", "happy_hour_times", "freshness_date", "action", "upgraded")
 
 
+MOST_RESULTS = 2000
+
+
+def full_refresh_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``full_refresh`` with the cap on candidates, the first so many hits."""
+    return _refreshed(spark, sf_dir, MOST_RESULTS)
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places written as CSV and read back, through the shared folder."""
+    k = F.col("k")
+    path = shared_path(spark, "csv-round-trip")
+    price = F.when(k % 7 != 0, k % 9 / 2)
+    tables.write_table(derived.places(spark, sf_dir).withColumn("cheapest_drink_price", price), path, [
+        "restaurant_name", "place_id", "happy_hour_times", "review_count", "cheapest_drink_price", "menu_summary",
+    ])
+    back = tables.read_places(spark, path)
+    shown = F.when(not_blank(F.col("happy_hour_times")), F.col("happy_hour_times"))
+    return back.select(
+        "place_id", "restaurant_name", shown.alias("happy_hour_times"), "review_count", "cheapest_drink_price", "google_maps_url", "menu_url",
+    )
+
+
+def document_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place documents written as JSON lines, with fields nobody asked for, read back by the field mask and flattened."""
+    path = shared_path(spark, "document-round-trip")
+    place_documents(spark, sf_dir).filter(F.col("id").isNotNull()).withColumn("extra", F.struct(F.lit(1).alias("x"))).write.json(path)
+    flat = documents.flatten_places(read_place_documents(spark, path))
+    return flat.select(
+        "place_id", "restaurant_name", "address", "phone_number", "website_url", "happy_hour_times", "regular_hours",
+        "rating", "review_count", "price_level", "source", "latitude", "longitude", "generative_summary",
+    )
+
+
 def enriched_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page build: overrides, neighborhood and menu on every place."""
     places = derived.places(spark, sf_dir).withColumnRenamed("k", "ord").drop("lat", "lng")
@@ -531,10 +579,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         cheapest_per_category, option_summary, price_tokens, menu_labels, menu_file_rows, menu_file_lines, menu_export,
-        interval_merge, page_text, page_links, page_links_mixed, url_forms, spa_pages, rendered_text,
+        interval_merge, interval_merge_micros, page_text, page_links, page_links_mixed, url_forms, spa_pages, rendered_text,
         page_candidates, page_fallback, page_lookup, image_candidates, focus_windows, focused_texts,
         grounding_check, place_documents_flat, category_filter, documents_within, gap_keywords, response_parse,
         hours_applied, menus_applied, image_menus_applied, image_hours_applied, prompt_texts, menu_prompts, hours_prompts, image_prompts, hours_image_prompts, full_refresh,
+        full_refresh_capped, csv_round_trip, document_round_trip,
         enriched_site,
     )
 }
@@ -714,6 +763,54 @@ chosen AS (
 )""",
 ]
 
+def _refresh_sql(found: str, *more: str) -> str:
+    return derived.with_sql(
+        [
+            derived.PLACES_SQL,
+            "existing AS (SELECT * FROM places WHERE k % 3 <> 0)",
+            """
+recent AS (
+  SELECT place_id FROM existing WHERE place_id <> ''
+    AND TRY_CAST(freshness_date AS DATE) >= TIMESTAMP '2024-03-10 12:00:00' - INTERVAL 30 DAY
+)""",
+            *more,
+            f"""
+fetched AS (
+  SELECT place_id, restaurant_name, CASE WHEN k % 10 = 0 THEN '' ELSE rating END AS rating,
+    {_FLAT_HOURS} AS happy_hour_times, '2024-03-10' AS freshness_date
+  FROM places
+  WHERE place_id <> '' AND {found} AND place_id NOT IN (SELECT place_id FROM recent)
+    AND NOT (k % 9 IN (0, 3, 4, 5) AND k % 6 NOT IN (0, 1))
+)""",
+            """
+fresh_rows AS (
+  SELECT * FROM fetched UNION ALL
+  SELECT place_id, restaurant_name, rating, happy_hour_times, freshness_date FROM existing
+  WHERE place_id IN (SELECT place_id FROM recent) AND place_id NOT IN (SELECT place_id FROM fetched)
+)""",
+            # Names occur twice, so at most one new id meets a name without id.
+            """
+aimed AS (
+  SELECT n.*, CASE WHEN e.place_id IS NOT NULL THEN 'id:' || n.place_id WHEN l.restaurant_name IS NOT NULL
+      THEN 'name:' || n.restaurant_name ELSE 'id:' || n.place_id END AS target
+  FROM fresh_rows n LEFT JOIN existing e ON e.place_id = n.place_id
+  LEFT JOIN existing l ON l.place_id = '' AND l.restaurant_name = n.restaurant_name
+)""",
+            """
+known AS (
+  SELECT *, CASE WHEN place_id <> '' THEN 'id:' || place_id ELSE 'name:' || restaurant_name END AS target FROM existing
+)""",
+        ],
+        """SELECT coalesce(n.place_id, e.place_id) AS place_id, coalesce(n.restaurant_name, e.restaurant_name)
+             AS restaurant_name, coalesce(n.rating, e.rating) AS rating,
+             coalesce(nullif(n.happy_hour_times, ''), e.happy_hour_times, n.happy_hour_times) AS happy_hour_times,
+             CASE WHEN n.target IS NOT NULL THEN n.freshness_date ELSE e.freshness_date END AS freshness_date,
+             CASE WHEN e.target IS NULL THEN 'added' WHEN n.target IS NOT NULL THEN 'updated' ELSE 'kept' END AS action,
+             starts_with(target, 'name:') AND n.target IS NOT NULL AS upgraded
+           FROM known e FULL JOIN aimed n USING (target)""",
+    )
+
+
 ORACLE = {
     "cheapest_per_category": derived.with_sql(
         [derived.MENU_ITEMS_SQL],
@@ -772,6 +869,14 @@ ORACLE = {
         g AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isle
             FROM f)
         SELECT user_id, min(s) AS s, max(e) AS e FROM g GROUP BY user_id, isle""",
+    "interval_merge_micros": """
+        WITH r AS (SELECT CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS user_id, CAST(epoch_us(ts) AS BIGINT) AS s,
+            CAST(epoch_us(ts) AS BIGINT) + event_id % 50 * 70000001 AS e FROM events),
+        f AS (SELECT *, s > coalesce(max(e) OVER (PARTITION BY user_id ORDER BY s, e
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS opens FROM r),
+        g AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isle
+            FROM f)
+        SELECT user_id, min(s) AS s, max(e) AS e FROM g GROUP BY user_id, isle""",
     "page_text": f"SELECT page_id, left(md5(url), 16) AS page_key, {_text_sql('html')} AS text FROM pages",
     "page_links": rf"""
         WITH tags AS (
@@ -944,49 +1049,24 @@ ORACLE = {
         {_IMAGE_SITES_SQL}
         SELECT page_id, page_url, images, {_template_sql(extraction.HOURS_IMAGE_TEMPLATE, name="'Venue ' || page_id")} AS prompt
         FROM shown WHERE page_id % 5 <> 0""",
-    "full_refresh": derived.with_sql(
-        [
-            derived.PLACES_SQL,
-            "existing AS (SELECT * FROM places WHERE k % 3 <> 0)",
-            """
-recent AS (
-  SELECT place_id FROM existing WHERE place_id <> ''
-    AND TRY_CAST(freshness_date AS DATE) >= TIMESTAMP '2024-03-10 12:00:00' - INTERVAL 30 DAY
-)""",
-            f"""
-fetched AS (
-  SELECT place_id, restaurant_name, CASE WHEN k % 10 = 0 THEN '' ELSE rating END AS rating,
-    {_FLAT_HOURS} AS happy_hour_times, '2024-03-10' AS freshness_date
-  FROM places
-  WHERE place_id <> '' AND k IN (SELECT l_orderkey FROM lineitem) AND place_id NOT IN (SELECT place_id FROM recent)
-    AND NOT (k % 9 IN (0, 3, 4, 5) AND k % 6 NOT IN (0, 1))
-)""",
-            """
-fresh_rows AS (
-  SELECT * FROM fetched UNION ALL
-  SELECT place_id, restaurant_name, rating, happy_hour_times, freshness_date FROM existing
-  WHERE place_id IN (SELECT place_id FROM recent) AND place_id NOT IN (SELECT place_id FROM fetched)
-)""",
-            # Names occur twice, so at most one new id meets a name without id.
-            """
-aimed AS (
-  SELECT n.*, CASE WHEN e.place_id IS NOT NULL THEN 'id:' || n.place_id WHEN l.restaurant_name IS NOT NULL
-      THEN 'name:' || n.restaurant_name ELSE 'id:' || n.place_id END AS target
-  FROM fresh_rows n LEFT JOIN existing e ON e.place_id = n.place_id
-  LEFT JOIN existing l ON l.place_id = '' AND l.restaurant_name = n.restaurant_name
-)""",
-            """
-known AS (
-  SELECT *, CASE WHEN place_id <> '' THEN 'id:' || place_id ELSE 'name:' || restaurant_name END AS target FROM existing
+    "full_refresh": _refresh_sql("k IN (SELECT l_orderkey FROM lineitem)"),
+    "full_refresh_capped": _refresh_sql(
+        "k IN (SELECT k FROM capped)",
+        f"""
+capped AS (
+  SELECT k FROM (
+    SELECT l_orderkey AS k, 'P' || lpad(CAST(l_orderkey AS VARCHAR), 9, '0') AS id,
+      min((l_linenumber % 5) * 1000000000000 + (l_partkey // 20) * 20 + l_partkey % 20) AS hit
+    FROM lineitem GROUP BY l_orderkey)
+  WHERE id NOT IN (SELECT place_id FROM recent) ORDER BY hit, id LIMIT {MOST_RESULTS}
 )""",
-        ],
-        """SELECT coalesce(n.place_id, e.place_id) AS place_id, coalesce(n.restaurant_name, e.restaurant_name)
-             AS restaurant_name, coalesce(n.rating, e.rating) AS rating,
-             coalesce(nullif(n.happy_hour_times, ''), e.happy_hour_times, n.happy_hour_times) AS happy_hour_times,
-             CASE WHEN n.target IS NOT NULL THEN n.freshness_date ELSE e.freshness_date END AS freshness_date,
-             CASE WHEN e.target IS NULL THEN 'added' WHEN n.target IS NOT NULL THEN 'updated' ELSE 'kept' END AS action,
-             starts_with(target, 'name:') AND n.target IS NOT NULL AS upgraded
-           FROM known e FULL JOIN aimed n USING (target)""",
+    ),
+    "csv_round_trip": derived.with_sql(
+        [derived.PLACES_SQL],
+        """SELECT nullif(place_id, '') AS place_id, restaurant_name, CASE WHEN trim(happy_hour_times) <> '' THEN happy_hour_times END AS happy_hour_times,
+             nullif(review_count, '') AS review_count, CASE WHEN k % 7 <> 0 THEN k % 9 / 2 END AS cheapest_drink_price,
+             '' AS google_maps_url, CAST(NULL AS VARCHAR) AS menu_url
+           FROM places""",
     ),
     "enriched_site": derived.with_sql(
         [derived.PLACES_SQL, derived.OVERRIDES_SQL, derived.MENU_SQL, directory_queries.OVERRIDE_SQL,
@@ -1002,3 +1082,4 @@ known AS (
            JOIN menu_hit mh USING (k) LEFT JOIN menu m ON m.ord = mh.ord""",
     ),
 }
+ORACLE["document_round_trip"] = ORACLE["place_documents_flat"]

@@ -58,7 +58,7 @@ def spread_key(key: Column, *seeds: Column) -> Column:
     return F.coalesce(key, F.concat(F.lit("\u0000"), F.xxhash64(*seeds).cast("string")))
 
 
-def splittable_join(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
+def splittable_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
     """Equi-join whose crowded left keys Spark can split at run time.
 
     A right side that was just grouped by the key is already partitioned by it.
@@ -66,9 +66,9 @@ def splittable_join(left: DataFrame, right: DataFrame, on: str, how: str = "left
     the left side. The hashed key as a second join column makes both sides
     exchange for the join, which is where skew is detected.
     """
-    hashed = "__key_hash"
-    return left.withColumn(hashed, F.xxhash64(on)).join(
-        right.withColumn(hashed, F.xxhash64(on)), [on, hashed], how
+    hashed, keys = "__key_hash", [on] if isinstance(on, str) else on
+    return left.withColumn(hashed, F.xxhash64(*keys)).join(
+        right.withColumn(hashed, F.xxhash64(*keys)), [*keys, hashed], how
     ).drop(hashed)
 
 

@@ -10,7 +10,7 @@ move twice, to their route and to their target.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import filled
@@ -163,19 +163,33 @@ def _stale() -> Column:
     return (F.col("section") == 0) & (F.col("action") == "kept")
 
 
-def merge_metrics(
-    existing: DataFrame, new: DataFrame, order: str = "ord", prune: bool = False, **options
-) -> DataFrame:
-    """One row: updates applied, rows added, rows upgraded, rows pruned, rows left."""
-    merged = survivorship_merge(existing, new, order, **options)
+def _metrics(prune: bool) -> list[Column]:
     stale = _stale() if prune else F.lit(False)
-    return merged.agg(
+    return [
         F.coalesce(F.sum("n_updates"), F.lit(0)).alias("updated"),
         F.count_if(F.col("action") == "added").alias("added"),
         F.count_if(F.col("upgraded")).alias("upgraded"),
         F.count_if(stale).alias("pruned"),
         F.count_if(~stale).alias("total"),
-    )
+    ]
+
+
+def observed_merge(
+    existing: DataFrame, new: DataFrame, observation: Observation, order: str = "ord", prune: bool = False, **options
+) -> DataFrame:
+    """``survivorship_merge`` whose figures are taken by the run that writes it.
+
+    Once that is through, ``observation.get`` has updated, added, upgraded, pruned and total.
+    """
+    merged = survivorship_merge(existing, new, order, **options).observe(observation, *_metrics(prune))
+    return merged.filter(~_stale()) if prune else merged
+
+
+def merge_metrics(
+    existing: DataFrame, new: DataFrame, order: str = "ord", prune: bool = False, **options
+) -> DataFrame:
+    """One row: updates applied, rows added, rows upgraded, rows pruned, rows left. ``observed_merge`` has them beside the merge."""
+    return survivorship_merge(existing, new, order, **options).agg(*_metrics(prune))
 
 
 def restore_skipped(fetched: DataFrame, existing: DataFrame, skipped: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_METERS, great_circle, has_position
+from ..session import stored
 
 
 def with_distance(
@@ -88,6 +89,9 @@ def near_centers(
 ) -> DataFrame:
     """Pairs of centre and point at most ``meters`` apart; the ``k`` nearest if given.
 
+    Without ``k`` the result has every pair in reach, so it grows with how crowded
+    a reach is; ``nearest_k_any`` needs no reach and lists k pairs a centre.
+
     Positions are points of a sphere in space, which is cut into cubes at least
     one reach wide. Partners lie in the same or a neighbouring cube, so the join
     is an equi-join on the cube, everywhere on the globe. A point is in one
@@ -132,3 +136,98 @@ def near_centers(
     # a centre with very many partners sends k rows per task.
     order = Window.partitionBy(center_key).orderBy("distance", *point_keys)
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+# --- the k nearest, however far -------------------------------------------------
+
+# Levels of halving of the cube around the globe at which cells are judged. Cells of
+# the last one are about 12 metres wide.
+LEVELS = (2, 4, 6, 9, 12, 15, 18, 20)
+_BOUNDED_LEVEL = 6  # the sphere passes through some 25,000 cells of this level
+_SALT_ROWS = 1 << 13  # points of one cell that one task compares with a centre
+_CELLS = ["__cx", "__cy", "__cz"]
+
+
+def _cell_numbers(at: str, level: int) -> list[Column]:
+    """Numbers of the cell of a position, per axis, from 0 to 2^level - 1."""
+    last = (1 << level) - 1
+    return [
+        F.least(F.floor((F.col(f"{at}.{a}") + 1.0) * float(1 << level) / 2).cast("long"), F.lit(last)).alias(n)
+        for n, a in zip(_CELLS, ("x", "y", "z"), strict=True)
+    ]
+
+
+def _cell_counts(points: DataFrame, levels: tuple[int, ...]) -> DataFrame:
+    """``__level``, cell, ``__n``: points per cell and level; coarser levels are added up from the finest."""
+    finest = points.select(*_cell_numbers("__at", levels[-1])).groupBy(*_CELLS).agg(F.count("*").alias("__n"))
+    every = finest.withColumn("__level", F.explode(F.array(*map(F.lit, levels))))
+    up = [F.expr(f"shiftright({n}, {levels[-1]} - __level)").alias(n) for n in _CELLS]
+    return every.select("__level", *up, "__n").groupBy("__level", *_CELLS).agg(F.sum("__n").alias("__n"))
+
+
+def nearest_k_any(
+    points: DataFrame, centers: DataFrame, center_key: str, point_keys: list[str], k: int, levels: tuple[int, ...] = LEVELS,
+) -> DataFrame:
+    """``center_key, *point_keys, distance, rank``: the ``k`` nearest points of every centre, without a radius.
+
+    Positions are points of a sphere in space, in the cells of a cube that is
+    halved level by level; points are counted per cell once. Level by level a centre
+    holds the cells that can have one of its k nearest: cells in order of their far
+    corner that hold k points together bound the k-th distance, and cells that begin
+    beyond that bound are dropped. What is left opens into the occupied cells of the
+    next level, in an equi-join on the parent cell. A centre in a crowd soon holds
+    small cells, one in empty country the near rim of what is far away. Only the
+    points of the last cells are compared, so pairs stay in proportion to k.
+
+    Counts of the first levels are bounded by the globe and broadcast; beyond,
+    Spark splits the cells that many centres hold. A last cell with many points is
+    shared by as many tasks as its count asks for. Equal distances are ordered by
+    ``point_keys``; with fewer than k points all are listed. Rows without a position
+    are left out. Counts are written to the shared folder once.
+    """
+    pairs = compared_pairs(points, centers, center_key, point_keys, k, levels)
+    order = Window.partitionBy(center_key).orderBy("distance", *point_keys)
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def compared_pairs(
+    points: DataFrame, centers: DataFrame, center_key: str, point_keys: list[str], k: int, levels: tuple[int, ...] = LEVELS,
+) -> DataFrame:
+    """``center_key, *point_keys, distance`` of the points that can be among the ``k`` nearest."""
+    position = [F.col("lat"), F.col("lng")]
+    p = points.filter(has_position(*position)).select(
+        *point_keys, F.col("lat").alias("__lat"), F.col("lng").alias("__lng"), _on_sphere(*position).alias("__at"),
+    )
+    c = centers.filter(has_position(*position)).select(
+        center_key, F.col("lat").alias("__center_lat"), F.col("lng").alias("__center_lng"), _on_sphere(*position).alias("__center_at"),
+    )
+    counts = stored(_cell_counts(p, levels), "cell-counts")
+    parents = [f"__p{n[-1]}" for n in _CELLS]
+    by_reach = Window.partitionBy(center_key).orderBy("__far").rowsBetween(Window.unboundedPreceding, 0)
+    held, before = c.select(center_key, "__center_at", *[F.lit(0).cast("long").alias(n) for n in parents]), 0
+    for level in levels:
+        here = counts.where(F.col("__level") == level).select(
+            *_CELLS, "__n", *[F.shiftright(n, level - before).alias(q) for n, q in zip(_CELLS, parents, strict=True)]
+        )
+        side = 2.0 / (1 << level)
+        near, far = F.lit(0.0), F.lit(0.0)
+        for n, a in zip(_CELLS, ("x", "y", "z"), strict=True):
+            low = F.col(n) * side - 1.0 - F.col(f"__center_at.{a}")
+            near = near + F.pow(F.greatest(F.lit(0.0), low, -(low + side)), F.lit(2))
+            far = far + F.pow(F.greatest(F.abs(low), F.abs(low + side)), F.lit(2))
+        opened = held.select(center_key, "__center_at", *parents).join(F.broadcast(here) if level <= _BOUNDED_LEVEL else here, parents)
+        judged = opened.select(center_key, "__center_at", *_CELLS, "__n", near.alias("__near"), far.alias("__far"))
+        judged = judged.withColumn("__reached", F.sum("__n").over(by_reach))
+        bound = F.min(F.when(F.col("__reached") >= k, F.col("__far"))).over(Window.partitionBy(center_key))
+        kept = judged.withColumn("__bound", bound).where(F.col("__bound").isNull() | (F.col("__near") <= F.col("__bound") * (1 + 1e-7) + 1e-15))
+        held = kept.select(center_key, "__center_at", "__n", *[F.col(n).alias(q) for n, q in zip(_CELLS, parents, strict=True)])
+        before = level
+    salts = F.ceil(F.col("__n") / _SALT_ROWS).cast("int")
+    last = held.select(center_key, *[F.col(q).alias(n) for n, q in zip(_CELLS, parents, strict=True)], salts.alias("__salts"))
+    used = last.select(*_CELLS, "__salts").distinct()
+    spread = last.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
+    near_points = p.select(*point_keys, "__lat", "__lng", *_cell_numbers("__at", levels[-1])).join(used, _CELLS)
+    salted = near_points.withColumn("__salt", F.pmod(F.xxhash64(*point_keys), F.col("__salts")).cast("int")).drop("__salts")
+    pairs = salted.join(spread, [*_CELLS, "__salt"]).join(c.drop("__center_at"), center_key)
+    distance = great_circle(F.col("__center_lat"), F.col("__center_lng"), F.col("__lat"), F.col("__lng"), EARTH_METERS)
+    return pairs.select(center_key, *point_keys, distance.alias("distance"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import Box, has_position
 from ..schema import DEFAULT_AREA, POINT_HALF_LAT, POINT_HALF_LNG, SEARCH_AREAS
+from .keyed import splittable_join
 
 
 def select_areas(
@@ -91,8 +92,13 @@ def assign_region_table(
     )
     first = hits.groupBy("__lat", "__lng").agg(F.min("__ord").alias("__ord"))
     chosen = first.join(boxes.select(F.col("ord").alias("__ord"), F.col("id").alias(into)), "__ord")
-    at = (points["lat"] == chosen["__lat"]) & (points["lng"] == chosen["__lng"])
-    return points.join(chosen, at, "left").drop("__lat", "__lng", "__ord")
+    # Points without a position join nothing, and stay where they are. Of the others a
+    # crowded position is split: both sides exchange for the join.
+    positioned = has_position(F.col("lat"), F.col("lng"))
+    at = chosen.select("__lat", "__lng", into).withColumnsRenamed({"__lat": "lat", "__lng": "lng"})
+    placed = splittable_join(points.where(positioned), at, ["lat", "lng"])
+    rest = points.where(~F.coalesce(positioned, F.lit(False))).withColumn(into, F.lit(None).cast(chosen.schema[into].dataType))
+    return placed.select(*points.columns, into).unionByName(rest)
 
 
 def tile_degrees_for(boxes: list[Box]) -> float:

@@ -9,8 +9,9 @@ cluster settings win over these defaults.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,3 +45,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not folder and not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wherewhen-ckpt-"))
+
+
+def shared_path(spark: SparkSession, purpose: str) -> str:
+    """A new path in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame, purpose: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back, so that its rows and partition numbers stand."""
+    path = shared_path(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

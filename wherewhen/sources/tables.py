@@ -7,12 +7,13 @@ silently when a file has other columns. Blank cells are NULL.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strict_double, trim_space
 from ..schema import MENU, MENU_NULL_WHEN_ABSENT, OVERRIDES, PLACES, PLACES_NULL_WHEN_ABSENT
+from ..session import stored
 
 # What the menu export writes, in order.
 MENU_EXPORT = [
@@ -34,14 +35,14 @@ def _read(spark: SparkSession, path: str, multi_line: bool, **options) -> DataFr
 
 def read_typed(
     spark: SparkSession, path: str, schema: T.StructType, null_when_absent: set[str] = frozenset(),
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Exactly the schema's columns, by name; a missing file is an empty table.
 
     Other columns are dropped, a column the file lacks is empty text (or NULL
-    where listed), and a number that cannot be read is NULL. Quoted line breaks
-    need ``multi_line``, which makes a file one split; turn it off for large
-    files without them.
+    where listed), and a number that cannot be read is NULL. A file is read in
+    several splits; cells with line breaks in quotes need ``multi_line``, which
+    reads each file in one task.
     """
     raw = _read(spark, path, multi_line)
     if raw is None:
@@ -71,7 +72,7 @@ def read_overrides(spark: SparkSession, path: str, **options) -> DataFrame:
     return rows.select(*[F.coalesce(trim_space(F.col(c)), F.lit("")).alias(c) for c in rows.columns])
 
 
-def read_text_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame | None:
+def read_text_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame | None:
     """All columns of the file as text, blanks kept as empty text; None for a missing file."""
     raw = _read(spark, path, multi_line)
     return None if raw is None else raw.na.fill("")
@@ -86,19 +87,20 @@ def _cell(frame: DataFrame, name: str, zero_is_blank: bool) -> Column:
 
 def write_table(
     frame: DataFrame, path: str, columns: list[str] | None = None, zero_is_blank: bool = False, mode: str = "overwrite"
-) -> bool:
-    """Write a CSV table; False, and nothing touched, when there are no rows.
+) -> int:
+    """Write a CSV table and return its number of rows; 0, and nothing touched, when there are none.
 
-    An unknown column is an error. ``zero_is_blank`` writes 0 as an empty cell,
-    which loses the price of free things; by default it is kept.
+    The plan runs once, into the shared folder, which counts the rows; the CSV files
+    are made from that. An unknown column is an error. ``zero_is_blank`` writes 0 as
+    an empty cell, which loses the price of free things; by default it is kept.
+    Line breaks in cells are quoted and need ``multi_line`` to be read.
     """
-    chosen = frame.select(*(columns or frame.columns))
-    if chosen.isEmpty():
-        return False
-    chosen.select(*[_cell(chosen, c, zero_is_blank) for c in chosen.columns]).write.mode(mode).csv(
-        path, header=True, emptyValue="", quote='"', escape='"'
-    )
-    return True
+    chosen, seen = frame.select(*(columns or frame.columns)), Observation()
+    cells = chosen.select(*[_cell(chosen, c, zero_is_blank) for c in chosen.columns])
+    ready = stored(cells.observe(seen, F.count(F.lit(1)).alias("n")), "csv-rows")
+    if seen.get["n"]:
+        ready.write.mode(mode).csv(path, header=True, emptyValue="", quote='"', escape='"')
+    return seen.get["n"]
 
 
 def menu_export(places: DataFrame) -> DataFrame:
