@@ -193,6 +193,27 @@ def test_grounding(spark):
     assert got == [c for *_, c in cases]
 
 
+def test_answer_fields_read_as_a_schema_would(spark):
+    """Fields taken from the VARIANT equal those that ``from_json`` reads from the block, in odd answers too."""
+    item = "struct<name: string, price: double>"
+    cases = [
+        '{"drink": {"name": "A", "price": "5"}, "food": "x"}', '{"drink": {"name": 5, "price": 5.25}, "food": {"name": {"a":1}}, "short_summary": [1, 2]}',
+        '{"drink": null, "food": {}}', "[]", "5", "null", '"x"', '{"drink": {"price": 1e3}, "food": {"price": true}}', '{"confidence": true}',
+        '{"happy_hours": [{"day": 1, "times": null}, null], "confidence": 0.5}', '{"happy_hours": ["x"], "confidence": "high"}',
+        '{"happy_hours": {}, "confidence": null}', '{"a": 1}], [{"b": 2}', '{"a": 1}} , {{"b": 2}', '{"a":1} {"b":2}', "", None,
+        '{"drink": {"price": 12345678901234567890}}', '1, "\u241f end of candidate \u241f"], ["x"', '{"drink": {"name": "A"}} and more',
+    ]
+    c = F.col("t")
+    menu = F.from_json(jsontext.json_block(c), f"drink {item}, food {item}, short_summary string")
+    hours = F.from_json(jsontext.json_block(c), "happy_hours array<struct<day: string, times: string>>, confidence string")
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", jsontext.parse_menu(c).alias("m"), menu.alias("m0"), jsontext.parse_hours(c).alias("h"), hours.alias("h0"))
+    for r in rows.collect():
+        m0, h0 = r.m0 or {}, r.h0 or {}
+        get = lambda row, name: row[name] if row else None
+        assert (r.m.drink, r.m.food, r.m.short_summary) == (get(m0, "drink"), get(m0, "food"), get(m0, "short_summary") or ""), r.t
+        assert (r.h.happy_hours, r.h.confidence) == (get(h0, "happy_hours") or [], get(h0, "confidence") or "low"), r.t
+
+
 def test_json_blocks(evaluate):
     cases = {
         'x\n```json\n{"a": 1}\n```\ny': '{"a": 1}', '```\n{"a": 2}\n```': '{"a": 2}', 'so {"a": {"b": 3}} it is': '{"a": {"b": 3}}',

@@ -12,24 +12,47 @@ _FENCED_JSON = r"(?s)```json\n?(.*?)\n?```"
 _FENCED = r"(?s)```\n?(.*?)\n?```"
 _BRACES = r"(?s)\{.*\}"
 
-HOURS_RESPONSE = "happy_hours array<struct<day: string, times: string>>, confidence string"
-_ITEM = "struct<name: string, price: double>"
-MENU_RESPONSE = f"drink {_ITEM}, food {_ITEM}, short_summary string"
+# Stands behind a candidate in a list of two. A parser that stops early never gets to it.
+_SENTINEL = "\u241f end of candidate \u241f"
+
+
+def one_value(text: Column) -> Column:
+    """The text as a VARIANT if the whole of it is one JSON value, else NULL.
+
+    Spark's JSON parser stops after the first value and accepts what follows. The
+    text is parsed once, as the first of a list of two: anything that follows its
+    value either breaks the list, or closes it early, or moves the second element.
+    """
+    def check(listed: Column) -> Column:
+        whole = F.try_variant_get(listed, "$[1]", "string") == _SENTINEL
+        return F.when(whole, F.try_variant_get(listed, "$[0]", "variant"))
+
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f', "{_SENTINEL}"]')))
+    return F.when(~F.contains(text, F.lit(_SENTINEL)), let(parsed, check))
 
 
 def is_json(text: Column) -> Column:
-    """The whole text is one JSON value.
+    """The whole text is one JSON value."""
+    return F.coalesce(one_value(text).isNotNull(), F.lit(False))
+
 
-    Spark's JSON parsers stop after the first value and accept what follows.
-    Inside brackets and inside braces anything that follows breaks the one or
-    the other, or adds a second element.
+def _found(text: Column, braces: bool) -> Column:
+    """``struct<text, value>`` of the first candidate that parses.
+
+    A candidate is cut out and parsed only when those before it fail.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    one = F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(
-        listed, "$[1]", "variant"
-    ).isNull()
-    return F.coalesce(one & member.isNotNull(), F.lit(False))
+    def valid(candidate: Column) -> Column:
+        def keep(c: Column) -> Column:
+            return let(one_value(c), lambda value: F.when(value.isNotNull(), F.struct(c.alias("text"), value.alias("value"))))
+
+        return let(trim_space(candidate), keep)
+
+    def search(t: Column) -> Column:
+        fenced = [F.when(F.contains(t, F.lit("```")), F.regexp_extract(t, pattern, 1)) for pattern in (_FENCED_JSON, _FENCED)]
+        inner = [F.when(F.contains(t, F.lit("}")), F.regexp_extract(t, _BRACES, 0))] if braces else []
+        return F.coalesce(*map(valid, (*fenced, *inner, t)))
+
+    return let(text, search)
 
 
 def json_block(text: Column, braces: bool = True) -> Column:
@@ -37,44 +60,54 @@ def json_block(text: Column, braces: bool = True) -> Column:
 
     Without ``braces`` an object inside other text is not looked for.
     """
-    def valid(candidate: Column) -> Column:
-        return F.when(is_json(candidate), candidate)
+    return _found(text, braces)["text"]
 
-    def search(c: Column) -> Column:
-        # Later candidates are only parsed when the earlier ones fail.
-        return F.coalesce(
-            *[valid(c[name]) for name in ("fenced_json", "fenced", "braces", "whole") if braces or name != "braces"]
-        )
 
-    def candidates(t: Column) -> Column:
-        def part(pattern: str, group: int, name: str) -> Column:
-            return trim_space(F.when(t.rlike(pattern), F.regexp_extract(t, pattern, group))).alias(name)
+def json_value(text: Column, braces: bool = True) -> Column:
+    """The same as a VARIANT, from the parse that found it valid."""
+    return _found(text, braces)["value"]
+
+
+def _is(value: Column, *kinds: str) -> Column:
+    return F.schema_of_variant(value).rlike("^(?:" + "|".join(kinds) + ")")
+
+
+def _text(value: Column, path: str) -> Column:
+    """A field as text, whatever it holds; NULL where it is absent or null."""
+    field = F.try_variant_get(value, path, "variant")
+    return F.coalesce(F.try_variant_get(value, path, "string"), F.when(_is(field, "OBJECT", "ARRAY"), F.to_json(field)))
+
+
+def _number(value: Column, path: str) -> Column:
+    """A field that is a number; a text of digits is none."""
+    return F.when(_is(F.try_variant_get(value, path, "variant"), "BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(value, path, "double"))
 
-        return F.struct(
-            part(_FENCED_JSON, 1, "fenced_json"), part(_FENCED, 1, "fenced"), part(_BRACES, 0, "braces"),
-            trim_space(t).alias("whole"),
-        )
 
-    return let(let(text, candidates), search)
+def _item(value: Column, path: str) -> Column:
+    item = F.struct(_text(value, f"{path}.name").alias("name"), _number(value, f"{path}.price").alias("price"))
+    return F.when(_is(F.try_variant_get(value, path, "variant"), "OBJECT"), item)
 
 
 def parse_hours(text: Column) -> Column:
     """``struct<happy_hours, confidence>``; no list and ``low`` where absent."""
-    def build(parsed: Column) -> Column:
+    def build(value: Column) -> Column:
+        listed = F.try_variant_get(value, "$.happy_hours", "array<variant>")
+        entries = F.transform(listed, lambda e: F.when(_is(e, "OBJECT"), F.struct(_text(e, "$.day").alias("day"), _text(e, "$.times").alias("times"))))
+        whole = F.forall(listed, lambda e: F.coalesce(_is(e, "OBJECT", "VOID"), F.lit(True)))
         return F.struct(
-            F.coalesce(parsed["happy_hours"], F.from_json(F.lit("[]"), "array<struct<day: string, times: string>>")).alias("happy_hours"),
-            F.coalesce(parsed["confidence"], F.lit("low")).alias("confidence"),
+            F.coalesce(F.when(whole, entries), F.array().cast("array<struct<day: string, times: string>>")).alias("happy_hours"),
+            F.coalesce(_text(value, "$.confidence"), F.lit("low")).alias("confidence"),
         )
 
-    return let(F.from_json(json_block(text), HOURS_RESPONSE), build)
+    return let(json_value(text), build)
 
 
 def parse_menu(text: Column) -> Column:
     """``struct<drink, food, short_summary>``; NULL items and an empty summary where absent."""
-    def build(parsed: Column) -> Column:
+    def build(value: Column) -> Column:
         return F.struct(
-            parsed["drink"].alias("drink"), parsed["food"].alias("food"),
-            F.coalesce(parsed["short_summary"], F.lit("")).alias("short_summary"),
+            _item(value, "$.drink").alias("drink"), _item(value, "$.food").alias("food"),
+            F.coalesce(_text(value, "$.short_summary"), F.lit("")).alias("short_summary"),
         )
 
-    return let(F.from_json(json_block(text), MENU_RESPONSE), build)
+    return let(json_value(text), build)
