@@ -46,7 +46,9 @@ def compiled(rules: DataFrame) -> DataFrame:
     letter or digit stands on both sides of it; the start of a host counts.
     """
     anchored = F.col("rule").startswith("||")
-    body = F.when(anchored, F.expr("substring(rule, 3)")).otherwise(F.col("rule"))
+    # Hosts are compared in lower case, so a rule's is lowered too; its path stays.
+    host = lower_ascii(F.regexp_extract("rule", r"^\|\|([^/]*)", 1))
+    body = F.when(anchored, F.concat(host, F.regexp_extract("rule", r"(?s)^\|\|[^/]*(.*)\z", 1))).otherwise(F.col("rule"))
     head = F.when(anchored, F.lit(".")).otherwise(F.lit(""))
     framed = F.concat(head, lower_ascii(body))
     # The look-around leaves out tokens beside a wildcard or at an open end.
