@@ -90,14 +90,18 @@ def _payload():
 
 
 def record_dictionary(pages: DataFrame, date: str, *, records: int = 400, record_limit: int = 16384, size: int = 65536) -> bytes:
-    """A dictionary from at most ``records`` records, drawn by a hash of the id.
+    """A dictionary from at most ``records`` records, those with the least hash of id and text.
 
     Of each record the first ``record_limit`` characters teach; both bounds and
-    ``size`` are constants, whatever the input. Too small a sample becomes the
-    dictionary as it is.
+    ``size`` are constants, whatever the input. The hashes are ranked alone, and
+    only the records they choose, once each, come to the driver. Too small a
+    sample becomes the dictionary as it is.
     """
     rows = pages.select("page_id", "url", F.substring(_payload(), 1, record_limit).alias("html"))
-    sample = rows.orderBy(F.xxhash64("page_id", "html")).limit(records).collect()
+    rows = rows.withColumn("draw", F.xxhash64("page_id", "html"))
+    least = rows.select("draw").distinct().orderBy("draw").limit(records).agg(F.max("draw")).first()[0]
+    chosen = rows.where(F.col("draw") <= F.lit(least)).groupBy("draw").agg(F.min(F.struct("page_id", "url", "html")).alias("row"))
+    sample = chosen.orderBy("draw").select("row.*").collect()
     texts = [record_bytes(r["page_id"], r["url"], r["html"].encode(), None, False, date) for r in sample]
     try:
         return zstandard.train_dictionary(size, texts).as_bytes()
