@@ -87,10 +87,11 @@ def cut_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFram
 
 
 def named(rows: DataFrame, key: list[str], carried: list[str]) -> DataFrame:
-    """``carried`` columns and an integer name for each distinct ``key``, in sort order.
+    """``carried`` columns and an integer name for each distinct ``key``, in sort order within a task.
 
-    A range partitioning puts equal keys into one task; names are the task's
-    number and a count of the keys it has passed.
+    Keys are dealt out by hash and sorted whole, so equal keys are neighbours in one
+    task and different ones never share a name, which is the task's number and a
+    count of the keys it has passed. No key comes to the driver.
     """
     fields = [rows.schema[c] for c in carried]
     text = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "name long"])
@@ -105,7 +106,7 @@ def named(rows: DataFrame, key: list[str], carried: list[str]) -> DataFrame:
                 names.append(name)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(names, pa.int64())], names=[*carried, "name"])
 
-    ordered = rows.repartitionByRange(partitions(rows.sparkSession), *key).sortWithinPartitions(*key)
+    ordered = rows.repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key)
     return ordered.mapInArrow(run, text)
 
 
