@@ -372,7 +372,6 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 
     Rows without an id cannot be named as a component's copy to drop, so they stay.
     """
-    stays = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("stays")).distinct()
-    nobody = docs.sparkSession.createDataFrame([(None,)], "stays long")
-    stays = stays.where(F.col("stays").isNotNull()).unionByName(nobody)
-    return once_each(docs.join(stays, docs["doc_id"].eqNullSafe(stays["stays"]), "left_semi"))
+    stays = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("stays")).distinct()
+    named = docs.where("doc_id IS NOT NULL").join(stays, docs["doc_id"] == stays["stays"], "left_semi")
+    return once_each(named).unionByName(once_each(docs.where("doc_id IS NULL")))

@@ -68,27 +68,34 @@ def free_name(wanted: str, taken: Iterable[str]) -> str:
     return wanted
 
 
-def once_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", same_case: bool = True) -> DataFrame:
-    """One row for each pair of id and text (A-Z lower-cased unless ``same_case``); the others repeat it."""
-    names = docs.columns
-    digest, number = (free_name(n, names) for n in ("__digest", "__number"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rest = [F.col(f.name) for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+def _first_of_each(rows: DataFrame, names: list[str], id_col: str, digest: str) -> DataFrame:
+    """One row, with columns ``names``, for each pair of id and digest; a join on both, or on the id, is partitioned for it."""
+    number = free_name("__number", rows.columns)
+    rest = [F.col(f.name) for f in rows.schema.fields if f.name in names and f.dataType.typeName() not in ("map", "variant")]
     window = Window.partitionBy(id_col, digest).orderBy(*rest)
-    numbered = docs.withColumn(digest, F.sha2((text if same_case else lower_ascii(text)).cast("binary"), 256))
-    return numbered.withColumn(number, F.row_number().over(window)).where(F.col(number) == 1).select(*names)
+    return rows.withColumn(number, F.row_number().over(window)).where(F.col(number) == 1).select(*names)
+
+
+def once_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each pair of id and text; the others repeat it."""
+    digest = free_name("__digest", docs.columns)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return _first_of_each(docs.withColumn(digest, F.sha2(text.cast("binary"), 256)), docs.columns, id_col, digest)
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id, and SHA-256 of the text with A-Z lower-cased, stand in ``kept`` (id, digest).
 
-    Ids are keys that no group of copies shares, so the join that moves texts
-    has no hot key. Of rows that repeat id and text one stays.
+    Ids are keys that no group of copies shares, so the join that moves texts has
+    no hot key; rows without an id are dealt out by their texts. Texts move once. Of
+    rows that repeat id and text one stays.
     """
     names = docs.columns
     key, digest, other = (free_name(n, names) for n in ("__key", "__sha", "__other"))
     right = kept.toDF(key, other).distinct()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     left = docs.withColumn(digest, F.sha2(lower_ascii(text).cast("binary"), 256))
-    same = left[id_col].eqNullSafe(right[key]) & (left[digest] == right[other])
-    return once_each(left.join(right, same, "left_semi").select(*names), id_col, text_col, same_case=False)
+    same = left[digest] == right[other]
+    named = left.where(F.col(id_col).isNotNull()).join(right, (left[id_col] == right[key]) & same, "left_semi")
+    nameless = left.where(F.col(id_col).isNull()).join(right.where(F.col(key).isNull()), same, "left_semi")
+    return _first_of_each(named, names, id_col, digest).unionByName(_first_of_each(nameless, names, id_col, digest))
