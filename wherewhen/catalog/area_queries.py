@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import directory, mapbins, proximity, quadtree, regions
+from ..operators import adaptive, directory, mapbins, proximity, quadtree, regions
 from ..operators.schedule import active_column
 from ..schema import DEFAULT_AREA, NEIGHBORHOODS
 from . import derived, schedule_queries
@@ -181,10 +181,31 @@ def fetch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directory.fetch_totals(derived.places(spark, sf_dir))
 
 
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of cell searches, one per line item: cells of four levels, some crowded, some below cells that were never divided."""
+    depth, k = F.col("l_linenumber") % 4, F.col("l_orderkey")
+    width = F.pow(F.lit(4), depth).cast("long")
+    keyword = F.col("l_suppkey") % 8
+    return derived.table(spark, sf_dir, "lineitem").select(
+        (k % 3).cast("long").alias("area"), (width + (k * k) % 97 % width).alias("code"), F.concat(F.lit("kw"), keyword.cast("string")).alias("keyword"),
+        keyword.cast("long").alias("keyword_ord"), F.when(keyword < 3, 1).otherwise(2).alias("tier"), F.floor(F.col("l_partkey") / 20 % 5).cast("long").alias("page"),
+        (F.col("l_partkey") % 20).cast("long").alias("pos"), derived.place_key(k * 7 % 20011).alias("place_id"),
+    ).distinct()
+
+
+DEEPEST_CELL, CELL_CAP = 3, 25
+
+
+def adaptive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places a tiered adaptive search finds, each with its first hit."""
+    found = adaptive.adaptive_search(search_results(spark, sf_dir), DEEPEST_CELL, CELL_CAP, listed=80)
+    return found.select("place_id", "area", "path", "tier", "keyword")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        radius_filter, distance_order, nearest_k, nearest_k_any, neighborhood_assign, neighborhood_table_assign,
+        radius_filter, distance_order, nearest_k, nearest_k_any, adaptive_search, neighborhood_assign, neighborhood_table_assign,
         neighborhood_counts, coverage, area_selection, box_geometry, bounds, quadtree_leaves, quadtree_places,
         search_filter, search_names, result_counters, directory_summary, first_sample, fetch_totals,
     )
@@ -324,6 +345,32 @@ spots AS (
                 SELECT center, p.k, {_between_sql('c.lat', 'c.lng', 'p.lat', 'p.lng')} AS distance
                 FROM spots c, places p WHERE p.lat IS NOT NULL AND p.lng IS NOT NULL)) WHERE rn <= 4""",
     ),
+    "adaptive_search": f"""
+        WITH r AS (
+          SELECT DISTINCT l_orderkey % 3 AS area, l_linenumber % 4 AS depth, l_orderkey * l_orderkey % 97 % CAST(pow(4, l_linenumber % 4) AS BIGINT) AS cell,
+            l_suppkey % 8 AS kw, l_partkey // 20 % 5 AS page, l_partkey % 20 AS pos, 'P' || lpad(CAST(l_orderkey * 7 % 20011 AS VARCHAR), 9, '0') AS place_id
+          FROM lineitem
+        ),
+        capped AS (
+          SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY area, depth, cell, kw ORDER BY page, pos, place_id) AS rn FROM r WHERE page < 4) WHERE rn <= 80
+        ),
+        divided AS (
+          SELECT area, depth, cell FROM capped WHERE kw < 3 AND depth < {DEEPEST_CELL} GROUP BY area, depth, cell HAVING count(DISTINCT place_id) >= {CELL_CAP}
+        ),
+        cells AS (SELECT DISTINCT area, depth, cell FROM capped),
+        final AS (
+          SELECT c.* FROM cells c WHERE NOT EXISTS (SELECT 1 FROM divided d WHERE d.area = c.area AND d.depth = c.depth AND d.cell = c.cell)
+            AND (c.depth < 1 OR EXISTS (SELECT 1 FROM divided d WHERE d.area = c.area AND d.depth = 0 AND d.cell = 0))
+            AND (c.depth < 2 OR EXISTS (SELECT 1 FROM divided d WHERE d.area = c.area AND d.depth = 1 AND d.cell = c.cell // CAST(pow(4, c.depth - 1) AS BIGINT)))
+            AND (c.depth < 3 OR EXISTS (SELECT 1 FROM divided d WHERE d.area = c.area AND d.depth = 2 AND d.cell = c.cell // CAST(pow(4, c.depth - 2) AS BIGINT)))
+        ),
+        ranked AS (
+          SELECT h.*, row_number() OVER (PARTITION BY place_id ORDER BY h.depth, h.area, h.cell, h.kw < 3, h.kw, h.page, h.pos) AS first
+          FROM capped h JOIN final f USING (area, depth, cell)
+        )
+        SELECT place_id, area, array_to_string(list_transform(range(depth), lambda i: (cell // CAST(pow(4, depth - 1 - i) AS BIGINT)) % 4), '') AS path,
+          CAST(CASE WHEN kw < 3 THEN 1 ELSE 2 END AS INT) AS tier, 'kw' || kw AS keyword
+        FROM ranked WHERE first = 1""",
     "neighborhood_assign": derived.with_sql(
         [derived.PLACES_SQL, BOXES_SQL, REGION_SQL], "SELECT k, neighborhood FROM regioned"
     ),
