@@ -37,6 +37,39 @@ def batch_lookup(keys: DataFrame, valid: DataFrame, key: str = "key") -> DataFra
     return splittable_join(keys, valid, key)
 
 
+# --- stored by key ---------------------------------------------------------------
+
+def store_by_key(rows: DataFrame, table: str, key: str, buckets: int = 256, path: str | None = None) -> None:
+    """Keep a table in files by hash of its key, sorted by it.
+
+    Lookups and upserts by that key read it without a shuffle: only what is asked
+    for or arrives is moved. ``buckets`` is the number of tasks of such a join (with fewer
+    than the session's shuffle partitions Spark moves the table after all); a key's
+    rows are in one of them. ``path`` makes it an external table.
+    """
+    writer = rows.repartition(buckets, key).write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def lookup_stored(keys: DataFrame, stored: DataFrame, key: str = "key") -> DataFrame:
+    """All requested keys beside the rows of a table kept by ``store_by_key``; NULL where there are none.
+
+    Requested keys are taken once. Only they are exchanged, to the table's buckets;
+    as a key's stored rows are in one bucket anyway, a crowded one cannot be split.
+    """
+    return keys.select(key).distinct().join(stored, key, "left")
+
+
+def upsert_stored(stored: DataFrame, rows: DataFrame, key: str = "key", order: str = "cached_at") -> DataFrame:
+    """The stored rows with the last arriving row of each key in place of theirs; to be kept with ``store_by_key`` under a new name."""
+    latest = last_per_key(rows.select(*stored.columns), [key], order).select(
+        key, F.struct(*[c for c in stored.columns if c != key]).alias("__new")
+    )
+    rest = [c for c in stored.columns if c != key]
+    both = stored.withColumn("__old", F.struct(*rest)).drop(*rest).join(latest, key, "full")
+    return both.select(key, F.coalesce("__new", "__old").alias("__row")).select(key, "__row.*").select(*stored.columns)
+
+
 def is_fresh(date: Column, as_of: datetime | str, days: int) -> Column:
     """Midnight of the date is at most ``days`` full days before ``as_of``."""
     if days <= 0:
