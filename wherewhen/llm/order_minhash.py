@@ -37,6 +37,16 @@ _PLACE = _U64(24)
 _PLACES = _U64((1 << 24) - 1)
 
 
+def _sorted(names: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names (lower 24 bits clear) in order, equal ones by place, and their places; one packed word each where places fit."""
+    if not len(places) or places.max() <= _PLACES:
+        packed = names | places
+        packed.sort()
+        return packed & ~_PLACES, packed & _PLACES
+    order = np.lexsort((places, names))
+    return names[order], places[order]
+
+
 @dataclass(frozen=True)
 class OrderSketch:
     """Parameters of a fingerprint; equal parameters give comparable fingerprints.
@@ -56,40 +66,34 @@ class OrderSketch:
         draw = np.random.default_rng(self.seed).integers(0, 1 << 40, self.sketches, dtype=_U64)
         return np.sort(draw) << _PLACE
 
-    def numbered(self, points: np.ndarray) -> np.ndarray:
-        """Sorted: for each (k-mer, occurrence) a name in the upper 40 bits, the position below.
-
-        Positions of texts beyond 2^24 code points are rounded down to fit.
-        """
+    def numbered(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names of (k-mer, occurrence), in the upper 40 bits, sorted; and the position of each."""
         if len(points) < self.k:
             points = np.concatenate([points, np.full(self.k - len(points), 0x110000, np.uint32)])
         codes, width, times = points.astype(_U64), 1, 0x9E3779B97F4A7C15
         while width < self.k:  # codes of twice the width from two neighbours
             codes = codes[:-width] * _U64(times) + codes[width:]
             width, times = 2 * width, times * times % (1 << 64)
-        codes = _mix(codes)
-        n = len(codes)
-        shift = _U64(max(0, (n - 1).bit_length() - 24))
-        packed = (codes & ~_PLACES) | (np.arange(n, dtype=_U64) >> shift)
-        packed.sort()
-        names = packed >> _PLACE
+        names, places = _sorted(_mix(codes) & ~_PLACES, np.arange(len(codes), dtype=_U64))
         again = np.flatnonzero(names[1:] == names[:-1]) + 1
         if not len(again):
-            return packed
+            return names, places
         # A k-mer seen before is named anew by its text and the number of its occurrence.
-        index = np.arange(n)
-        first = np.ones(n, bool)
+        index = np.arange(len(names))
+        first = np.ones(len(names), bool)
         first[again] = False
         occurrence = (index - np.maximum.accumulate(np.where(first, index, 0)))[again].astype(_U64)
-        named = _mix(names[again] + occurrence * _U64(0xD6E8FEB86659FD93))
-        renamed = np.sort((named & ~_PLACES) | (packed[again] & _PLACES))
-        return np.sort(np.concatenate([packed[first], renamed]), kind="stable")  # merges two sorted runs
+        named = _mix((names[again] >> _PLACE) + occurrence * _U64(0xD6E8FEB86659FD93)) & ~_PLACES
+        renamed, moved = _sorted(named, places[again])
+        names, places = np.concatenate([names[first], renamed]), np.concatenate([places[first], moved])
+        order = np.argsort(names, kind="stable")  # merges two sorted runs
+        return names[order], places[order]
 
     def fingerprint(self, text: str, masks: np.ndarray, window: int = 32) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         if not len(points):
             return np.zeros(self.sketches, np.uint16)
-        table = self.numbered(points)
+        table, places = self.numbered(points)
         # The names that share the longest run of leading bits with a mask are neighbours of it.
         span = min(window, len(table))
         start = np.clip(np.searchsorted(table, masks) - span // 2, 0, len(table) - span)
@@ -97,13 +101,12 @@ class OrderSketch:
         rows, least = np.arange(self.sketches), []
         for _ in range(min(self.tuple_size, span)):
             spot = near.argmin(axis=1)
-            least.append(near[rows, spot] ^ masks)
+            least.append(start + spot)
             near[rows, spot] = ~_U64(0)
         # Back into text order, then one hash of the tuple.
-        turned = np.stack(least, axis=1)
-        turned = ((turned & _PLACES) << _U64(40)) | (turned >> _PLACE)
-        turned.sort(axis=1)
-        names = turned & _U64((1 << 40) - 1)
+        chosen = np.stack(least, axis=1)
+        chosen = np.take_along_axis(chosen, np.argsort(places[chosen], axis=1, kind="stable"), axis=1)
+        names = table[chosen] >> _PLACE
         tuples = np.zeros(self.sketches, _U64)
         for t in range(names.shape[1]):
             tuples = _mix(tuples * _U64(0x9E3779B97F4A7C15) + names[:, t] + _U64(1))
@@ -133,33 +136,39 @@ def _with(docs: DataFrame, more: str) -> str:
 
 
 def neighbour_slices(docs: DataFrame, slices: int) -> DataFrame:
-    """doc_id, text, slice, guest: rows cut by doc_id, each slice with the first row of the following one.
+    """doc_id, tie, text, slice, guest: rows cut by doc_id, each slice with the first row of the following one.
 
-    ``guest`` is 1 for those borrowed rows; the last slice borrows the very first
-    row. Slice borders are quantiles of the ids, so rows of one id stay together;
-    null ids come last. What the driver sees is one id per slice.
+    Rows stand in order of doc_id (null ids last), then ``tie``, a hash of the text,
+    then text. Slice borders are quantiles of the ids; rows without an id are cut by
+    ``tie``, in as many slices as their share asks for. ``guest`` is 1 for the one
+    row a slice borrows; the last slice borrows the very first row. The driver sees
+    an id and a hash per slice.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     at = [i / slices for i in range(1, slices)]
-    found = rows.agg(F.percentile_approx("doc_id", at, 20 * slices)).first()[0] if at else []
-    borders = sorted({float(x) for x in found or []})
+    found = rows.agg(
+        F.percentile_approx("doc_id", at or [0.5], 20 * slices).alias("borders"), F.count("*").alias("n"), F.count("doc_id").alias("named")
+    ).first()
+    borders = sorted({float(x) for x in found["borders"] or []}) if at else []
     cut = Bucketizer(
         splits=[-float("inf"), *borders, float("inf")] if borders else [-float("inf"), 0.0, float("inf")],
         inputCol="place", outputCol="slice", handleInvalid="keep",
     )
     placed = cut.transform(rows.withColumn("place", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("nan"))))).drop("place")
-    placed = placed.withColumn("slice", F.col("slice").cast("int"))
-    firsts = sorted(placed.groupBy("slice").agg(F.min("doc_id").alias("first")).collect(), key=lambda r: r["slice"])
+    nameless = max(1, -(-slices * (found["n"] - found["named"]) // max(found["n"], 1)))
+    piece = F.floor((F.col("tie") / 2.0**64 + 0.5) * nameless)
+    last = F.least(piece, F.lit(nameless - 1))
+    placed = placed.withColumn("slice", (F.col("slice") + F.when(F.col("doc_id").isNull(), last).otherwise(0)).cast("int"))
+    firsts = sorted(placed.groupBy("slice").agg(F.min(F.struct("doc_id", "tie")).alias("first")).collect(), key=lambda r: r["slice"])
+    hosted = placed.withColumn("guest", F.lit(0))
     if not firsts:
-        return placed.withColumn("guest", F.lit(0))
-    lends = [(firsts[i]["first"], firsts[i - 1]["slice"]) for i in range(len(firsts))]
-    borrowed = docs.sparkSession.createDataFrame(lends, "first long, host int")
-    homes = F.array(F.struct(F.col("slice"), F.lit(0).alias("guest")), F.struct(F.col("host").alias("slice"), F.lit(1).alias("guest")))
-    return (
-        placed.join(F.broadcast(borrowed), placed["doc_id"].eqNullSafe(borrowed["first"]), "left")  # one row a slice
-        .withColumn("home", F.explode(F.filter(homes, lambda h: h["slice"].isNotNull())))
-        .select("doc_id", "text", "home.slice", "home.guest")
-    )
+        return hosted
+    lends = [(*firsts[i]["first"], firsts[i - 1]["slice"]) for i in range(len(firsts))]
+    borrowed = docs.sparkSession.createDataFrame(lends, "first long, first_tie long, host int")
+    same = placed["doc_id"].eqNullSafe(borrowed["first"]) & (placed["tie"] == borrowed["first_tie"])
+    lent = placed.join(F.broadcast(borrowed), same).groupBy("doc_id", "tie", "host").agg(F.min("text").alias("text"))  # one row a slice
+    return hosted.unionByName(lent.select("doc_id", "tie", "text", F.col("host").alias("slice"), F.lit(1).alias("guest")))
 
 
 def edited_fingerprints(docs: DataFrame, sketch: OrderSketch | None = None, slices: int | None = None) -> DataFrame:
@@ -167,14 +176,16 @@ def edited_fingerprints(docs: DataFrame, sketch: OrderSketch | None = None, slic
 
     The edited form replaces the last half (floor) of the code points by as many
     of the next document in ascending doc_id, or all of it; the first follows
-    the last. Rows of one id stand in order of their text. Texts are shuffled
-    once, by slice of ids; each task streams its slices in order.
+    the last. Rows of one id stand in order of a hash of their text, then text; rows
+    without an id come last. Texts are shuffled once, by slice of ids, a slice a
+    task; each task streams its slice in order. Other columns are dropped; an empty
+    table gives no rows.
     """
     sketch = sketch or OrderSketch()
     spark = docs.sparkSession
     count = slices or partitions(spark)
     placed = neighbour_slices(docs, count)
-    ordered = placed.repartition(count, "slice").sortWithinPartitions("slice", "guest", F.col("doc_id").asc_nulls_last(), "text")
+    ordered = placed.repartitionById(2 * count, "slice").sortWithinPartitions("slice", "guest", "doc_id", "tie", "text")
 
     def finish(row: tuple, after: tuple, draws: np.ndarray) -> tuple:
         doc_id, text, own = row
@@ -193,19 +204,17 @@ def edited_fingerprints(docs: DataFrame, sketch: OrderSketch | None = None, slic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draws = sketch.permutations()
-        waiting, current, borrowed = None, None, False
+        waiting, current = None, None
         for batch in batches:
             done = []
             for i in range(batch.num_rows):
-                doc_id, text, piece, guest = (batch.column(c)[i].as_py() for c in range(4))
+                doc_id, text, piece = (batch.column(c)[i].as_py() for c in ("doc_id", "text", "slice"))
                 if piece != current:
-                    waiting, current, borrowed = None, piece, False
-                if borrowed:  # rows that share the borrowed row's id
-                    continue
+                    waiting, current = None, piece
                 row = (doc_id, text, sketch.fingerprint(text, draws))
                 if waiting is not None:
                     done.append(finish(waiting, row, draws))
-                waiting, borrowed = row, bool(guest)
+                waiting = row  # a slice ends with the row it borrows
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, d, strict=True)) for d in done], schema=schema)
 
     return ordered.mapInArrow(run, (
