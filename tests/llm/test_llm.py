@@ -104,39 +104,57 @@ def common_lower(text):
     return (text or "").encode().lower().decode()
 
 
-def test_katz_matches_brute_force_and_sums_to_one(docs):
+@pytest.mark.parametrize("order, batch_bytes", [(1, 500), (2, 500), (3, 500), (3, 8 << 20), (4, 2000)])
+def test_katz_matches_brute_force_and_sums_to_one(docs, order, batch_bytes):
     rows = docs.select("doc_id", "text").collect()
     tokens = [(r["text"] or "").encode().lower().split() + [b"\n"] for r in rows]
     held = [r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 for r in rows]
-    words, pairs, context = Counter(), Counter(), Counter()
+    grams = [Counter() for _ in range(order)]  # by length less one; None stands before a text
     for t, out in zip(tokens, held):
-        if not out:
-            words.update(t)
-            pairs.update(zip([None, *t], t))
-            context.update([None, *t[:-1]])
-    n = sum(words.values())
+        padded = [None] * (order - 1) + t
+        for k in range(order):
+            if not out:
+                grams[k].update(tuple(padded[i - k : i + 1]) for i in range(order - 1, len(padded)))
+    n = sum(grams[0].values())
+    context = [Counter() for _ in range(order)]
+    for k in range(order):
+        for g, c in grams[k].items():
+            context[k][g[:-1]] += c
 
     def discount(counter):
         classes = Counter(counter.values())
         return katz.discounts(np.array([0] + [classes.get(i, 0) for i in range(1, 7)]))
 
-    d1, d2 = discount(words), discount(pairs)
-    p = {w: (d1[c] if c <= 5 else 1) * c / (n + 1) for w, c in words.items()}
-    unknown = 1 - sum(p.values())
-    seen, low = defaultdict(float), defaultdict(float)
-    for (h, w), c in pairs.items():
-        seen[h] += (d2[c] if c <= 5 else 1) * c / (context[h] + 1)
-        low[h] += p[w]
-
-    def probability(h, w):
-        if c := pairs.get((h, w), 0):
-            return (d2[c] if c <= 5 else 1) * c / (context[h] + 1)
-        return p.get(w, unknown) * ((1 - seen[h]) / (1 - low[h]) if context.get(h) else 1)
-
-    for h in [None, b"w1", b"w7", b"never"]:
-        assert math.isclose(sum(probability(h, w) for w in [*words, b"no such word"]), 1, rel_tol=1e-9)
-    want = sorted((len(t), round(sum(math.log10(probability(h, w)) for h, w in zip([None, *t], t)), 6)) for t in tokens)
-    got = sorted((r["n_tokens"], round(r["score"], 6)) for r in katz.katz_scores(docs, batch_bytes=500).collect())
+    d = [discount(g) for g in grams]
+
+    def seen(g):
+        k, c = len(g) - 1, grams[len(g) - 1][g]
+        return (d[k][c] if c <= 5 else 1) * c / (context[k][g[:-1]] + 1)
+
+    left, low = [defaultdict(lambda: 1.0) for _ in range(order)], [defaultdict(lambda: 1.0) for _ in range(order)]
+    for k in range(order):
+        for g in grams[k]:
+            left[k][g[:-1]] -= seen(g)
+            if k:
+                low[k][g[:-1]] -= seen(g[1:])
+
+    def probability(g):
+        k = len(g) - 1
+        if g in grams[k]:
+            return seen(g)
+        if not k:
+            return left[0][()]
+        return probability(g[1:]) * (left[k][g[:-1]] / low[k][g[:-1]] if g[:-1] in context[k] else 1)
+
+    pool = [h for h in context[-1]][:6] + [(b"never", b"w1", b"w7")[-(order - 1) :] if order > 1 else ()]
+    for h in pool:
+        assert math.isclose(sum(probability((*h, *w)) for w in [*grams[0], (b"no such word",)]), 1, rel_tol=1e-9)
+    want = []
+    for t in tokens:
+        padded = [None] * (order - 1) + t
+        want.append((len(t), round(sum(math.log10(probability(tuple(padded[i - order + 1 : i + 1]))) for i in range(order - 1, len(padded))), 6)))
+    got = sorted((r["n_tokens"], round(r["score"], 6)) for r in katz.katz_scores(docs, order=order, batch_bytes=batch_bytes).collect())
+    want.sort()
     assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want])
 
 

@@ -1,34 +1,43 @@
-"""Katz backoff scores: Good-Turing discounted bigrams over discounted unigrams.
-
-P(w | h) = d(c) c / (c(h) + 1) for a pair seen c times in training, else
-a(h) P(w), with a(h) = (1 - what the seen pairs of h hold) / (1 - their unigram
-probabilities), so each context sums to 1 exactly. P(w) = d(c) c / (N + 1) for
-known words; what is left is the probability of a word training never had. A
-context that training never had passes its word on to P(w). Discounts are
-Good-Turing up to five occurrences, or fewer where counts of counts give no
-discount between 0 and 1; a level where none fits takes off half a count instead.
-
-Texts are cut into batches by a hash, and two tables are partitioned by key: one
-of word counts, by word, one of pair counts, by context. A batch sends each of
-its distinct words or pairs once, as arrays, with what its documents need to
-know; the task of a key's partition counts and answers. So a word or context
-with a third of all tokens is one entry a batch. Contexts with more than a
-quarter of a partition's tokens are further split by their second word; there
-are at most four per partition of those, and only their sums reach the driver.
+"""Katz backoff scores: Good-Turing discounted n-grams of any order over discounted unigrams.
+
+P(w | h) = d_k(c) c / (c(h) + 1) for an n-gram of k words seen c times in training,
+else a(h) P(w | h without its first word), with a(h) = (1 - what the seen n-grams
+of h hold) / (1 - what the shorter model gives the same words), so each context
+sums to 1 exactly at each order. P(w) = d_1(c) c / (N + 1) for known words; what is
+left is the probability of a word training never had. A context that training
+never had passes its word on to the shorter one. Discounts are Good-Turing up to
+five occurrences, or fewer where counts of counts give no discount between 0 and
+1; a level where none fits takes off half a count instead.
+
+Texts are read once and cut into batches of tokens, which are stored. Then there
+is one table of words and one of n-grams for each further order, partitioned by
+context. A batch sends each of its distinct words, then pairs, then triples once;
+the task of a partition counts and answers with the counts, and with the facts
+(whole numbers) of the contexts that some text leaves by an unseen word. Every
+level asks only for n-grams whose context the level before has seen. A context
+with more than a quarter of a partition's tokens is dealt out by its last word to
+as many partitions as it fills quarters; its facts are added up in a table and
+joined on the context by the batches that ask. At last a batch evaluates the
+recursion for each of its tokens.
 
 Tokens are runs of anything but ASCII white space, A-Z lower-cased, and one end.
+Words, and within a partition n-grams, are told apart by 64 bits of hash.
 Defined results: a null text counts as empty and has the end only. Rows with a
-null doc_id train. Repeated rows count and are scored each. Without any training
-token, all probability belongs to unknown words and each score is 0.
+null doc_id train. Repeated rows count and are scored each. Other columns are not
+returned. An empty table gives no rows. Without any training token, all
+probability belongs to unknown words and each score is 0.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +46,8 @@ from .common import fold, stored
 
 _U64 = np.uint64
 TOP = 5
-END, START = b"\n", -1  # the end's word; the number of the context before a first word
+FACTS = 2 * (TOP + 1)  # of a context: seen n-grams by count 1 .. TOP and the tokens of others; the same words by their shorter n-grams
+END, START = b"\n", -1  # the end's word; the number of the words before a first one
 
 
 def discounts(classes: np.ndarray, top: int = TOP) -> np.ndarray:
@@ -61,6 +71,17 @@ def discounts(classes: np.ndarray, top: int = TOP) -> np.ndarray:
     return out
 
 
+def held_by(facts: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Discounted tokens of contexts, from things seen 1 .. TOP times and the tokens of others."""
+    return facts[:, :TOP] @ (np.arange(1, TOP + 1) * d[1:]) + facts[:, TOP]
+
+
+def seen_log(counts: np.ndarray, context: np.ndarray | int, d: np.ndarray) -> np.ndarray:
+    """log10 of d(c) c / (c(h) + 1) where c > 0."""
+    factor = np.where(counts <= TOP, d[np.minimum(counts, TOP)], 1.0)
+    return np.log10(factor * np.maximum(counts, 1) / (context + 1))
+
+
 @dataclass(frozen=True)
 class Unigrams:
     """Totals of the training words, and with them P(w) by count."""
@@ -76,23 +97,7 @@ class Unigrams:
         r = np.arange(1, TOP + 1)
         small = float((self.classes[1 : TOP + 1] * r).sum())
         held = (float((self.classes[1 : TOP + 1] * r * d[1:]).sum()) + self.tokens - small) / (self.tokens + 1)
-        factor = np.where(counts <= TOP, d[np.minimum(counts, TOP)], 1.0)
-        return np.log10(np.where(counts > 0, factor * np.maximum(counts, 1) / (self.tokens + 1), 1 - held))
-
-
-def _tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Names of all tokens of some texts in a row, and the number of tokens of each."""
-    names, parts, sizes = WordNames(), [], []
-    for text in texts.cast(pa.binary()):
-        words = (text.as_py() or b"").lower().split()
-        words.append(END)
-        parts.append(np.fromiter(map(names.__getitem__, words), _U64, len(words)))
-        sizes.append(len(words))
-    return np.concatenate(parts), np.array(sizes)
-
-
-def _lists(table: pa.Table, column: str) -> np.ndarray:
-    return table.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return np.where(counts > 0, seen_log(counts, self.tokens, d), np.log10(1 - held))
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -106,249 +111,349 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
 
 
-def _cut(values: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    return np.split(values, ends[:-1]) if len(ends) else []
+def _joined(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *map(unpacked, column.to_pylist())])
 
 
-def batched(docs: DataFrame, count: int, folds: int, held_out: int) -> DataFrame:
-    """batch, doc_id, held, text."""
-    batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int")
-    return docs.select(
-        batch.alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), folds) == held_out).alias("held"),
-        F.col("text").cast("string").alias("text"),
-    )
+def _mixed(names: np.ndarray, more: np.ndarray) -> np.ndarray:
+    out = (names ^ (names >> _U64(29))) * _U64(0x9E3779B97F4A7C15) + more.astype(np.int64).view(_U64)
+    out = (out ^ (out >> _U64(32))) * _U64(0xD6E8FEB86659FD93)
+    return out ^ (out >> _U64(32))
 
 
-def word_table(texts: DataFrame, parts: int) -> DataFrame:
-    """part, batch, ids, counts: for each batch's distinct words of a partition, in name order, number and training count.
+def _context_names(columns: list[np.ndarray]) -> np.ndarray:
+    return reduce(_mixed, columns, np.full(len(columns[0]), 7, _U64))
 
-    Rows with batch -1 hold a partition's training tokens, words, texts and words seen 0 .. TOP + 1 times.
-    """
-    ask = "part int, batch int, words array<long>, counts array<int>, texts long"
-
-    def asked(table: pa.Table) -> pa.Table:
-        tokens, sizes = _tokens(table.column("text"))
-        trains = ~table.column("held").to_numpy(zero_copy_only=False)
-        words, place = np.unique(tokens, return_inverse=True)
-        counts = np.bincount(place, np.repeat(trains, sizes), len(words)).astype(np.int32)
-        part = (words % _U64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        present, starts = np.unique(part[order], return_index=True)
-        ends = np.append(starts[1:], len(order))
-        batch = table.column("batch")[0].as_py()
-        return pa.table({
-            "part": present, "batch": np.full(len(present), batch, np.int32), "words": _cut(words[order].view(np.int64), ends),
-            "counts": _cut(counts[order], ends), "texts": np.append(trains.sum(), np.zeros(len(present) - 1, np.int64)),
-        })
 
-    def answered(table: pa.Table) -> pa.Table:
-        sizes = table.column("words").combine_chunks().value_lengths().to_numpy()
-        words, place = np.unique(_lists(table, "words"), return_inverse=True)
-        counts = np.bincount(place, _lists(table, "counts"), len(words)).astype(np.int64)
-        part = table.column("part")[0].as_py()
-        ids = np.empty(len(words), np.int64)
-        ids[np.argsort(-counts, kind="stable")] = np.arange(len(words)) * parts + part  # frequent words: small numbers
-        ends = np.cumsum(sizes)
-        known = counts[counts > 0]
-        classes = np.bincount(np.minimum(known, TOP + 2), minlength=TOP + 3)[: TOP + 2]
-        totals = np.concatenate([[known.sum(), len(known), table.column("texts").to_numpy().sum()], classes])
-        return pa.table({
-            "part": np.full(len(sizes) + 1, part, np.int32), "batch": np.append(table.column("batch").to_numpy(), np.int32(-1)).astype(np.int32),
-            "ids": [*_cut(ids[place], ends), totals], "counts": [*_cut(counts[place], ends), np.zeros(0, np.int64)],
-        })
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
-    asked_rows = texts.groupBy("batch").applyInArrow(asked, ask)
-    return asked_rows.groupBy("part").applyInArrow(answered, "part int, batch int, ids array<long>, counts array<long>")
 
+def _cut(values: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    return np.split(values, starts[1:]) if len(starts) else []
 
-PAIRS = (
-    "part int, batch int, kind int, h binary, w binary, h_count binary, w_count binary, trained binary, times binary, docs binary, "
-    "doc_ids array<long>, held array<boolean>, facts array<double>"
-)
-# kind 0: what a batch's documents hold in one partition, for each document in it: the sum of settled logarithms
-# and how often discount 1 .. TOP applies; and unseen pairs by context: its count, seen pairs by class, rest, unigram sum.
-FOUND = (
-    "batch int, kind int, docs array<int>, sums array<double>, discounted binary, open_docs array<int>, open_context array<long>, "
-    "contexts array<double>, doc_ids array<long>, held array<boolean>"
-)
-FACTS = 4  # tokens, known tokens, base score, logarithms settled in the batch
-
-
-def pair_rows(texts: DataFrame, words: DataFrame, parts: int, unigrams: Unigrams) -> DataFrame:
-    """What each batch asks of the pair table, one row a partition, and one row about its documents (kind 1)."""
-    hot = max(1, unigrams.tokens // (4 * parts))
-
-    def asked(table: pa.Table, answers: pa.Table) -> pa.Table:
-        tokens, sizes = _tokens(table.column("text"))
-        n = len(sizes)
-        names, place = np.unique(tokens, return_inverse=True)
-        order = np.argsort((names % _U64(parts)).astype(np.int32), kind="stable")
-        answers = answers.sort_by("part")
-        ids, counts = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
-        ids[order], counts[order] = _lists(answers, "ids"), _lists(answers, "counts")
-        w, w_count = ids[place], counts[place]
-        h, h_count = np.roll(w, 1), np.roll(w_count, 1)
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        h[first], h_count[first] = START, unigrams.texts
-        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        held = table.column("held").to_numpy(zero_copy_only=False)
-        total = unigrams.tokens + unigrams.words + 1
-        alone = h_count == 0  # a context training never had
-        facts = np.stack([
-            sizes, np.bincount(doc, w_count > 0, n), np.bincount(doc, np.log10((w_count + 1) / total), n),
-            np.bincount(doc[alone], unigrams.log_probability(w_count[alone]), n),
-        ], axis=1)
-        keep = np.flatnonzero(~alone)
-        h, w, h_count, w_count, doc = h[keep], w[keep], h_count[keep], w_count[keep], doc[keep]
-        mixed = (h.view(_U64) + _U64(2)) * _U64(0x9E3779B97F4A7C15)
-        mixed = np.where(h_count > hot, (mixed ^ w.view(_U64)) * _U64(0xBF58476D1CE4E5B9), mixed)
-        part = ((mixed >> _U64(33)) % _U64(parts)).astype(np.int64)
-        order = np.lexsort((w, h, part))
-        h, w, h_count, w_count, doc, part = h[order], w[order], h_count[order], w_count[order], doc[order], part[order]
-        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])) if len(h) else np.zeros(0, np.int64)
-        times = np.diff(np.append(new, len(h))).astype(np.int32)
-        trained = np.add.reduceat(~held[doc], new).astype(np.int32) if len(new) else np.zeros(0, np.int32)
-        present, starts = np.unique(part[new], return_index=True)
-        ends = np.append(starts[1:], len(new)) if len(starts) else starts
-        doc_ends = np.append(new, len(h))[ends]
-        m = len(present)
-        batch = table.column("batch")[0].as_py()
-        rows = {
-            "part": np.append(present, batch % parts).astype(np.int32), "batch": np.full(m + 1, batch, np.int32),
-            "kind": np.append(np.zeros(m), 1).astype(np.int32),
-        }
-        for name, values in (("h", h[new]), ("w", w[new]), ("h_count", h_count[new]), ("w_count", w_count[new]), ("trained", trained), ("times", times)):
-            rows[name] = [*map(packed, _cut(values, ends)), None]
-        rows["docs"] = [*map(packed, _cut(doc, doc_ends)), None]
-        out = {k: pa.array(v, pa.int32() if k in ("part", "batch", "kind") else pa.binary()) for k, v in rows.items()}
-        empty = [None] * m
-        out["doc_ids"] = pa.array([*empty, table.column("doc_id").to_pylist()], pa.list_(pa.int64()))
-        out["held"] = pa.array([*empty, held.tolist()], pa.list_(pa.bool_()))
-        out["facts"] = pa.array([*empty, facts.ravel()], pa.list_(pa.float64()))
-        return pa.table(out)
 
-    return texts.groupBy("batch").cogroup(words.where("batch >= 0").groupBy("batch")).applyInArrow(asked, PAIRS)
+def _classes(counts: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(counts, TOP + 2), minlength=TOP + 3)[: TOP + 2]
+
+
+TOKENS = (
+    "batch long, doc_ids array<long>, held array<boolean>, sizes array<long>, words binary, trained binary, place binary"
+)
 
 
-def pair_answers(rows: DataFrame, parts: int, unigrams: Unigrams) -> DataFrame:
-    """Counts each partition's pairs and settles what can be without the discounts (see FOUND).
+def token_table(docs: DataFrame, folds: int, held_out: int, batch_bytes: int) -> DataFrame:
+    """Batches of tokens: distinct words by name, their training counts, and the number of each token's word.
 
-    kind 2 rows hold the numbers of pairs seen 0 .. TOP + 1 times; kind 3 rows the contexts that are split.
+    A batch holds texts of ``batch_bytes``, or one longer text. Its number is drawn in
+    the task, so the table must be stored.
     """
-    hot = max(1, unigrams.tokens // (4 * parts))
     schema = pa.schema([
-        ("batch", pa.int32()), ("kind", pa.int32()), ("docs", pa.list_(pa.int32())), ("sums", pa.list_(pa.float64())),
-        ("discounted", pa.binary()), ("open_docs", pa.list_(pa.int32())), ("open_context", pa.list_(pa.int64())),
-        ("contexts", pa.list_(pa.float64())), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
+        ("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())),
+        ("words", pa.binary()), ("trained", pa.binary()), ("place", pa.binary()),
     ])
 
+    def cut(batches):
+        names, number = WordNames(), TaskContext.get().partitionId() << 32
+        ids, held, parts, taken = [], [], [], 0
+
+        def batch():
+            sizes = np.array([len(p) for p in parts])
+            words, place, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            trained = np.bincount(place, np.repeat(~np.array(held), sizes), len(words))
+            order = np.argsort(-times, kind="stable")  # frequent words: small numbers
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            return pa.RecordBatch.from_pylist([{
+                "batch": number, "doc_ids": ids, "held": held, "sizes": sizes.tolist(), "words": packed(words[order].view(np.int64)),
+                "trained": packed(trained[order]), "place": packed(rank[place]),
+            }], schema=schema)
+
+        for rows in batches:
+            for doc_id, out, text in zip(rows["doc_id"].to_pylist(), rows["held"].to_pylist(), rows["text"].cast(pa.binary())):
+                data = text.as_py() or b""
+                if taken and taken + len(data) > batch_bytes:
+                    yield batch()
+                    number, ids, held, parts, taken = number + 1, [], [], [], 0
+                words = data.lower().split()
+                words.append(END)
+                ids.append(doc_id)
+                held.append(out)
+                parts.append(np.fromiter(map(names.__getitem__, words), _U64, len(words)))
+                taken += len(data) + 1
+        if parts:
+            yield batch()
+
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), folds) == held_out).alias("held"),
+        F.col("text").cast("string").alias("text"),
+    )
+    return rows.mapInArrow(cut, TOKENS)
+
+
+# What a batch learns from a partition: ids and counts of words (level 1), or counts of n-grams and facts of contexts. Rows
+# without a batch hold the facts of a split context in one partition (key, sums), or a partition's totals.
+ANSWERS = "level int, part int, batch long, ids binary, counts binary, facts binary, key long, sums array<long>, totals array<long>"
+_ANSWERS = pa.schema([
+    ("level", pa.int32()), ("part", pa.int32()), ("batch", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()),
+    ("facts", pa.binary()), ("key", pa.int64()), ("sums", pa.list_(pa.int64())), ("totals", pa.list_(pa.int64())),
+])
+
+
+def word_table(tokens: DataFrame, parts: int) -> DataFrame:
+    """Numbers and training counts of each batch's words; a partition's training tokens, words, texts and words seen 0 .. TOP + 1 times."""
+    asks = "part int, batch long, words binary, trained binary, texts long"
+
+    def asked(batches):
+        for rows in batches:
+            for row in rows.to_pylist():
+                words, trained = unpacked(row["words"]).view(_U64), unpacked(row["trained"])
+                order, part, starts = word_order(words, parts)
+                texts = np.zeros(len(starts), np.int64)
+                texts[0] = len(row["held"]) - sum(row["held"])
+                yield pa.RecordBatch.from_pydict({
+                    "part": part[starts].astype(np.int32), "batch": np.full(len(starts), row["batch"]),
+                    "words": [packed(v) for v in _cut(words[order].view(np.int64), starts)],
+                    "trained": [packed(v) for v in _cut(trained[order], starts)], "texts": texts,
+                })
+
     def answered(table: pa.Table) -> pa.Table:
-        out = []
-        kinds = table.column("kind").to_numpy()
-        for i in np.flatnonzero(kinds == 1).tolist():
+        own = [unpacked(v) for v in table["words"].to_pylist()]
+        ends = np.cumsum([len(v) for v in own])[:-1]
+        words, place = np.unique(np.concatenate(own).view(_U64), return_inverse=True)
+        counts = np.bincount(place, _joined(table["trained"]), len(words)).astype(np.int64)
+        part = table["part"][0].as_py()
+        ids = np.empty(len(words), np.int64)
+        ids[np.argsort(-counts, kind="stable")] = np.arange(len(words)) * parts + part  # frequent words: small numbers
+        known = counts[counts > 0]
+        totals = [int(known.sum()), len(known), int(table["texts"].to_numpy().sum()), *_classes(known).tolist()]
+        rows = [
+            {"level": 1, "part": part, "batch": b, "ids": packed(i), "counts": packed(c)}
+            for b, i, c in zip(table["batch"].to_pylist(), np.split(ids[place], ends), np.split(counts[place], ends))
+        ]
+        return pa.Table.from_pylist([*rows, {"level": 1, "part": part, "totals": totals}], schema=_ANSWERS)
+
+    asked_rows = tokens.select("batch", "held", "words", "trained").mapInArrow(asked, asks)
+    return asked_rows.groupBy("part").applyInArrow(answered, ANSWERS)
+
+
+def word_order(words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words in order of their partitions, those partitions, and where each starts."""
+    part = (words % _U64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, part[order], _runs(part[order])
+
+
+@dataclass
+class Grams:
+    """A batch's distinct n-grams with a seen context, in order of partition and context."""
+
+    at: np.ndarray  # a position of each
+    number: np.ndarray  # its number among all distinct n-grams of the batch
+    part: np.ndarray
+    columns: list[np.ndarray]  # its words
+    context: np.ndarray  # the name of its context
+    context_count: np.ndarray
+    starts: np.ndarray  # where a partition's n-grams of one context start
+
+
+class Batch:
+    """A batch's tokens and, level by level, the training counts of the n-grams that end at each."""
+
+    def __init__(self, row: dict, parts: int, unigrams: Unigrams):
+        self.parts, self.unigrams = parts, unigrams
+        self.hot = max(1, unigrams.tokens // (4 * parts))
+        self.sizes = np.array(row["sizes"])
+        self.words, self.place = unpacked(row["words"]).view(_U64), unpacked(row["place"])
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.trains = ~np.array(row["held"])[self.doc]
+        self.since = np.arange(len(self.place)) - self.first[self.doc]
+
+    def learn_words(self, answers: pa.Table) -> None:
+        order, _, _ = word_order(self.words, self.parts)
+        ids, counts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        ids[order], counts[order] = _joined(answers["ids"]), _joined(answers["counts"])
+        self.ids = ids[self.place]
+        self.counts, self.numbers = [counts[self.place]], self.place
+
+    def before(self, counts: np.ndarray) -> np.ndarray:
+        """Counts of the n-grams that end one token earlier; texts start with what all of them start with."""
+        out = np.roll(counts, 1)
+        out[self.first] = self.unigrams.texts
+        return out
+
+    def grams(self) -> Grams:
+        """The n-grams one word longer than those counted last."""
+        level = len(self.counts) + 1
+        previous = np.roll(self.numbers, 1)
+        previous[self.first] = self.numbers.max() + 1
+        distinct, one, self.numbers = np.unique(previous * len(self.words) + self.place, return_index=True, return_inverse=True)
+        self.distinct = len(distinct)
+        count = self.before(self.counts[-1])[one]
+        number = np.flatnonzero(count > 0)
+        one, count = one[number], count[number]
+        columns = [np.where(self.since[one] >= j, self.ids[np.maximum(one - j, 0)], START) for j in range(level - 1, -1, -1)]
+        context = _context_names(columns[:-1])
+        part = (context >> _U64(33)) % _U64(self.parts)
+        pieces = np.minimum(-(-count // self.hot), self.parts)
+        spread = (_mixed(context, columns[-1]) >> _U64(33)) % pieces.astype(_U64)
+        part = np.where(count > self.hot, (part + spread) % _U64(self.parts), part).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, context = part[order], context[order]
+        change = np.union1d(_runs(part), _runs(context))
+        return Grams(one[order], number[order], part, [c[order] for c in columns], context, count[order], change)
+
+    def learn(self, grams: Grams, answers: pa.Table) -> np.ndarray:
+        """Takes over the counts of one level; returns them for ``grams``."""
+        count = _joined(answers["counts"])
+        full = np.zeros(self.distinct, np.int64)
+        full[grams.number] = count
+        self.counts.append(full[self.numbers])
+        return count
+
+    def backoff(self, grams: Grams, count: np.ndarray, answers: pa.Table, split: pa.Table, d: list[np.ndarray]) -> np.ndarray:
+        """log10 a(h) for each position whose n-gram of this level is unseen in a seen context, 0 elsewhere."""
+        out = np.zeros(self.distinct)
+        if len(count):
+            level = len(self.counts)
+            lower = self.before(self.counts[-3])[grams.at] if level > 2 else self.unigrams.tokens
+            run = np.repeat(np.arange(len(grams.starts)), np.diff(np.append(grams.starts, len(count))))
+            is_open = np.logical_or.reduceat(count == 0, grams.starts)
+            wide = grams.context_count[grams.starts] > self.hot
+            facts = np.zeros((len(grams.starts), FACTS), np.int64)
+            facts[is_open & ~wide] = _joined(answers["facts"]).reshape(-1, FACTS)
+            if split.num_rows:
+                keys, sums = split["key"].to_numpy(), np.array(split["sums"].to_pylist(), np.int64).reshape(-1, FACTS)
+                order = np.argsort(keys)
+                asked = np.flatnonzero(is_open & wide)
+                own = grams.context[grams.starts[asked]].view(np.int64)
+                facts[asked] = sums[order[np.searchsorted(keys, own, sorter=order)]]
+            weight = np.log10(1 - held_by(facts, d[level - 1])[run] / (grams.context_count + 1))
+            weight -= np.log10(1 - held_by(facts[:, TOP + 1 :], d[level - 2])[run] / (lower + 1))
+            out[grams.number] = np.where(count == 0, weight, 0)
+        return out[self.numbers]
+
+
+def _of_level(answers: pa.Table, level: int) -> pa.Table:
+    at = answers.filter(pc.and_(pc.equal(answers["level"], level), pc.is_valid(answers["counts"])))
+    return at.sort_by("part")
+
+
+def _learned(tokens: pa.Table, answers: pa.Table, levels: int, parts: int, unigrams: Unigrams) -> Batch:
+    batch = Batch(tokens.to_pylist()[0], parts, unigrams)
+    batch.learn_words(_of_level(answers, 1))
+    for level in range(2, levels + 1):
+        batch.learn(batch.grams(), _of_level(answers, level))
+    return batch
+
+
+def gram_rows(tokens: DataFrame, answers: DataFrame, level: int, parts: int, unigrams: Unigrams) -> DataFrame:
+    """What each batch asks of the table of n-grams of ``level`` words, one row a partition."""
+    names = [f"w{i}" for i in range(level)] + ["lower", "trained", "split"]
+    schema = ", ".join(["part int", "batch long", *[f"{n} binary" for n in names]])
+
+    def asked(tokens: pa.Table, answers: pa.Table) -> pa.Table:
+        batch = _learned(tokens, answers, level - 1, parts, unigrams)
+        number = tokens["batch"][0].as_py()
+        grams = batch.grams()
+        trained = np.bincount(batch.numbers, batch.trains, batch.distinct)[grams.number]
+        starts = _runs(grams.part)
+        values = [*grams.columns, batch.counts[-1][grams.at], trained, grams.context_count > batch.hot]
+        out = {"part": pa.array(grams.part[starts].astype(np.int32)), "batch": pa.array(np.full(len(starts), number), pa.int64())}
+        for name, column in zip(names, values):
+            out[name] = pa.array([packed(v) for v in _cut(column, starts)], pa.binary())
+        return pa.table(out)
+
+    return tokens.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(asked, schema)
+
+
+def gram_table(rows: DataFrame, level: int) -> DataFrame:
+    """Counts each partition's n-grams and answers the batches (see ANSWERS); totals: n-grams seen 0 .. TOP + 1 times."""
+
+    def answered(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        columns = [_joined(table[f"w{i}"]) for i in range(level)]
+        lower, trained, split = (_joined(table[c]) for c in ("lower", "trained", "split"))
+        sizes = [len(unpacked(v)) for v in table["split"].to_pylist()]
+        names = _context_names(columns[:-1])
+        grams, one, gram = np.unique(_mixed(names, columns[-1]), return_index=True, return_inverse=True)
+        count = np.bincount(gram, trained, len(grams)).astype(np.int64)
+        contexts, context = np.unique(names[one], return_inverse=True)
+        facts = np.zeros((len(contexts), FACTS), np.int64)
+        for at, of in ((0, count), (TOP + 1, np.where(count > 0, lower[one], 0))):
+            for r in range(1, TOP + 1):
+                facts[:, at + r - 1] = np.bincount(context[of == r], minlength=len(contexts))
+            facts[:, at + TOP] = np.bincount(context, np.where(of > TOP, of, 0), len(contexts))
+        wide = np.zeros(len(contexts), bool)
+        wide[context[split[one] > 0]] = True
+        out = [{"level": level, "part": part, "totals": _classes(count).tolist()}]
+        out += [{"level": level, "part": part, "key": int(contexts[c].view(np.int64)), "sums": facts[c].tolist()} for c in np.flatnonzero(wide)]
+        ends = np.cumsum(sizes)
+        for end, size, batch in zip(ends.tolist(), sizes, table["batch"].to_pylist()):
+            own = gram[end - size : end]
+            counts, ctx = count[own], context[own]
+            starts = _runs(ctx)
+            is_open = np.logical_or.reduceat(counts == 0, starts)
+            used = ctx[starts]
             out.append({
-                "batch": table.column("batch")[i].as_py(), "kind": 1, "doc_ids": table.column("doc_ids")[i].as_py(),
-                "held": table.column("held")[i].as_py(), "sums": table.column("facts")[i].as_py(),
+                "level": level, "part": part, "batch": batch, "counts": packed(counts), "facts": packed(facts[used[is_open & ~wide[used]]].ravel()),
             })
-        table = table.filter(pa.array(kinds == 0))
-        if table.num_rows:
-            own = {c: [unpacked(v) for v in table.column(c).to_pylist()] for c in ("h", "w", "h_count", "w_count", "trained", "times")}
-            lengths = [len(v) for v in own["h"]]
-            h, w, h_count, w_count, trained, times = (np.concatenate(v) for v in own.values())
-            order = np.lexsort((w, h))
-            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])])
-            pair = np.empty(len(h), np.int64)
-            pair[order] = np.cumsum(new) - 1
-            count = np.bincount(pair, trained).astype(np.int64)
-            one = order[new]  # a row of each distinct pair, sorted by context
-            contexts, context = np.unique(h[one], return_inverse=True)
-            size, seen = len(contexts), count > 0
-            log_w = unigrams.log_probability(w_count)
-            facts = np.zeros((size, TOP + 3))
-            facts[:, 0] = h_count[one][np.searchsorted(context, np.arange(size))]
-            for r in range(1, TOP + 1):
-                facts[:, r] = np.bincount(context[count == r], minlength=size)
-            facts[:, TOP + 1] = np.bincount(context, np.where(count > TOP, count, 0), size)
-            facts[:, TOP + 2] = np.bincount(context[seen], 10.0 ** log_w[one][seen], size)
-            split = facts[:, 0] > hot
-            classes = np.bincount(np.minimum(count, TOP + 2), minlength=TOP + 3)[: TOP + 2]
-            out.append({"batch": -1, "kind": 2, "open_context": classes})
-            out += [{"batch": -1, "kind": 3, "open_context": [int(contexts[c])], "contexts": facts[c]} for c in np.flatnonzero(split)]
-            c_row, ctx_row = count[pair], context[pair]
-            settled = np.where(c_row > 0, np.log10(np.maximum(c_row, 1) / (h_count + 1)), log_w)
-            at = np.concatenate([[0], np.cumsum(lengths)])
-            for i, batch in enumerate(table.column("batch").to_numpy().tolist()):
-                part = slice(at[i], at[i + 1])
-                docs = unpacked(table.column("docs")[i].as_py())
-                c, t = c_row[part], times[part]
-                present, place = np.unique(docs, return_inverse=True)
-                sums = np.bincount(place, np.repeat(settled[part], t), len(present))
-                low = np.repeat(np.where((c > 0) & (c <= TOP), c, 0), t)
-                hits = np.bincount(place * (TOP + 1) + low, minlength=len(present) * (TOP + 1)).reshape(-1, TOP + 1)[:, 1:]
-                unseen = np.repeat(c == 0, t)
-                refers = np.repeat(ctx_row[part], t)[unseen]
-                used, local = np.unique(refers, return_inverse=True)
-                # A split context is named by its number below -1, others by their place in ``contexts``.
-                names = np.where(split[used], -contexts[used] - 3, np.arange(len(used)))
-                out.append({
-                    "batch": batch, "kind": 0, "docs": present, "sums": sums, "discounted": packed(hits.ravel()),
-                    "open_docs": docs[unseen], "open_context": names[local], "contexts": facts[used].ravel(),
-                })
-        return pa.table({f.name: pa.array([r.get(f.name) for r in out], f.type) for f in schema}, schema=schema)
+            out += [{"level": level, "batch": batch, "key": int(contexts[c].view(np.int64))} for c in used[is_open & wide[used]]]
+        return pa.Table.from_pylist(out, schema=_ANSWERS)
 
-    return rows.groupBy("part").applyInArrow(answered, FOUND)
+    return rows.groupBy("part").applyInArrow(answered, ANSWERS)
 
 
-def log_backoff(facts: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """log10 a(h) of contexts with count, seen pairs by class, rest and unigram sum."""
-    r = np.arange(1, TOP + 1)
-    held = ((facts[:, 1 : TOP + 1] * (r * d[1:])).sum(axis=1) + facts[:, TOP + 1]) / (facts[:, 0] + 1)
-    return np.log10(1 - held) - np.log10(1 - facts[:, TOP + 2])
+def with_split_facts(found: DataFrame) -> DataFrame:
+    """A level's answers, with the facts of split contexts added up over partitions and joined to the batches that ask."""
+    partial = found.where("batch is null and key is not null")
+    sums = partial.groupBy("level", "key").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(FACTS)]).alias("sums"))
+    asked = found.where("batch is not null and key is not null").select("level", "batch", "key").distinct().join(sums, ["level", "key"])
+    return found.where("counts is not null").unionByName(asked, allowMissingColumns=True)
 
 
-def katz_scores(docs: DataFrame, *, folds: int = 7, held_out: int = 2, batch_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
+def katz_scores(docs: DataFrame, *, order: int = 3, folds: int = 7, held_out: int = 2, batch_bytes: int = 8 << 20) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``, by n-grams of up to ``order`` words."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
     parts = max(1, -(-size // batch_bytes))
-    texts = batched(docs, parts, folds, held_out)
-    words = stored(word_table(texts, parts), "katz-words")
-    sums = words.where("batch = -1").agg(*[F.sum(F.get("ids", F.lit(i))) for i in range(TOP + 5)]).first()
-    sums = np.array([x or 0 for x in sums], np.int64)
+    tokens = stored(token_table(docs, folds, held_out, batch_bytes), "katz-tokens")
+
+    def totals(table: DataFrame, width: int) -> np.ndarray:
+        row = table.where("totals is not null").agg(*[F.sum(F.get("totals", F.lit(i))) for i in range(width)]).first()
+        return np.array([x or 0 for x in row], np.int64)
+
+    words = stored(word_table(tokens, parts), "katz-words")
+    sums = totals(words, TOP + 5)
     unigrams = Unigrams(int(sums[0]), int(sums[1]), int(sums[2]), sums[3:])
-    found = stored(pair_answers(pair_rows(texts, words, parts, unigrams), parts, unigrams), "katz-pairs")
-    classes = found.where("kind = 2").agg(*[F.sum(F.get("open_context", F.lit(i))) for i in range(TOP + 2)]).first()
-    d = discounts(np.array([x or 0 for x in classes], np.int64))
-    split = found.where("kind = 3").groupBy(F.col("open_context")[0].alias("h")).agg(
-        F.max(F.col("contexts")[0]).alias("f0"), *[F.sum(F.col("contexts")[i]).alias(f"f{i}") for i in range(1, TOP + 3)]
-    ).collect()  # at most four a partition
-    hot = {-r["h"] - 3: float(log_backoff(np.array([[r[f"f{i}"] for i in range(TOP + 3)]]), d)[0]) for r in split}
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
-        ("base_score", pa.float64()), ("score", pa.float64()),
-    ])
-    tokens = unigrams.tokens
-
-    def finish(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_numpy()
-        about = table.filter(pa.array(kinds == 1))
-        facts = _lists(about, "sums").reshape(-1, FACTS)
-        score = facts[:, 3].copy()
-        for row in table.filter(pa.array(kinds == 0)).to_batches():
-            for i in range(row.num_rows):
-                docs, sums, open_docs, names, contexts = (
-                    row.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("docs", "sums", "open_docs", "open_context", "contexts")
-                )
-                score[docs] += sums + unpacked(row.column("discounted")[i].as_py()).reshape(-1, TOP) @ np.log10(d[1:])
-                if len(names):
-                    own = log_backoff(contexts.reshape(-1, TOP + 3), d)
-                    values = np.array([own[n] if n >= 0 else hot[n] for n in names.tolist()])
-                    np.add.at(score, open_docs, values)
+    d = [discounts(unigrams.classes)]
+    answers = words.where("counts is not null")
+    for level in range(2, order + 1):
+        found = stored(gram_table(gram_rows(tokens, answers, level, parts, unigrams), level), f"katz-{level}")
+        d.append(discounts(totals(found, TOP + 2)))
+        answers = answers.unionByName(with_split_facts(found))
+
+    def finish(tokens: pa.Table, answers: pa.Table) -> pa.Table:
+        row = tokens.select(["doc_ids", "held"]).to_pylist()[0]
+        batch = _learned(tokens, answers, 1, parts, unigrams)
+        score = unigrams.log_probability(batch.counts[0])
+        for level in range(2, order + 1):
+            mine = _of_level(answers, level)
+            split = answers.filter(pc.and_(pc.equal(answers["level"], level), pc.is_valid(answers["key"])))
+            grams = batch.grams()
+            context = batch.before(batch.counts[-1])
+            count = batch.learn(grams, mine)
+            longer = score + batch.backoff(grams, count, mine, split, d)
+            score = np.where(batch.counts[-1] > 0, seen_log(batch.counts[-1], context, d[level - 1]), longer)
+        n, counts = len(batch.sizes), batch.counts[0]
+        base = np.log10((counts + 1) / (unigrams.tokens + unigrams.words + 1))
         return pa.table({
-            "doc_id": about.column("doc_ids").combine_chunks().flatten(), "held_out": about.column("held").combine_chunks().flatten(),
-            "n_tokens": facts[:, 0].astype(np.int64), "n_known": facts[:, 1].astype(np.int64), "train_tokens": np.full(len(facts), tokens),
-            "base_score": facts[:, 2], "score": score,
-        }, schema=schema)
+            "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": batch.sizes,
+            "n_known": np.bincount(batch.doc, counts > 0, n).astype(np.int64), "train_tokens": np.full(n, unigrams.tokens),
+            "base_score": np.bincount(batch.doc, base, n), "score": np.bincount(batch.doc, score, n),
+        })
 
-    return found.where("batch >= 0").groupBy("batch").applyInArrow(finish, (
+    return tokens.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, (
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     ))
