@@ -47,7 +47,7 @@ from .common import fold, stored
 _U64 = np.uint64
 TOP = 5
 FACTS = 2 * (TOP + 1)  # of a context: seen n-grams by count 1 .. TOP and the tokens of others; the same words by their shorter n-grams
-END, START = b"\n", -1  # the end's word; the number of the words before a first one
+END, START = b"\n", 0  # the end's word; the number of the words before a first one
 
 
 def discounts(classes: np.ndarray, top: int = TOP) -> np.ndarray:
@@ -101,14 +101,31 @@ class Unigrams:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Whole numbers as compressed bytes, those of like weight together."""
-    rows = np.ascontiguousarray(values.astype(np.int64)).view(np.uint8).reshape(-1, 8)
-    return zstandard.ZstdCompressor(level=1).compress(rows.T.tobytes())
+    """Whole numbers as compressed bytes, those of like weight together; first how many bytes a number has."""
+    values = values.astype(np.int64, copy=False)
+    width = 8
+    if not len(values) or values.min() >= 0:
+        width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    rows = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(rows.T.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    rows = np.zeros((planes.shape[1], 8), np.uint8)
+    rows[:, : data[0]] = planes.T
+    return rows.view(np.int64).ravel()
+
+
+def distinct_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A position of each distinct value, in order of the values, and the number of each position's value."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.ones(len(values), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    number = np.empty(len(values), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
 
 
 def _joined(column: pa.ChunkedArray) -> np.ndarray:
@@ -225,7 +242,7 @@ def word_table(tokens: DataFrame, parts: int) -> DataFrame:
         counts = np.bincount(place, _joined(table["trained"]), len(words)).astype(np.int64)
         part = table["part"][0].as_py()
         ids = np.empty(len(words), np.int64)
-        ids[np.argsort(-counts, kind="stable")] = np.arange(len(words)) * parts + part  # frequent words: small numbers
+        ids[np.argsort(-counts, kind="stable")] = np.arange(len(words)) * parts + part + 1  # frequent words: small numbers
         known = counts[counts > 0]
         totals = [int(known.sum()), len(known), int(table["texts"].to_numpy().sum()), *_classes(known).tolist()]
         rows = [
@@ -241,10 +258,14 @@ def word_table(tokens: DataFrame, parts: int) -> DataFrame:
 def word_order(words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words in order of their partitions, those partitions, and where each starts."""
     part = (words % _U64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
+    order = _by_part(part, parts)
     return order, part[order], _runs(part[order])
 
 
+def _by_part(part: np.ndarray, parts: int) -> np.ndarray:
+    return np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")
+
+
 @dataclass
 class Grams:
     """A batch's distinct n-grams with a seen context, in order of partition and context."""
@@ -289,8 +310,8 @@ class Batch:
         level = len(self.counts) + 1
         previous = np.roll(self.numbers, 1)
         previous[self.first] = self.numbers.max() + 1
-        distinct, one, self.numbers = np.unique(previous * len(self.words) + self.place, return_index=True, return_inverse=True)
-        self.distinct = len(distinct)
+        one, self.numbers = distinct_of(previous * len(self.words) + self.place)
+        self.distinct = len(one)
         count = self.before(self.counts[-1])[one]
         number = np.flatnonzero(count > 0)
         one, count = one[number], count[number]
@@ -300,9 +321,9 @@ class Batch:
         pieces = np.minimum(-(-count // self.hot), self.parts)
         spread = (_mixed(context, columns[-1]) >> _U64(33)) % pieces.astype(_U64)
         part = np.where(count > self.hot, (part + spread) % _U64(self.parts), part).astype(np.int64)
-        order = np.argsort(part, kind="stable")
+        order = _by_part(part, self.parts)
         part, context = part[order], context[order]
-        change = np.union1d(_runs(part), _runs(context))
+        change = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (context[1:] != context[:-1])])[: len(part)])
         return Grams(one[order], number[order], part, [c[order] for c in columns], context, count[order], change)
 
     def learn(self, grams: Grams, answers: pa.Table) -> np.ndarray:
@@ -378,13 +399,14 @@ def gram_table(rows: DataFrame, level: int) -> DataFrame:
         lower, trained, split = (_joined(table[c]) for c in ("lower", "trained", "split"))
         sizes = [len(unpacked(v)) for v in table["split"].to_pylist()]
         names = _context_names(columns[:-1])
-        grams, one, gram = np.unique(_mixed(names, columns[-1]), return_index=True, return_inverse=True)
-        count = np.bincount(gram, trained, len(grams)).astype(np.int64)
-        contexts, context = np.unique(names[one], return_inverse=True)
+        one, gram = distinct_of(_mixed(names, columns[-1]))
+        count = np.bincount(gram, trained, len(one)).astype(np.int64)
+        some, context = distinct_of(names[one])
+        contexts = names[one][some]
         facts = np.zeros((len(contexts), FACTS), np.int64)
         for at, of in ((0, count), (TOP + 1, np.where(count > 0, lower[one], 0))):
-            for r in range(1, TOP + 1):
-                facts[:, at + r - 1] = np.bincount(context[of == r], minlength=len(contexts))
+            classes = np.bincount(context * (TOP + 2) + np.minimum(of, TOP + 1), minlength=len(contexts) * (TOP + 2))
+            facts[:, at : at + TOP] = classes.reshape(-1, TOP + 2)[:, 1 : TOP + 1]
             facts[:, at + TOP] = np.bincount(context, np.where(of > TOP, of, 0), len(contexts))
         wide = np.zeros(len(contexts), bool)
         wide[context[split[one] > 0]] = True
