@@ -156,35 +156,35 @@ def _classes(counts: np.ndarray) -> np.ndarray:
 
 
 TOKENS = (
-    "batch long, doc_ids array<long>, held array<boolean>, sizes array<long>, words binary, trained binary, place binary"
+    "batch long, doc_ids array<long>, held array<boolean>, sizes array<long>, words binary, trained binary, spread binary, place binary"
 )
 
 
-def token_table(docs: DataFrame, folds: int, held_out: int, batch_bytes: int) -> DataFrame:
-    """Batches of tokens: distinct words by name, their training counts, and the number of each token's word.
+def token_table(docs: DataFrame, folds: int, held_out: int, parts: int, batch_bytes: int) -> DataFrame:
+    """Batches of tokens: distinct words by name, their training counts and partitions, and the number of each token's word.
 
     A batch holds texts of ``batch_bytes``, or one longer text. Its number is drawn in
     the task, so the table must be stored.
     """
     schema = pa.schema([
         ("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())),
-        ("words", pa.binary()), ("trained", pa.binary()), ("place", pa.binary()),
+        ("words", pa.binary()), ("trained", pa.binary()), ("spread", pa.binary()), ("place", pa.binary()),
     ])
 
     def cut(batches):
         names, number = WordNames(), TaskContext.get().partitionId() << 32
-        ids, held, parts, taken = [], [], [], 0
+        ids, held, texts, taken = [], [], [], 0
 
         def batch():
-            sizes = np.array([len(p) for p in parts])
-            words, place, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            sizes = np.array([len(t) for t in texts])
+            words, place, times = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
             trained = np.bincount(place, np.repeat(~np.array(held), sizes), len(words))
             order = np.argsort(-times, kind="stable")  # frequent words: small numbers
             rank = np.empty(len(words), np.int64)
             rank[order] = np.arange(len(words))
             return pa.RecordBatch.from_pylist([{
                 "batch": number, "doc_ids": ids, "held": held, "sizes": sizes.tolist(), "words": packed(words[order].view(np.int64)),
-                "trained": packed(trained[order]), "place": packed(rank[place]),
+                "trained": packed(trained[order]), "spread": packed((words[order] % _U64(parts)).astype(np.int64)), "place": packed(rank[place]),
             }], schema=schema)
 
         for rows in batches:
@@ -192,14 +192,14 @@ def token_table(docs: DataFrame, folds: int, held_out: int, batch_bytes: int) ->
                 data = text.as_py() or b""
                 if taken and taken + len(data) > batch_bytes:
                     yield batch()
-                    number, ids, held, parts, taken = number + 1, [], [], [], 0
+                    number, ids, held, texts, taken = number + 1, [], [], [], 0
                 words = data.lower().split()
                 words.append(END)
                 ids.append(doc_id)
                 held.append(out)
-                parts.append(np.fromiter(map(names.__getitem__, words), _U64, len(words)))
+                texts.append(np.fromiter(map(names.__getitem__, words), _U64, len(words)))
                 taken += len(data) + 1
-        if parts:
+        if texts:
             yield batch()
 
     rows = docs.select(
@@ -225,13 +225,13 @@ def word_table(tokens: DataFrame, parts: int) -> DataFrame:
     def asked(batches):
         for rows in batches:
             for row in rows.to_pylist():
-                words, trained = unpacked(row["words"]).view(_U64), unpacked(row["trained"])
-                order, part, starts = word_order(words, parts)
+                words, trained = unpacked(row["words"]), unpacked(row["trained"])
+                order, part, starts = word_order(unpacked(row["spread"]), parts)
                 texts = np.zeros(len(starts), np.int64)
                 texts[0] = len(row["held"]) - sum(row["held"])
                 yield pa.RecordBatch.from_pydict({
                     "part": part[starts].astype(np.int32), "batch": np.full(len(starts), row["batch"]),
-                    "words": [packed(v) for v in _cut(words[order].view(np.int64), starts)],
+                    "words": [packed(v) for v in _cut(words[order], starts)],
                     "trained": [packed(v) for v in _cut(trained[order], starts)], "texts": texts,
                 })
 
@@ -251,13 +251,12 @@ def word_table(tokens: DataFrame, parts: int) -> DataFrame:
         ]
         return pa.Table.from_pylist([*rows, {"level": 1, "part": part, "totals": totals}], schema=_ANSWERS)
 
-    asked_rows = tokens.select("batch", "held", "words", "trained").mapInArrow(asked, asks)
+    asked_rows = tokens.select("batch", "held", "words", "trained", "spread").mapInArrow(asked, asks)
     return asked_rows.groupBy("part").applyInArrow(answered, ANSWERS)
 
 
-def word_order(words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_order(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words in order of their partitions, those partitions, and where each starts."""
-    part = (words % _U64(parts)).astype(np.int64)
     order = _by_part(part, parts)
     return order, part[order], _runs(part[order])
 
@@ -286,14 +285,14 @@ class Batch:
         self.parts, self.unigrams = parts, unigrams
         self.hot = max(1, unigrams.tokens // (4 * parts))
         self.sizes = np.array(row["sizes"])
-        self.words, self.place = unpacked(row["words"]).view(_U64), unpacked(row["place"])
+        self.spread, self.place = unpacked(row["spread"]), unpacked(row["place"])
         self.first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.trains = ~np.array(row["held"])[self.doc]
         self.since = np.arange(len(self.place)) - self.first[self.doc]
 
     def learn_words(self, answers: pa.Table) -> None:
-        order, _, _ = word_order(self.words, self.parts)
+        order, _, _ = word_order(self.spread, self.parts)
         ids, counts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         ids[order], counts[order] = _joined(answers["ids"]), _joined(answers["counts"])
         self.ids = ids[self.place]
@@ -310,7 +309,7 @@ class Batch:
         level = len(self.counts) + 1
         previous = np.roll(self.numbers, 1)
         previous[self.first] = self.numbers.max() + 1
-        one, self.numbers = distinct_of(previous * len(self.words) + self.place)
+        one, self.numbers = distinct_of(previous * len(self.spread) + self.place)
         self.distinct = len(one)
         count = self.before(self.counts[-1])[one]
         number = np.flatnonzero(count > 0)
@@ -440,7 +439,7 @@ def katz_scores(docs: DataFrame, *, order: int = 3, folds: int = 7, held_out: in
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``, by n-grams of up to ``order`` words."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
     parts = max(1, -(-size // batch_bytes))
-    tokens = stored(token_table(docs, folds, held_out, batch_bytes), "katz-tokens")
+    tokens = stored(token_table(docs, folds, held_out, parts, batch_bytes), "katz-tokens")
 
     def totals(table: DataFrame, width: int) -> np.ndarray:
         row = table.where("totals is not null").agg(*[F.sum(F.get("totals", F.lit(i))) for i in range(width)]).first()
@@ -451,6 +450,7 @@ def katz_scores(docs: DataFrame, *, order: int = 3, folds: int = 7, held_out: in
     unigrams = Unigrams(int(sums[0]), int(sums[1]), int(sums[2]), sums[3:])
     d = [discounts(unigrams.classes)]
     answers = words.where("counts is not null")
+    tokens = tokens.drop("words", "trained")  # from here on words have numbers
     for level in range(2, order + 1):
         found = stored(gram_table(gram_rows(tokens, answers, level, parts, unigrams), level), f"katz-{level}")
         d.append(discounts(totals(found, TOP + 2)))
