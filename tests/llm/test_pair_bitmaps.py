@@ -125,3 +125,35 @@ def test_bytes_of_ids(raw):
 def test_query(spark, tmp_path, rows, coders, raw):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert Counter(map(tuple, queries.tokenizer_alignment(spark, str(tmp_path)).collect())) == plain(rows, coders, raw)
+
+
+@pytest.mark.parametrize("n", [pair_bitmaps.DENSE - 1, pair_bitmaps.DENSE, pair_bitmaps.DENSE + 1])
+def test_pairs_of_as_many_documents_as_bits_have_numbers(spark, coders, raw, n):
+    """Where sorted numbers and bits have the same length, in one task's bitmaps and in merged ones."""
+    docs = np.arange(n) * 3
+    one = pair_bitmaps.containers(np.zeros(n, int), docs).to_pylist()[0]
+    halves = [docs[::2].astype("<u2").tobytes(), docs[1::2].astype("<u2").tobytes()]
+    for bitmap in (one, pair_bitmaps.merged(halves)):
+        assert pair_bitmaps.listed(bitmap).tolist() == docs.tolist() and pair_bitmaps.popcount(bitmap) == n
+    rows = [(i, "nation nation") for i in range(n)] + [(n + i, "a nation") for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for index in (pair_bitmaps.Index(), pair_bitmaps.Index(3000)):
+        assert Counter(map(tuple, pair_bitmaps.aligned_documents(frame, index=index).collect())) == plain(rows, coders, raw)
+
+
+def test_long_runs_of_blanks(coders):
+    with open(pair_bitmaps.BYTE_TOKENIZER, encoding="utf-8") as file:
+        side = pair_bitmaps.byte_side(file.read())
+    for text in (" " * 1_100_000 + "a", "a" + " \n" * 550_000):
+        assert side.encode(text).tolist() == coders[0].encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_postings(spark, coders):
+    rows = [(0, "Nation hjelmsätt zebra"), (1, "cryptoc 98765 ampoule")]
+    _, postings = pair_bitmaps.encoded(
+        spark.createDataFrame(rows, "doc_id long, text string"), pair_bitmaps.BYTE_TOKENIZER, pair_bitmaps.PIECE_TOKENIZER, pair_bitmaps.Index()
+    )
+    used = [{i for _, t in rows for i in coders[0].encode(" " + t, add_special_tokens=False).ids}, {i for _, t in rows for i in coders[1].encode(t)}]
+    assert max(used[0]) >= 1 << 15
+    for r in postings.collect():
+        assert r.a in used[0] and r.b in used[1]

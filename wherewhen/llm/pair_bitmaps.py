@@ -47,6 +47,8 @@ PIECE_TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 # How the byte tokenizer cuts a text before merging (its file names this rule "ByteLevel").
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SEGMENT = 1 << 16
+# Documents from which on a bitmap is bits. So many sorted numbers would have the length of the bits, which is what tells the two forms apart.
+DENSE = SEGMENT // 16
 
 
 @dataclass(frozen=True)
@@ -84,7 +86,8 @@ class ByteSide(Side):
 
     Texts of letters below U+0300 are merged by rank, which is the faster way to
     the same ids; other texts go to the tokenizer of the file itself, whose
-    classes of letters may be those of another Unicode version.
+    classes of letters may be those of another Unicode version, and so do texts
+    with long runs of blanks.
     """
 
     def __init__(self, data: str):
@@ -103,7 +106,8 @@ class ByteSide(Side):
         self.own.encode_special_tokens = True
 
     def encode(self, text: str) -> np.ndarray:
-        if not re.search("[^\0-˿]", text):
+        # The ranked encoder's pattern runs out of stack in a million blanks.
+        if not re.search(r"[^\0-˿]|\s{1000}", text):
             return np.array(self.ranked.encode_ordinary(text), np.int64)
         return np.array(self.own.encode(text, add_special_tokens=False).ids, np.int64)
 
@@ -150,12 +154,12 @@ def containers(number: np.ndarray, docs: np.ndarray) -> pa.Array:
     """Bitmaps, for rows in order of ``number`` (0, 1, ... of the bitmap) and document."""
     counts = np.bincount(number)
     starts = np.cumsum(counts) - counts
-    dense = np.flatnonzero(counts > SEGMENT // 16)
+    dense = np.flatnonzero(counts >= DENSE)
     if not len(dense):
         offsets = (2 * np.append(starts, len(docs))).astype(np.int32)
         return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(docs.astype("<u2"))])
     short = docs.astype("<u2")
-    return pa.array([bits(short[s : s + n]) if n > SEGMENT // 16 else short[s : s + n].tobytes() for s, n in zip(starts, counts, strict=True)], pa.binary())
+    return pa.array([bits(short[s : s + n]) if n >= DENSE else short[s : s + n].tobytes() for s, n in zip(starts, counts, strict=True)], pa.binary())
 
 
 def bits(docs: np.ndarray) -> bytes:
@@ -179,7 +183,7 @@ def merged(bitmaps: list[bytes]) -> bytes:
     for each in bitmaps:
         flags[listed(each)] = 1
     docs = np.flatnonzero(flags)
-    return np.packbits(flags).tobytes() if len(docs) > SEGMENT // 16 else docs.astype("<u2").tobytes()
+    return np.packbits(flags).tobytes() if len(docs) >= DENSE else docs.astype("<u2").tobytes()
 
 
 def popcount(container: bytes) -> int:
@@ -217,6 +221,7 @@ def encoded(docs: DataFrame, byte_tokenizer: str, piece_tokenizer: str, index: I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = byte_side(files.value[0]), piece_side(files.value[1])
+        ids_of_b = len(b.tokens)  # pairs are numbered a * ids_of_b + b, which leaves room for the place in a long
         segment, place, pairs, places, links = TaskContext.get().partitionId() << 32, 0, [], [], 0
 
         def postings() -> pa.RecordBatch:
@@ -229,7 +234,7 @@ def encoded(docs: DataFrame, byte_tokenizer: str, piece_tokenizer: str, index: I
                 parts.append((of, plane, containers(number, there % SEGMENT)))
             kinds = np.concatenate([p[0] for p in parts])
             return laid_out(POSTING, len(kinds), {
-                "segment": np.full(len(kinds), segment), "a": (kinds >> 32).astype(np.int32), "b": (kinds & 0xFFFFFFFF).astype(np.int32),
+                "segment": np.full(len(kinds), segment), "a": (kinds // ids_of_b).astype(np.int32), "b": (kinds % ids_of_b).astype(np.int32),
                 "plane": np.repeat([p[1] for p in parts], [len(p[0]) for p in parts]).astype(np.int32),
                 "docs": pa.concat_arrays([p[2] for p in parts]),
             })
@@ -253,7 +258,7 @@ def encoded(docs: DataFrame, byte_tokenizer: str, piece_tokenizer: str, index: I
                         last_a = at[last_b]
                         digest = group_digest(a, b, ids_a, ids_b, last_a, last_b)
                         row = (segment, place, doc_id, len(ids_a), len(ids_b), len(last_a), len(last_a), digest)
-                        pairs.append(ids_a[last_a] << 32 | ids_b[last_b])
+                        pairs.append(ids_a[last_a] * ids_of_b + ids_b[last_b])
                         places.append(np.full(len(last_a), place))
                         links += len(last_a)
                 rows.append(row)
