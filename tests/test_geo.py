@@ -240,3 +240,20 @@ def test_k_nearest_compares_few_pairs(spark):
     centers = spark.createDataFrame([(0, 70.0, 20.0), (1, 32.7, -117.1), (2, -40.0, 179.0)], "c long, lat double, lng double")
     assert proximity.nearest_k_any(points, centers, "c", ["p"], 5).count() == 15
     assert proximity.compared_pairs(points, centers, "c", ["p"], 5).count() < 200
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_listed_points_are_not_broadcast(spark, tmp_path, monkeypatch, broadcast):
+    """Points are many more under their cells than in their file; leaves are what travels."""
+    monkeypatch.setattr(quadtree, "_BROADCAST_LEAVES", broadcast)
+    box = geo.Box(32.64, -117.28, 32.88, -117.08)
+    points = scatter(1500, seed=8)
+    spark.createDataFrame(points, "k int, lat double, lng double").write.parquet(str(tmp_path / "points"))
+    frame = spark.read.parquet(str(tmp_path / "points"))
+    members = quadtree.quadtree_members(frame, quadtree.quadtree_cells(frame, box, key="k", cap=40), box, ["k"])
+    plan = members._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and ("BroadcastHashJoin" in plan) == (broadcast > 0)
+    found = {}
+    for r in members.collect():
+        found.setdefault(r.path, set()).add(r.k)
+    assert found == {p: ids for p, ids in brute_quadtree(points, box, 40, 0.75).items() if ids}

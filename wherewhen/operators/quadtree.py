@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import Box, has_position
 from ..schema import CELL_OVERLAP, MIN_CELL_MILES, RESULTS_CAP
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 from .keyed import dedup_first, splittable_join
 
 # Levels counted in one pass: 1 + 4 + ... + 4^5 cells at most per open cell.
 LEVELS_PER_PASS = 5
 SIDES = ["south", "west", "north", "east"]
+# Leaves that are sent to every task, of some 100 bytes each.
+_BROADCAST_LEAVES = 100_000
 
 
 # A code is a leading 1 and two bits a level, in a long.
@@ -159,7 +161,17 @@ def quadtree_members(
     points: DataFrame, leaves: DataFrame, box: Box, keys: list[str], overlap: float = CELL_OVERLAP,
     min_miles: float = MIN_CELL_MILES,
 ) -> DataFrame:
-    """Point and leaf pairs; a point in the overlap of leaves appears under each."""
+    """Point and leaf pairs; a point in the overlap of leaves appears under each.
+
+    Points are listed under every cell above and at their leaves, many times the
+    rows Spark expects of the points' file, so it must not choose that side for a
+    broadcast. The leaves are written to the shared folder and counted: few are
+    broadcast, so that listed points meet them where they are; for more, both sides
+    are sorted by cell.
+    """
     located = _located(points.select(*list(dict.fromkeys([*keys, "lat", "lng"]))), box)
     listed = _listed(located, max_depth(box, min_miles, overlap), overlap)
-    return splittable_join(listed.select(*keys, "code"), leaves.select("code", "path"), "code", "inner")
+    kept = stored(leaves.select("code", "path"), "leaves")
+    if kept.count() <= _BROADCAST_LEAVES:
+        return listed.select(*keys, "code").join(F.broadcast(kept), "code")
+    return splittable_join(listed.select(*keys, "code"), kept.hint("merge"), "code", "inner")
