@@ -10,6 +10,7 @@ from wherewhen.functions import geo
 from wherewhen.functions.geo import Box
 from wherewhen.operators import mapbins, proximity, quadtree, regions
 from wherewhen.schema import NEIGHBORHOODS
+from wherewhen.session import stored
 
 
 def haversine(lat1, lng1, lat2, lng2, radius):
@@ -257,3 +258,15 @@ def test_listed_points_are_not_broadcast(spark, tmp_path, monkeypatch, broadcast
     for r in members.collect():
         found.setdefault(r.path, set()).add(r.k)
     assert found == {p: ids for p, ids in brute_quadtree(points, box, 40, 0.75).items() if ids}
+
+
+def test_centers_are_dealt_out_by_their_number(spark, monkeypatch):
+    """The descent holds a bounded number of centres in a task, without a shuffle that packs them into one."""
+    monkeypatch.setattr(proximity, "_TASK_CENTERS", 50)
+    held = []
+    monkeypatch.setattr(proximity, "stored", lambda frame, purpose: (held.append(frame) if purpose == "held-cells" else None, stored(frame, purpose))[1])
+    points = spark.createDataFrame(scatter(2000, seed=31), "p int, lat double, lng double")
+    centers = spark.createDataFrame(scatter(400, seed=32), "c int, lat double, lng double")
+    assert proximity.nearest_k_any(points, centers, "c", ["p"], 2).count() == 800
+    plan = held[0]._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__id" in plan and "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan

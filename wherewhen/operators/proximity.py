@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_METERS, great_circle, has_position
 from ..session import stored
+from .keyed import first_per_key
 
 
 def with_distance(
@@ -130,10 +131,15 @@ def near_centers(
         .filter(F.col("distance") <= meters)
         .select(center_key, *point_keys, "distance")
     )
-    if k is None:
-        return pairs
-    # Spark turns the rank filter into a per-task limit ahead of the shuffle, so
-    # a centre with very many partners sends k rows per task.
+    return pairs if k is None else _ranked(pairs, center_key, point_keys, k)
+
+
+def _ranked(pairs: DataFrame, center_key: str, point_keys: list[str], k: int) -> DataFrame:
+    """The first ``k`` pairs of every centre, with their rank.
+
+    Spark turns the rank filter into a per-task limit ahead of the shuffle, so
+    a centre with very many partners sends k rows per task.
+    """
     order = Window.partitionBy(center_key).orderBy("distance", *point_keys)
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -145,6 +151,7 @@ def near_centers(
 LEVELS = (2, 4, 6, 9, 12, 15, 18, 20)
 _BOUNDED_LEVEL = 6  # the sphere passes through some 25,000 cells of this level
 _SALT_ROWS = 1 << 13  # points of one cell that one task compares with a centre
+_TASK_CENTERS = 1000  # centres whose cells one task holds
 _CELLS = ["__cx", "__cy", "__cz"]
 
 
@@ -177,34 +184,49 @@ def nearest_k_any(
     beyond that bound are dropped. What is left opens into the occupied cells of the
     next level, in an equi-join on the parent cell. A centre in a crowd soon holds
     small cells, one in empty country the near rim of what is far away. Only the
-    points of the last cells are compared, so pairs stay in proportion to k.
+    points of the last cells are compared, so pairs stay in proportion to k. Points of
+    one position are equally far from everywhere, so the first k of them by
+    ``point_keys`` are all that can be listed; others are left out at the start.
 
-    Counts of the first levels are bounded by the globe and broadcast; beyond,
+    Centres are dealt out over tasks by their number. Counts of the first levels are
+    bounded by the globe and broadcast; beyond,
     Spark splits the cells that many centres hold. A last cell with many points is
     shared by as many tasks as its count asks for. Equal distances are ordered by
     ``point_keys``; with fewer than k points all are listed. Rows without a position
-    are left out. Counts are written to the shared folder once.
+    and centres without a key are left out. Points and counts are written to the
+    shared folder once.
     """
-    pairs = compared_pairs(points, centers, center_key, point_keys, k, levels)
-    order = Window.partitionBy(center_key).orderBy("distance", *point_keys)
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    pairs = compared_pairs(points, centers.where(F.col(center_key).isNotNull()), center_key, point_keys, k, levels)
+    return _ranked(pairs, center_key, point_keys, k)
+
+
+def _with_slack(square):
+    """A square of a chord, and more than what rounding can add to it."""
+    return square * (1 + 1e-7) + 1e-15
 
 
 def compared_pairs(
     points: DataFrame, centers: DataFrame, center_key: str, point_keys: list[str], k: int, levels: tuple[int, ...] = LEVELS,
+    meters: float | None = None,
 ) -> DataFrame:
-    """``center_key, *point_keys, distance`` of the points that can be among the ``k`` nearest."""
-    position = [F.col("lat"), F.col("lng")]
-    p = points.filter(has_position(*position)).select(
-        *point_keys, F.col("lat").alias("__lat"), F.col("lng").alias("__lng"), _on_sphere(*position).alias("__at"),
-    )
-    c = centers.filter(has_position(*position)).select(
-        center_key, F.col("lat").alias("__center_lat"), F.col("lng").alias("__center_lng"), _on_sphere(*position).alias("__center_at"),
-    )
+    """``center_key, *point_keys, distance`` of the points that can be among the ``k`` nearest, or the ``k`` nearest within ``meters``."""
+    position, spot = [F.col("lat"), F.col("lng")], ["__lat", "__lng"]
+    placed = points.filter(has_position(*position)).select(*point_keys, *[c.alias(n) for c, n in zip(position, spot, strict=True)])
+    p = stored(first_per_key(placed, spot, point_keys, k), "cell-points").withColumn("__at", _on_sphere(*map(F.col, spot)))
+    # Rows of one key and position are one centre while cells are judged, or their counts would add up.
+    # It has a number, since Spark deals out rows by doubles in one way for windows and in another for repartition.
+    spots = ["__center_lat", "__center_lng"]
+    c = centers.filter(has_position(*position)).select(center_key, *[c.alias(n) for c, n in zip(position, spots, strict=True)])
+    c = c.groupBy(center_key, *spots).agg(F.count("*").alias("__rows"))
+    c = stored(c.withColumn("__id", F.monotonically_increasing_id()), "centers")
     counts = stored(_cell_counts(p, levels), "cell-counts")
+    tasks = max(1, math.ceil(c.count() / _TASK_CENTERS))
     parents = [f"__p{n[-1]}" for n in _CELLS]
-    by_reach = Window.partitionBy(center_key).orderBy("__far").rowsBetween(Window.unboundedPreceding, 0)
-    held, before = c.select(center_key, "__center_at", *[F.lit(0).cast("long").alias(n) for n in parents]), 0
+    by_center = Window.partitionBy("__id")
+    by_reach = by_center.orderBy("__far").rowsBetween(Window.unboundedPreceding, 0)
+    at = _on_sphere(*map(F.col, spots)).alias("__center_at")
+    held, before = c.repartition(tasks, "__id").select("__id", at, *[F.lit(0).cast("long").alias(n) for n in parents]), 0
+    reach = None if meters is None else F.lit(_with_slack((2 * math.sin(meters / EARTH_METERS / 2)) ** 2))
     for level in levels:
         here = counts.where(F.col("__level") == level).select(
             *_CELLS, "__n", *[F.shiftright(n, level - before).alias(q) for n, q in zip(_CELLS, parents, strict=True)]
@@ -215,19 +237,23 @@ def compared_pairs(
             low = F.col(n) * side - 1.0 - F.col(f"__center_at.{a}")
             near = near + F.pow(F.greatest(F.lit(0.0), low, -(low + side)), F.lit(2))
             far = far + F.pow(F.greatest(F.abs(low), F.abs(low + side)), F.lit(2))
-        opened = held.select(center_key, "__center_at", *parents).join(F.broadcast(here) if level <= _BOUNDED_LEVEL else here, parents)
-        judged = opened.select(center_key, "__center_at", *_CELLS, "__n", near.alias("__near"), far.alias("__far"))
+        opened = held.select("__id", "__center_at", *parents).join(F.broadcast(here) if level <= _BOUNDED_LEVEL else here, parents)
+        judged = opened.select("__id", "__center_at", *_CELLS, "__n", near.alias("__near"), far.alias("__far"))
+        if reach is not None:
+            judged = judged.where(F.col("__near") <= reach)
         judged = judged.withColumn("__reached", F.sum("__n").over(by_reach))
-        bound = F.min(F.when(F.col("__reached") >= k, F.col("__far"))).over(Window.partitionBy(center_key))
-        kept = judged.withColumn("__bound", bound).where(F.col("__bound").isNull() | (F.col("__near") <= F.col("__bound") * (1 + 1e-7) + 1e-15))
-        held = kept.select(center_key, "__center_at", "__n", *[F.col(n).alias(q) for n, q in zip(_CELLS, parents, strict=True)])
+        bound = F.min(F.when(F.col("__reached") >= k, F.col("__far"))).over(by_center)
+        kept = judged.withColumn("__bound", bound).where(F.col("__bound").isNull() | (F.col("__near") <= _with_slack(F.col("__bound"))))
+        held = kept.select("__id", "__center_at", "__n", *[F.col(n).alias(q) for n, q in zip(_CELLS, parents, strict=True)])
         before = level
     salts = F.ceil(F.col("__n") / _SALT_ROWS).cast("int")
-    last = held.select(center_key, *[F.col(q).alias(n) for n, q in zip(_CELLS, parents, strict=True)], salts.alias("__salts"))
+    last = stored(held.select("__id", *[F.col(q).alias(n) for n, q in zip(_CELLS, parents, strict=True)], salts.alias("__salts")), "held-cells")
     used = last.select(*_CELLS, "__salts").distinct()
-    spread = last.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
-    near_points = p.select(*point_keys, "__lat", "__lng", *_cell_numbers("__at", levels[-1])).join(used, _CELLS)
+    spread = last.join(c, "__id").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
+    # Both sides are sorted: the files of points and centres look smaller than their rows are in a broadcast.
+    near_points = p.select(*point_keys, *spot, *_cell_numbers("__at", levels[-1])).join(used.hint("merge"), _CELLS)
     salted = near_points.withColumn("__salt", F.pmod(F.xxhash64(*point_keys), F.col("__salts")).cast("int")).drop("__salts")
-    pairs = salted.join(spread, [*_CELLS, "__salt"]).join(c.drop("__center_at"), center_key)
-    distance = great_circle(F.col("__center_lat"), F.col("__center_lng"), F.col("__lat"), F.col("__lng"), EARTH_METERS)
-    return pairs.select(center_key, *point_keys, distance.alias("distance"))
+    pairs = salted.join(spread.hint("merge"), [*_CELLS, "__salt"])
+    distance = great_circle(*map(F.col, spots), F.col("__lat"), F.col("__lng"), EARTH_METERS)
+    pairs = pairs.select(center_key, *point_keys, distance.alias("distance"), "__rows")
+    return pairs.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__rows")))).drop("__rows", "__row")
