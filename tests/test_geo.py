@@ -260,6 +260,30 @@ def test_listed_points_are_not_broadcast(spark, tmp_path, monkeypatch, broadcast
     assert found == {p: ids for p, ids in brute_quadtree(points, box, 40, 0.75).items() if ids}
 
 
+def test_nearest_within_reach_compares_few_pairs(spark):
+    """Crowds in reach, many points on one spot, centres that repeat: each as in a plain join."""
+    points = scatter(3000, seed=21)
+    rows = scatter(60, seed=22, hot=0.2)
+    centers = [*rows, *rows[:10], (0, 32.7, -117.1), (None, 32.75, -117.15), (99, 10.0, 10.0)]
+    p = spark.createDataFrame(points + points[:50], "k int, lat double, lng double")
+    c = spark.createDataFrame(centers, "center int, lat double, lng double")
+    plain = {}
+    for center, *at in centers:
+        for k, lat, lng in points + points[:50]:
+            far = haversine(*at, lat, lng, geo.EARTH_METERS)
+            if far <= 1500:
+                plain.setdefault(center, []).append((round(far, 6), k))
+    got = {}
+    for r in proximity.near_centers(p, c, "center", 1500.0, ["k"], k=3).collect():
+        got.setdefault(r.center, []).append((round(r.distance, 6), r.k))
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v)[:3] for i, v in plain.items()}
+    # A third of the points on one spot are no more pairs than k of them.
+    hot = spark.createDataFrame([(i, 32.75, -117.15) for i in range(5000)], "k int, lat double, lng double")
+    assert proximity.compared_pairs(hot, c.where("center is not null"), "center", ["k"], 3, meters=1500.0).count() <= 3 * len(centers)
+    plan = proximity.near_centers(p, c, "center", 1500.0, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
 def test_centers_are_dealt_out_by_their_number(spark, monkeypatch):
     """The descent holds a bounded number of centres in a task, without a shuffle that packs them into one."""
     monkeypatch.setattr(proximity, "_TASK_CENTERS", 50)

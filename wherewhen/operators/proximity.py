@@ -91,17 +91,23 @@ def near_centers(
     """Pairs of centre and point at most ``meters`` apart; the ``k`` nearest if given.
 
     Without ``k`` the result has every pair in reach, so it grows with how crowded
-    a reach is; ``nearest_k_any`` needs no reach and lists k pairs a centre.
+    a reach is. With ``k`` cells beyond the reach are dropped in the search of
+    ``nearest_k_any``, so that pairs compared stay in proportion to k.
 
-    Positions are points of a sphere in space, which is cut into cubes at least
+    All pairs are found in cubes. Positions are points of a sphere in space, which is cut into cubes at least
     one reach wide. Partners lie in the same or a neighbouring cube, so the join
     is an equi-join on the cube, everywhere on the globe. A point is in one
     cube; a centre is copied to those of its 27 that the sphere passes through,
     and ``salts`` times more so that a crowded cube is spread over as many tasks.
+    Spark expects far fewer rows than these copies, so both sides are sorted; it
+    would send the copies through the driver.
     """
     angle = meters / EARTH_METERS
     if angle > math.pi / 4:
         raise ValueError("radius too large for cell joins")
+    if k is not None:
+        near = compared_pairs(points, centers, center_key, point_keys, k, meters=meters).filter(F.col("distance") <= meters)
+        return _ranked(near, center_key, point_keys, k)
     size = 2 * math.sin(angle / 2) * (1 + 1e-9) + 1e-9
     axes = ("x", "y", "z")
     cells = [f"__c{axis}" for axis in axes]
@@ -123,15 +129,14 @@ def near_centers(
     c = c.filter((nearest <= 1 + 1e-9) & (farthest >= 1 - 1e-9))
     c = c.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     chord = sum(F.pow(F.col(f"__at.{axis}") - F.col(f"__center_at.{axis}"), F.lit(2)) for axis in axes)
-    pairs = (
-        p.join(c, [*cells, "__salt"])
+    return (
+        p.join(c.hint("merge"), [*cells, "__salt"])
         # The straight line rules out most neighbours before any trigonometry.
         .filter(chord <= size * size)
         .withColumn("distance", great_circle(F.col("__center_lat"), F.col("__center_lng"), F.col("__lat"), F.col("__lng"), EARTH_METERS))
         .filter(F.col("distance") <= meters)
         .select(center_key, *point_keys, "distance")
     )
-    return pairs if k is None else _ranked(pairs, center_key, point_keys, k)
 
 
 def _ranked(pairs: DataFrame, center_key: str, point_keys: list[str], k: int) -> DataFrame:
