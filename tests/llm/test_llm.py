@@ -158,6 +158,28 @@ def test_katz_matches_brute_force_and_sums_to_one(docs, order, batch_bytes):
     assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want])
 
 
+def test_katz_names_all_words_of_a_batch_at_once():
+    text = b" a  ab\tb\nabcdefgh abcdefghi\x0b" + b"x" * 64 + b" " + b"x" * 65 + b"\x0c" + b"x" * 200 + b"\r\0 a\0 a \xc3\xa9\xc2\xa0\x85\x1c ab " + b"x" * 65
+    for data in (text, text + b"\n", b"", b"\n", b" \t "):
+        starts, names = katz.word_names(data + bytes(8))
+        words = data.split()
+        assert [data[s:].split(None, 1)[0] for s in starts.tolist()] == words and len(names) == len(words)
+        assert len(set(names.tolist())) == len(set(words)) == len(set(zip(words, names.tolist())))
+    words = [bytes([65 + i % 26]) * (i % 150 + 1) + str(i).encode() for i in range(3000)]
+    assert len(set(katz.word_names(b" ".join([*words, bytes(8)]))[1].tolist())) == len(set(words))
+
+
+def test_katz_order_of_values_is_that_of_a_stable_sort():
+    rng = np.random.default_rng(5)
+    few, wide = rng.integers(0, 50, 1000), rng.integers(0, 1 << 63, 1000)
+    alike = rng.integers(0, 3, 1000) * (1 << 61) + rng.integers(0, 4, 1000)  # differ in leading and in last bits only
+    for values in (few, wide, alike, alike.view(np.uint64) + np.uint64(1 << 63), few[:1], few[:0], np.full(7, 2**63 - 1)):
+        order, by_value = katz.ranked(values)
+        assert order.tolist() == np.argsort(values, kind="stable").tolist() and by_value.tolist() == np.sort(values).tolist()
+        one, number = katz.distinct_of(values)
+        assert (values[one][number] == values).all() and values[one].tolist() == sorted(set(values.tolist()))
+
+
 def test_boundaries_are_optimal():
     rng = random.Random(3)
     for _ in range(20):
